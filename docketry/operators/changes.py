@@ -79,14 +79,15 @@ def fingerprint(
     digest = F.sha2(row_text(changes) if text is None else text, 256)
     rows = changes.select(digest.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
     level = rows.select(F.col("d").alias("k"), F.concat_ws(":", "d", "n").alias("line"))
-    for width in (prefix_chars, 2, 0):
+    combined = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+    for width in (prefix_chars, 2):
         level = (
             level.groupBy(F.substring("k", 1, width).alias("k"))
-            .agg(F.array_sort(F.collect_list("line")).alias("lines"))
-            .select("k", F.sha2(F.array_join("lines", "\n"), 256).alias("line"))
-            .select("k", F.concat_ws(":", "k", "line").alias("line"), F.col("line").alias("digest"))
+            .agg(combined.alias("line"))
+            .select("k", F.concat_ws(":", "k", "line").alias("line"))
         )
-    return level.select(F.col("digest").alias("fingerprint"))
+    # at most 256 lines are left; no rows at all give the digest of empty text
+    return level.agg(combined.alias("fingerprint"))
 
 
 def matches(expected: DataFrame, actual: DataFrame) -> DataFrame:

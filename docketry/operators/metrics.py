@@ -57,13 +57,30 @@ def latency_p95(
     )
 
 
-def queue_gauges(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
-    """Depth, in-flight count and oldest age at the end of each period.
+def gauges_at(deliveries: DataFrame, as_of: Column) -> DataFrame:
+    """Visible, in-flight and oldest age per queue at one moment.
 
-    ``deliveries`` holds ``(queue, sent_ts, received_ts, done_ts)``, nulls for
-    "not yet". Each delivery becomes at most four +1/-1 steps, steps are summed
-    per period first and the running totals run over periods, not rows. The
-    oldest age of a period is taken over the messages waiting in it.
+    ``deliveries`` holds ``(queue, sent_ts, received_ts, done_ts)``, with null
+    for "not yet".
+    """
+    sent = F.col("sent_ts") <= as_of
+    taken = F.coalesce(F.col("received_ts") <= as_of, F.lit(False))
+    done = F.coalesce(F.col("done_ts") <= as_of, F.lit(False))
+    waiting = sent & ~taken
+    return deliveries.groupBy("queue").agg(
+        F.count_if(waiting).alias("visible"),
+        F.count_if(sent & taken & ~done).alias("in_flight"),
+        F.max(
+            F.when(waiting, (F.unix_micros(as_of) - F.unix_micros("sent_ts")) / 1_000_000)
+        ).alias("oldest_age_s"),
+    )
+
+
+def queue_depth(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
+    """Visible and in-flight messages at the end of each period with a change.
+
+    Each delivery becomes at most three steps, steps are summed per period
+    first and the running totals run over periods, not rows.
     """
     steps = F.array(
         F.struct(F.col("sent_ts").alias("at"), F.lit(1).alias("visible"), F.lit(0).alias("in_flight")),
@@ -79,20 +96,38 @@ def queue_gauges(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
     running = Window.partitionBy("queue").orderBy("period_start").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    depth = moved.select(
+    return moved.select(
         "queue",
         "period_start",
         F.sum("d_visible").over(running).alias("visible"),
         F.sum("d_in_flight").over(running).alias("in_flight"),
     )
-    age = (
+
+
+def oldest_age(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
+    """Age of the oldest waiting message at the end of each period.
+
+    Messages are first reduced to one row per (sent period, received period);
+    only those rows are spread over the periods they were waiting in.
+    """
+    step = F.make_dt_interval(secs=F.lit(seconds))
+    spans = (
         deliveries.where(F.col("received_ts").isNotNull())
-        .groupBy("queue", period_start(F.col("received_ts"), seconds).alias("period_start"))
-        .agg(
-            F.max((F.unix_micros("received_ts") - F.unix_micros("sent_ts")) / 1_000_000).alias("oldest_age")
+        .groupBy(
+            "queue",
+            period_start(F.col("sent_ts"), seconds).alias("p_from"),
+            period_start(F.col("received_ts"), seconds).alias("p_to"),
         )
+        .agg(F.min("sent_ts").alias("sent_ts"))
+        .where(F.col("p_from") < F.col("p_to"))
+    )
+    waiting = spans.select(
+        "queue", "sent_ts", F.explode(F.sequence("p_from", F.col("p_to") - step, step)).alias("period_start")
+    )
+    end = F.unix_micros(F.col("period_start")) + seconds * 1_000_000
+    return waiting.groupBy("queue", "period_start").agg(
+        F.max((end - F.unix_micros("sent_ts")) / 1_000_000).alias("oldest_age_s")
     )
-    return depth.join(age, ["queue", "period_start"], "left")
 
 
 def alarms_table(spark: SparkSession) -> DataFrame:
