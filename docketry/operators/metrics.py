@@ -12,6 +12,12 @@ def period_start(ts: Column, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
+def floor_period(ts: Column, seconds: int) -> Column:
+    """Period start by arithmetic, for rows that need more than one period."""
+    micros = seconds * 1_000_000
+    return F.timestamp_micros((F.floor(F.unix_micros(ts) / micros) * micros).cast("long"))
+
+
 def per_period(
     df: DataFrame, ts: str, dims: list[str], aggregates: dict[str, Column], seconds: int = 300
 ) -> DataFrame:
@@ -115,8 +121,8 @@ def oldest_age(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
         deliveries.where(F.col("received_ts").isNotNull())
         .groupBy(
             "queue",
-            period_start(F.col("sent_ts"), seconds).alias("p_from"),
-            period_start(F.col("received_ts"), seconds).alias("p_to"),
+            floor_period(F.col("sent_ts"), seconds).alias("p_from"),
+            floor_period(F.col("received_ts"), seconds).alias("p_to"),
         )
         .agg(F.min("sent_ts").alias("sent_ts"))
         .where(F.col("p_from") < F.col("p_to"))

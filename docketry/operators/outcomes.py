@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.config import IntakeConfig
 from docketry.functions import times as TM
 from docketry.functions import text as X
+from docketry.operators import skew
 
 # fixed values: record and batch outcomes
 PROCESSED = "processed"
@@ -60,7 +61,7 @@ def batch_summary(messages: DataFrame) -> DataFrame:
     )
 
 
-def reject_broken_batches(messages: DataFrame) -> DataFrame:
+def reject_broken_batches(messages: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
     """Add ``batch_state``: a message without an id fails its whole batch.
 
     ``processed``: handled as usual; ``handled_then_retried``: before the broken
@@ -72,10 +73,12 @@ def reject_broken_batches(messages: DataFrame) -> DataFrame:
         .groupBy("batch_id")
         .agg(F.min("msg_pos").alias("__broken"))
     )
-    # few batches are broken; the runtime decides the join from the real size
+    looked = skew.salted_lookup(
+        messages, broken, ["batch_id"], ["msg_pos"],
+        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+    )
     return (
-        messages.join(broken, "batch_id", "left")
-        .withColumn(
+        looked.withColumn(
             "batch_state",
             F.when(F.col("__broken").isNull(), "processed")
             .when(F.col("msg_pos") < F.col("__broken"), "handled_then_retried")

@@ -211,7 +211,7 @@ class Tables:
             "concat('u-', user_id) AS job_id", "event_id", "CAST(ts AS TIMESTAMP) AS ts",
             "CASE event_type WHEN 'click' THEN 'pending_upload' WHEN 'view' THEN 'processing' "
             "WHEN 'purchase' THEN 'succeeded' WHEN 'signup' THEN 'failed' ELSE 'dead' END AS status",
-            "timestampadd(SECOND, CAST(event_id % 900 AS INT), CAST(ts AS TIMESTAMP)) AS updated_at",
+            "timestampadd(HOUR, CAST(event_id % 10 * 12 AS INT), CAST(ts AS TIMESTAMP)) AS updated_at",
         )
 
     def telemetry(self) -> DataFrame:

@@ -12,6 +12,7 @@ from docketry.config import IntakeConfig
 from docketry.functions import text as X
 from docketry.functions import times as TM
 from docketry.operators import extract, intake, jobs as J, objects as O, outcomes as R
+from docketry.operators import requests as RQ
 from docketry.operators import skew
 from docketry.session import cut_lineage
 
@@ -19,7 +20,9 @@ PARSING_ERROR = "event_parsing_error"
 PROCESSING_ERROR = "uploaded_document_processing_error"
 UNEXPECTED_ERROR = "unexpected_processing_error"
 
-_ORDER = ["batch_id", "msg_pos", "rec_pos"]
+# arrival first; the rest makes the order total
+ARRIVAL = ["sent_ts", "message_id", "batch_id", "msg_pos", "rec_pos"]
+_POSITION = ["batch_id", "msg_pos", "rec_pos"]
 
 _RECORD_COLUMNS = [
     "batch_id", "msg_pos", "rec_pos", "message_id", "job_id", "start_outcome", "attempt_id",
@@ -37,6 +40,16 @@ class UploadResult:
     jobs: DataFrame
 
 
+def parse_once(messages: DataFrame, config: IntakeConfig) -> DataFrame:
+    """Parsed messages as a checkpointed table.
+
+    Parsing is the costly step and its result feeds several branches (first
+    event per job, rows per job, the events themselves, the rejects), so it is
+    done once and the bodies are left behind.
+    """
+    return cut_lineage(intake.parse_messages(messages, config).drop("body"))
+
+
 def _run_claims(
     claimed: DataFrame,
     objects: DataFrame,
@@ -90,19 +103,19 @@ def _round(
 ) -> DataFrame:
     """Outcome of each event when all of them are delivered at the same time."""
     now = TM.as_timestamp(as_of)
-    routed = cut_lineage(J.route_claims(events, jobs, as_of, _ORDER, config))
+    routed = cut_lineage(J.route_claims(events, jobs, as_of, ARRIVAL, config))
     won = F.col("start_outcome") == J.CLAIM_ACQUIRED
     attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
     claimed = routed.where(won).withColumn("attempt_id", attempt)
     ran = _run_claims(claimed, objects, plan, extractor, config)
     effects = ran.select(
-        *_ORDER, "message_id", "job_id", "start_outcome", "attempt_id", "effect", "result_json",
+        *_POSITION, "message_id", "job_id", "start_outcome", "attempt_id", "effect", "result_json",
         F.col("__reason").alias("failure_reason"), F.col("__retry").alias("retry_reason"),
         F.col("PK"), F.col("entity_type"), "request_id", "correlation_id", "created_at", "attempts",
     )
     none = F.lit(None).cast("string")
     rest = routed.where(~won).select(
-        *_ORDER, "message_id", "job_id", "start_outcome", none.alias("attempt_id"),
+        *_POSITION, "message_id", "job_id", "start_outcome", none.alias("attempt_id"),
         none.alias("effect"), none.alias("result_json"), none.alias("failure_reason"),
         F.when(F.col("start_outcome") != J.ALREADY_APPLIED, F.col("start_outcome")).alias("retry_reason"),
         "PK", "entity_type", "request_id", "correlation_id", "created_at", "attempts",
@@ -153,7 +166,6 @@ def process_uploads(
     config: IntakeConfig = IntakeConfig(),
     plan: DataFrame | None = None,
     extractor: extract.Extractor = extract.rule_extractor,
-    records_per_message: int | None = None,
 ) -> UploadResult:
     """Messages to finalized jobs.
 
@@ -161,14 +173,23 @@ def process_uploads(
     after the other: round *k* runs record *k* of every message that has not
     failed yet, on the job table left by the rounds before. Most messages hold
     one record, so there is one round; later rounds see only longer messages.
-    When ``records_per_message`` is not given, it is read from the parsed
-    messages.
+
+    A message without an id fails its whole batch: messages before it keep
+    their effects but are delivered again, it and the rest are not handled.
     """
-    # parsed messages feed several branches: parse once, keep the short form
-    parsed = cut_lineage(intake.parse_messages(messages, config).drop("body"))
-    if records_per_message is None:
-        longest = parsed.agg(F.max(F.size("events"))).first()[0]
-        records_per_message = max(longest or 0, 1)
+    parsed = parse_once(messages, config)
+    longest, without_id = parsed.agg(
+        F.max(F.size("events")), F.count_if(F.col("message_id").isNull())
+    ).first()
+    rounds = max(longest or 0, 1)
+    parsed = parsed.withColumn("batch_state", F.lit("processed"))
+    if without_id:
+        parsed = R.reject_broken_batches(parsed.drop("batch_state"), config)
+        unhandled = F.col("batch_state") == "not_handled"
+        parsed = parsed.withColumn(
+            "error_class",
+            F.when(unhandled, F.coalesce("error_class", F.lit(intake.MALFORMED_BATCH))).otherwise(F.col("error_class")),
+        ).withColumn("events", F.when(~unhandled, F.col("events")))
     rejected = parsed.where(F.col("error_class").isNotNull()).select(
         "batch_id", "msg_pos", F.lit(None).cast("int").alias("rec_pos"), "message_id",
         F.lit(None).cast("string").alias("job_id"), F.lit(None).cast("string").alias("start_outcome"),
@@ -182,7 +203,7 @@ def process_uploads(
     records = rejected
     changes: DataFrame | None = None
     stopped: DataFrame | None = None
-    for k in range(records_per_message):
+    for k in range(rounds):
         batch = events.where(F.col("rec_pos") == k)
         if stopped is not None:
             batch = batch.join(stopped, R.MESSAGE_KEY, "left_anti")
@@ -191,13 +212,21 @@ def process_uploads(
         records = records.unionByName(ran.select(*_RECORD_COLUMNS))
         written = _changed_jobs(ran, config)
         changes = written if changes is None else J.merge_rows(changes, written)
-        if k + 1 < records_per_message:
+        if k + 1 < rounds:
             current = J.merge_rows(current, written)
             failed = ran.where("failed").select(*R.MESSAGE_KEY)
             stopped = failed if stopped is None else stopped.union(failed)
+    verdicts = R.message_verdicts(records)
+    if without_id:
+        again = parsed.where(F.col("batch_state") != "processed").select(
+            *R.MESSAGE_KEY, F.lit(True).alias("__again")
+        )
+        verdicts = verdicts.join(again, R.MESSAGE_KEY, "left").select(
+            *R.MESSAGE_KEY, "message_id", (F.col("failed") | F.col("__again").isNotNull()).alias("failed")
+        )
     return UploadResult(
         records=records,
-        messages=R.message_verdicts(records),
+        messages=verdicts,
         changes=changes,
         jobs=J.merge_rows(jobs, changes),
     )
@@ -218,13 +247,13 @@ def reconcile_dead_letters(
     Of several messages for one eligible job the first records the dead state
     and the others find it applied.
     """
-    parsed = cut_lineage(intake.parse_messages(messages, config).drop("body"))
+    parsed = parse_once(messages, config)
     events = intake.flatten_events(parsed)
     hot = {"share": config.hot_share, "min_rows": config.hot_min_rows, "salts": config.salts}
     state = jobs.select("job_id", "status", "attempts", "updated_at", J.LEASE).withColumn(
         "job_found", F.lit(True)
     )
-    joined = skew.salted_lookup(events, state, ["job_id"], _ORDER, **hot).withColumn(
+    joined = skew.salted_lookup(events, state, ["job_id"], ARRIVAL, **hot).withColumn(
         "job_found", F.coalesce("job_found", F.lit(False))
     )
     # whether a record fails does not depend on which message comes first, so
@@ -232,18 +261,18 @@ def reconcile_dead_letters(
     decided = joined.withColumn("outcome", J.dead_route(as_of))
     ok = F.col("outcome").isin(R.DEAD_RECORDED, R.EFFECT_APPLIED)
     ran = cut_lineage(R.stop_after_failure(decided.withColumn("failed", ~ok)))
-    position = F.struct(*[F.col(c) for c in _ORDER])
+    position = F.struct(*[F.col(c) for c in ARRIVAL])
     marking = F.col("attempted") & (F.col("outcome") == R.DEAD_RECORDED)
     first = ran.where(marking).groupBy("job_id").agg(
         F.min(position).alias("__first"),
         F.first(F.struct("status", "attempts", "updated_at")).alias("seen"),
     )
-    named = skew.salted_lookup(ran, first.select("job_id", "__first"), ["job_id"], _ORDER, **hot)
+    named = skew.salted_lookup(ran, first.select("job_id", "__first"), ["job_id"], ARRIVAL, **hot)
     outcome = F.when(marking & (position != F.col("__first")), R.EFFECT_APPLIED).otherwise(
         F.col("outcome")
     )
     records = named.select(
-        *_ORDER, "message_id", "job_id", outcome.alias("outcome"), "attempted",
+        *_POSITION, "message_id", "job_id", outcome.alias("outcome"), "attempted",
         (F.col("failed") & F.col("attempted")).alias("failed"),
     )
     rejected = parsed.where(F.col("error_class").isNotNull()).select(
@@ -264,3 +293,50 @@ def reconcile_dead_letters(
         messages=R.message_verdicts(everything),
         changes=J.dead_rows(jobs, J.mark_dead(jobs, marks)),
     )
+
+
+@dataclass
+class CreateResult:
+    responses: DataFrame
+    created: DataFrame
+
+
+def create_jobs(requests: DataFrame, jobs: DataFrame, *, as_of, config: IntakeConfig = IntakeConfig()) -> CreateResult:
+    """Create requests ``(job_id, event_key, headers, gateway_request_id, body,
+    is_base64)`` to responses and new pending rows.
+
+    Of several accepted requests with one job id the first by ``event_key``
+    inserts; the others, and ids that exist already, conflict.
+    """
+    asked = RQ.resolve_context(requests).withColumn("__ok", RQ.body_accepted())
+    first = asked.groupBy("job_id").agg(
+        F.min(F.when(F.col("__ok"), F.col("event_key"))).alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    state = first.select("job_id", "__first").join(
+        jobs.select("job_id", F.lit(True).alias("__exists")), "job_id", "left"
+    )
+    joined = skew.salted_lookup(
+        asked, state, ["job_id"], ["event_key"], counts=first.select("job_id", "__n"),
+        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+    )
+    outcome = (
+        F.when(~F.col("__ok"), "invalid_request")
+        .when(F.col("__exists") | (F.col("event_key") != F.col("__first")), "conflict")
+        .otherwise("succeeded")
+    )
+    responses = RQ.classify(joined, "create", outcome).withColumn(
+        "object_key", F.when(F.col("outcome") == "succeeded", X.build_object_key(F.col("job_id")))
+    ).drop("__ok", "__first", "__exists")
+    return CreateResult(responses, J.new_jobs(responses.where("outcome = 'succeeded'"), as_of))
+
+
+def get_jobs(requests: DataFrame, jobs: DataFrame, *, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+    """Read requests ``(event_key, path_parameters, ...)`` to views and outcomes."""
+    asked = requests.withColumn("job_id", RQ.path_job_id(F.col("path_parameters")))
+    found = J.lookup(asked, J.view(jobs), ["event_key"], config)
+    outcome = (
+        F.when(F.col("job_id").isNull(), "invalid_request")
+        .when(~F.col("job_found"), "not_found")
+        .otherwise("succeeded")
+    )
+    return RQ.classify(found, "get", outcome.alias("outcome"))

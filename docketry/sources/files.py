@@ -60,21 +60,29 @@ def messages(spark: SparkSession, path: str, *, streaming: bool = False, max_fil
 
 
 def text_objects(
-    spark: SparkSession, root: str, *, max_size_bytes: int | None = None, file_name: str = "source.txt"
+    spark: SparkSession,
+    root: str,
+    *,
+    max_size_bytes: int | None = None,
+    file_glob: str = "source.txt",
+    owner_pattern: str = r"documents/([^/]+)/source\.txt\z",
 ) -> DataFrame:
     """Objects ``<root>/documents/<id>/source.txt`` as stored objects.
 
+    ``owner_pattern`` finds the owner id in a file path; files of other names
+    or places keep a null key.
+
     The length limit is a filter on file metadata: bodies over it are not read,
     their rows stay with a null body.
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", file_name)
+        .option("pathGlobFilter", file_glob)
         .option("recursiveFileLookup", "true")
         .load(root)
     )
-    key = F.regexp_extract("path", r"(documents/[^/]+/source\.txt)\z", 1)
-    named = files.withColumn("object_key", F.when(key != "", key))
+    owner = F.regexp_extract("path", owner_pattern, 1)
+    named = files.withColumn("object_key", X.build_object_key(owner))
     columns = [
         F.col("object_key"),
         F.lit(None).cast("string").alias("version_id"),

@@ -85,17 +85,21 @@ def windowed_requests(telemetry: DataFrame, seconds: int = 300, delay: str = "10
     return metrics.request_sums(telemetry.withWatermark("ts", delay), seconds)
 
 
-def start_alarms(points: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_alarms(
+    points: DataFrame, out: str, checkpoint: str, *, horizon_hours: int = 6
+) -> StreamingQuery:
     """Keep metric points of a stream and re-evaluate the alarms after each batch.
 
     ``points`` holds windowed aggregates in update mode ``(metric,
     period_start, value)``; a later value of a period replaces the earlier one.
+    Each batch looks back over ``horizon_hours`` before its own first period.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sinks.write_batch(batch, out, "points", batch_id)
-        kept = spark.read.parquet(f"{out}/points")
+        since = batch.agg(F.min("period_start")).scalar() - F.make_dt_interval(hours=F.lit(horizon_hours))
+        kept = spark.read.parquet(f"{out}/points").where(F.col("period_start") >= since)
         newest = kept.groupBy("metric", "period_start").agg(
             F.max_by("value", "stream_batch").alias("value")
         )
