@@ -20,40 +20,56 @@ MALFORMED_BATCH = "malformed_queue_event"
 _EVENT_NAME = r"^ObjectCreated:.+$"
 
 
-def _raw_record(record: Column) -> Column:
+# Texts of a notification in one pass. It turns any scalar into text, so each
+# value is used only where the VARIANT says that the field is a JSON string.
+_TEXTS = (
+    "Records array<struct<eventName string, s3 struct<bucket struct<name string>, "
+    "object struct<key string, size string, eTag string, sequencer string, versionId string>>>>"
+)
+
+
+def _raw_record(record: Column, texts: Column) -> Column:
     """Typed fields of one notification record; null marks absent or mistyped."""
+    obj = texts["s3"]["object"]
 
-    def field(name: str, path: str) -> Column:
-        return X.non_blank(V.string(record, path)).alias(name)
+    def text(path: str, quick: Column) -> Column:
+        at = V.get(record, path)
+        exact = F.coalesce(quick, F.try_variant_get(at, "$", "string"))
+        return X.non_blank(F.when(V.kind(at) == "STRING", exact))
 
-    def optional(name: str, path: str) -> Column:
-        text = X.non_blank(V.string(record, path))
+    def optional(name: str, path: str, quick: Column) -> Column:
+        value = text(path, quick)
         return F.struct(
-            text.alias("text"), (V.present(record, path) & text.isNull()).alias("bad")
+            value.alias("text"), (V.present(record, path) & value.isNull()).alias("bad")
         ).alias(name)
 
+    at_size = V.get(record, "$.s3.object.size")
+    size = F.when(
+        V.kind(at_size) == "BIGINT",
+        F.coalesce(obj["size"].try_cast("bigint"), F.try_variant_get(at_size, "$", "bigint")),
+    )
     return F.struct(
         V.is_object(record).alias("is_object"),
-        field("event_name", "$.eventName"),
+        text("$.eventName", texts["eventName"]).alias("event_name"),
         (
             V.is_object(record, "$.s3")
             & V.is_object(record, "$.s3.bucket")
             & V.is_object(record, "$.s3.object")
         ).alias("has_sections"),
-        field("bucket_name", "$.s3.bucket.name"),
-        field("encoded_key", "$.s3.object.key"),
-        V.non_negative_int(record, "$.s3.object.size").alias("object_size"),
-        optional("etag", "$.s3.object.eTag"),
-        optional("sequencer", "$.s3.object.sequencer"),
-        optional("version_id", "$.s3.object.versionId"),
+        text("$.s3.bucket.name", texts["s3"]["bucket"]["name"]).alias("bucket_name"),
+        text("$.s3.object.key", obj["key"]).alias("encoded_key"),
+        F.when(size >= 0, size).alias("object_size"),
+        optional("etag", "$.s3.object.eTag", obj["eTag"]),
+        optional("sequencer", "$.s3.object.sequencer", obj["sequencer"]),
+        optional("version_id", "$.s3.object.versionId", obj["versionId"]),
     )
 
 
 def _event(raw: Column, expected_bucket: str) -> Column:
     """Typed event of a raw record with its first error, null when valid."""
 
-    def build(key: Column) -> Column:
-        job_id = X.job_id_from_key(key)
+    def build(name: Column) -> Column:
+        key, job_id = name["key"], name["job_id"]
         error = (
             F.when(~raw["is_object"] | raw["event_name"].isNull(), MALFORMED_NOTIFICATION)
             .when(~raw["event_name"].startswith("ObjectCreated:"), UNSUPPORTED_EVENT)
@@ -82,7 +98,10 @@ def _event(raw: Column, expected_bucket: str) -> Column:
             error.alias("error_class"),
         )
 
-    return V.let(X.form_decode(raw["encoded_key"]), build)
+    def owner(key: Column) -> Column:
+        return F.struct(key.alias("key"), X.job_id_from_key(key).alias("job_id"))
+
+    return V.let(V.let(X.form_decode(raw["encoded_key"]), owner), build)
 
 
 def parse_messages(messages: DataFrame, config: IntakeConfig) -> DataFrame:
@@ -97,7 +116,9 @@ def parse_messages(messages: DataFrame, config: IntakeConfig) -> DataFrame:
         messages.withColumn("message_id", X.non_blank(F.col("message_id")))
         .withColumn("__body", V.parse_strict(F.when(~X.is_blank(F.col("body")), F.col("body"))))
         .withColumn("__records", V.as_array(F.col("__body"), "$.Records"))
-        .withColumn("__events", F.transform(F.transform("__records", _raw_record), lambda r: _event(r, bucket)))
+        .withColumn("__texts", F.from_json("body", _TEXTS)["Records"])
+        .withColumn("__raw", F.zip_with("__records", F.coalesce("__texts", F.array()), _raw_record))
+        .withColumn("__events", F.transform("__raw", lambda r: _event(r, bucket)))
     )
     bad = F.filter("__events", lambda e: e["error_class"].isNotNull())
     error = (

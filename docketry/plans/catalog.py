@@ -505,7 +505,7 @@ def outcome_invariants(t: Tables) -> DataFrame:
 
 @query
 def telemetry_allowlist(t: Tables) -> DataFrame:
-    raw = t.read("events").selectExpr(
+    raw = t.spread("events", "event_id").selectExpr(
         "event_id", "CAST(ts AS TIMESTAMP) AS ts", "'processor' AS component", "'info' AS level",
         "CASE WHEN event_id % 13 = 0 THEN ' ' ELSE concat(' ', event_type, ' ') END AS event_name",
         "concat('{\"operation\":\"extract\",\"duration_ms\":', event_id, ',\"job_id\":{\"nested\":1},"
@@ -699,7 +699,7 @@ def change_report(t: Tables) -> DataFrame:
 
 @query
 def redact_documents(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", X.redact(F.col("text")).alias("redacted"))
+    return t.spread("documents", "doc_id").select("doc_id", X.redact(F.col("text")).alias("redacted"))
 
 
 @query
@@ -742,7 +742,7 @@ def binary_file_source(t: Tables) -> DataFrame:
     root = f"{shared_dir(t.spark)}/objects-{uuid.uuid4().hex}"
     t.read("documents").select(
         F.concat(F.lit("job-"), F.col("doc_id")).alias("job_id"), F.col("text").alias("value")
-    ).write.partitionBy("job_id").text(root)
+    ).repartition("job_id").write.partitionBy("job_id").text(root)
     found = files.text_objects(
         t.spark, root, max_size_bytes=CONFIG.max_size_bytes,
         file_glob="*.txt", owner_pattern=r"job_id=([^/]+)/[^/]+\z",

@@ -22,6 +22,18 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for CPU-heavy rows: few files are spread over all cores.
+
+        A table with at least as many files as cores is read as it is, without
+        a shuffle.
+        """
+        return self._spread(self.read(name), key)
+
+    def _spread(self, df: DataFrame, key: str) -> DataFrame:
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
     def _documents_n(self):
         return self.read("documents").agg(F.count(F.lit(1))).scalar()
 
@@ -87,7 +99,7 @@ class Tables:
                 F.col("doc2").isNotNull(),
                 F.concat(F.lit('{"Records":['), first, F.lit(","), second, F.lit("]}")),
             ).otherwise(body)
-        return rows.select(
+        return self._spread(rows, "event_id").select(
             "event_id",
             "doc_id",
             F.expr("concat('b-', event_id div 10)").alias("batch_id"),
@@ -128,7 +140,7 @@ class Tables:
             "CASE doc_id % 5 WHEN 0 THEN 'Invoice ' WHEN 1 THEN 'Service contract ' "
             "WHEN 2 THEN 'Quarterly report ' WHEN 3 THEN 'Internal note ' ELSE '' END"
         )
-        return self.read("documents").selectExpr(
+        return self.spread("documents", "doc_id").selectExpr(
             "doc_id",
             f"concat('  ', {prefix}, text, '\\n') AS document_text",
             "concat('corr-', doc_id % 100) AS correlation_id",
@@ -172,7 +184,7 @@ class Tables:
             "'\",\"output\":{\"message\":{\"role\":\"assistant\",\"content\":[{\"text\":', to_json_text(payload), "
             "'}]}},\"usage\":{\"inputTokens\":', n_chars, ',\"outputTokens\":', doc_id % 50, '}}')"
         )
-        d = self.read("documents").withColumn("payload", F.expr(text))
+        d = self.spread("documents", "doc_id").withColumn("payload", F.expr(text))
         quoted = F.regexp_replace(F.to_json(F.struct("payload")), r'^\{"payload":|\}\z', "")
         return d.withColumn("quoted", quoted).selectExpr(
             "doc_id",
