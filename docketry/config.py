@@ -21,6 +21,11 @@ class IntakeConfig:
     hot_share: float = 1e-5
     hot_min_rows: int = 100_000
     salts: int = 64
+    # a counted batch of at most this many rows may be broadcast to large tables
+    broadcast_rows: int = 200_000
+
+    def hot_options(self) -> dict:
+        return {"share": self.hot_share, "min_rows": self.hot_min_rows, "salts": self.salts}
 
     def __post_init__(self) -> None:
         if not self.expected_bucket.strip():

@@ -67,7 +67,7 @@ def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple
     for batch in batches:
         if batch.empty:
             continue
-        marks = batch[keys].fillna(_NONE)
+        marks = batch[keys].assign(__seg=batch["__seg"].astype("float64").fillna(_NONE))
         change = (marks != marks.shift()).any(axis=1).to_numpy()
         starts = np.flatnonzero(change)
         stops = np.append(starts[1:], len(batch))
@@ -150,7 +150,7 @@ def replay(
 
     ``order`` starts with ``ts``. Jobs that are not hot are one slice each.
     """
-    cut = skew.with_segments(history, ["job_id"], "ts", seconds=slice_seconds, **hot_options)
+    cut = skew.with_segments(history.where("job_id IS NOT NULL"), ["job_id"], "ts", seconds=slice_seconds, **hot_options)
     slim = cut.select("job_id", "__seg", *order, F.unix_micros("ts").alias("us"), "result")
     slices = (
         slim.repartition("job_id", "__seg")

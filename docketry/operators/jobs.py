@@ -86,12 +86,18 @@ def insert_if_absent(
     return inserted, conflicts
 
 
-def lookup(requests: DataFrame, jobs: DataFrame, spread_by: list[str], config: IntakeConfig = IntakeConfig()) -> DataFrame:
+def lookup(
+    requests: DataFrame,
+    jobs: DataFrame,
+    spread_by: list[str],
+    config: IntakeConfig = IntakeConfig(),
+    *,
+    few: bool = False,
+) -> DataFrame:
     """Current row of each requested job id; rows without a job are kept."""
     state = jobs.withColumn("job_found", F.lit(True))
     found = skew.salted_lookup(
-        requests, state, ["job_id"], spread_by,
-        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+        requests, state, ["job_id"], spread_by, few=few, **config.hot_options()
     )
     return found.withColumn("job_found", F.coalesce("job_found", F.lit(False)))
 
@@ -131,32 +137,42 @@ def start_route(as_of, job_found: Column = None, owned: Column = None) -> Column
     )
 
 
+# what routing and the later effects need; results can be large and stay behind
+_ROUTING = (
+    "PK", "entity_type", "job_id", "status", "request_id", "correlation_id", "created_at",
+    "attempts", LEASE,
+)
+
+
 def route_claims(
     events: DataFrame,
     jobs: DataFrame,
     as_of,
     order: list[str],
     config: IntakeConfig = IntakeConfig(),
+    *,
+    few: bool = False,
 ) -> DataFrame:
     """Join events to their jobs and decide ``start_outcome`` for each event.
 
     Deliveries of one batch are concurrent: for a claimable job the first event
     by ``order`` acquires the claim and the others see an active attempt. The
     first event and the row count of a job come from one combined aggregation,
-    which also tells the lookup which job ids are hot.
+    which also tells the lookup which job ids are hot. ``few`` as in
+    ``skew.salted_lookup``.
     """
     position = F.struct(*[F.col(o) for o in order])
     owned = F.col("object_key") == X.build_object_key(F.col("job_id"))
     stats = events.groupBy("job_id").agg(
         F.min(F.when(owned, position)).alias("__winner"), F.count(F.lit(1)).alias("__n")
     )
-    state = stats.select("job_id", "__winner").join(
-        jobs.withColumn("job_found", F.lit(True)), "job_id", "left"
+    winners = stats.select("job_id", "__winner")
+    state = jobs.select(*_ROUTING, F.lit(True).alias("job_found")).join(
+        F.broadcast(winners) if few else winners, "job_id"
     )
     joined = skew.salted_lookup(
-        events, state, ["job_id"], order,
-        counts=stats.select("job_id", "__n"),
-        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+        events, state, ["job_id"], order, counts=stats.select("job_id", "__n"),
+        few=few, **config.hot_options(),
     ).withColumn("job_found", F.coalesce("job_found", F.lit(False)))
     route = start_route(as_of, owned=owned)
     return (
@@ -316,14 +332,14 @@ def dead_rows(jobs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def merge_rows(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Job table with changed rows replaced and new rows added."""
-    names = list(S.JOB_COLUMNS)
-    base = jobs.select(*names)
-    fresh = changes.select("job_id", F.struct(*names).alias("__new"))
-    merged = base.withColumn("__old", F.struct(*names)).select("job_id", "__old").join(
-        fresh, "job_id", "full_outer"
-    )
-    return merged.select(F.coalesce("__new", "__old").alias("r")).select("r.*")
+    """Job table with changed rows replaced and new rows added.
+
+    An anti join and a union: a small set of changes is broadcast by its real
+    size and the table is not shuffled.
+    """
+    fresh = changes.select(*S.JOB_COLUMNS)
+    kept = jobs.select(*S.JOB_COLUMNS).join(fresh.select("job_id"), "job_id", "left_anti")
+    return kept.select(*S.JOB_COLUMNS).unionByName(fresh)
 
 
 # ---- item decoding and audits -----------------------------------------------

@@ -16,12 +16,7 @@ NO_REFERENCE = "invalid_document_reference"
 DEPENDENCY = "document_dependency_error"
 
 _LATEST = "\u0000latest"
-
-
-def _bounded(objects: DataFrame, config: IntakeConfig) -> DataFrame:
-    """Drop bodies that are too long before they can be shuffled."""
-    fits = F.col("size_bytes") <= config.max_size_bytes
-    return objects.withColumn("content", F.when(fits, F.col("content")))
+_KEY = ["object_key", "__version"]
 
 
 def _addressed(objects: DataFrame) -> DataFrame:
@@ -32,31 +27,12 @@ def _addressed(objects: DataFrame) -> DataFrame:
     return objects.withColumn("__version", F.explode(labels))
 
 
-def join_objects(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
-    """Attach the stored object to each reference ``(object_key, version_id)``.
-
-    A reference without a version means the latest object. Both cases are one
-    equi join on (key, version label), so a key with very many versions is
-    spread over partitions. Object columns get the prefix ``stored_``.
-    """
-    stored = _addressed(_bounded(objects, config)).select(
-        "object_key",
-        "__version",
-        F.lit(True).alias("stored_found"),
-        F.col("version_id").alias("stored_version_id"),
-        F.col("content").alias("stored_content"),
-        F.col("size_bytes").alias("stored_size_bytes"),
-        F.col("content_type").alias("stored_content_type"),
-        F.col("etag").alias("stored_etag"),
-        F.col("load_error").alias("stored_load_error"),
-    )
-    asked = references.withColumn("__version", F.coalesce(F.col("version_id"), F.lit(_LATEST)))
-    joined = asked.join(stored, ["object_key", "__version"], "left").drop("__version")
-    return joined.withColumn("stored_found", F.coalesce("stored_found", F.lit(False)))
+def _asked(references: DataFrame) -> DataFrame:
+    return references.withColumn("__version", F.coalesce(F.col("version_id"), F.lit(_LATEST)))
 
 
-def object_error(config: IntakeConfig) -> Column:
-    """First failed check of a joined reference, null when the text is usable."""
+def metadata_error(config: IntakeConfig) -> Column:
+    """First check that fails on the metadata of a joined reference."""
     limit = F.lit(config.max_size_bytes)
     expected = X.normalize_etag(F.col("etag"))
     actual = X.normalize_etag(F.col("stored_etag"))
@@ -72,9 +48,6 @@ def object_error(config: IntakeConfig) -> Column:
         | (F.col("version_id").isNotNull() & ~X.strip(version).eqNullSafe(F.col("version_id")))
         | (F.col("stored_size_bytes") != F.col("object_size"))
         | (actual != expected)
-        | F.col("stored_content").isNull()
-        | (F.octet_length("stored_content") != F.col("stored_size_bytes"))
-        | ~F.is_valid_utf8(F.col("stored_content").cast("string"))
     )
     return (
         F.when(F.col("etag").isNull(), NO_REFERENCE)
@@ -85,15 +58,52 @@ def object_error(config: IntakeConfig) -> Column:
     )
 
 
-def document_text() -> Column:
-    return F.try_validate_utf8(F.col("stored_content").cast("string"))
+def check_metadata(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
+    """References with ``object_error`` as far as metadata can tell.
+
+    A reference ``(object_key, version_id, etag, object_size)`` without a
+    version means the latest object. Both cases are one equi join on (key,
+    version label), so a key with very many versions is spread over partitions.
+    No body is read.
+    """
+    stored = _addressed(objects).select(
+        *_KEY,
+        F.lit(True).alias("stored_found"),
+        F.col("version_id").alias("stored_version_id"),
+        F.col("size_bytes").alias("stored_size_bytes"),
+        F.col("content_type").alias("stored_content_type"),
+        F.col("etag").alias("stored_etag"),
+        F.col("load_error").alias("stored_load_error"),
+    )
+    joined = _asked(references).join(stored, _KEY, "left").withColumn(
+        "stored_found", F.coalesce("stored_found", F.lit(False))
+    )
+    return joined.select(*references.columns, metadata_error(config).alias("object_error"))
 
 
-def load_documents(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
-    """References with ``object_error`` and, when usable, ``document_text``."""
-    joined = join_objects(references, objects, config)
-    checked = joined.withColumn("object_error", object_error(config))
-    text = F.when(F.col("object_error").isNull(), document_text())
-    return checked.withColumn("document_text", text).drop(
-        *[c for c in checked.columns if c.startswith("stored_")]
+def load_documents(
+    references: DataFrame, objects: DataFrame, config: IntakeConfig, *, few: bool = False
+) -> DataFrame:
+    """References with ``object_error`` and, when usable, ``document_text``.
+
+    Metadata is checked first, and only references that pass meet the bodies,
+    in an inner join: when the caller has counted them as ``few`` they are
+    broadcast and bodies are filtered where they are read; otherwise both sides
+    are shuffled by key. Bodies over the size limit are left at the scan.
+    """
+    checked = check_metadata(references, objects, config)
+    passed = _asked(checked.where(F.col("object_error").isNull()).drop("object_error"))
+    bodies = _addressed(objects.where(F.col("size_bytes") <= config.max_size_bytes)).select(
+        *_KEY, "content"
+    )
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    usable = (F.octet_length("content") == F.col("object_size")) & text.isNotNull()
+    loaded = (F.broadcast(passed) if few else passed).join(bodies, _KEY)
+    good = loaded.withColumn(
+        "object_error", F.when(~F.coalesce(usable, F.lit(False)), INVALID)
+    ).withColumn("document_text", F.when(F.col("object_error").isNull(), text))
+    failed = checked.where(F.col("object_error").isNotNull()).withColumn(
+        "document_text", F.lit(None).cast("string")
     )
+    names = [*references.columns, "object_error", "document_text"]
+    return good.select(*names).unionByName(failed.select(*names))

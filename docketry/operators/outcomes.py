@@ -74,8 +74,7 @@ def reject_broken_batches(messages: DataFrame, config: IntakeConfig = IntakeConf
         .agg(F.min("msg_pos").alias("__broken"))
     )
     looked = skew.salted_lookup(
-        messages, broken, ["batch_id"], ["msg_pos"],
-        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+        messages, broken, ["batch_id"], ["msg_pos"], **config.hot_options()
     )
     return (
         looked.withColumn(

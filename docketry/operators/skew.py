@@ -49,14 +49,24 @@ def salted_lookup(
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
+    few: bool = False,
 ) -> DataFrame:
     """Left join of a large fact to a table that is unique on ``keys``.
 
+    ``few`` says that the caller has counted the fact and found it small: then
+    its keys are broadcast to ``dim``, so a large ``dim`` is filtered where it
+    is read and never shuffled.
+
     Rows of hot keys are spread over ``salts`` partitions by a hash of
     ``spread_by``; only the matching hot rows of ``dim`` are repeated. Rows
     without a key are spread too, they match nothing.
     """
-    hot = hot_keys(counts if counts is not None else key_counts(fact, keys), keys, share, min_rows)
+    if counts is None:
+        counts = key_counts(fact, keys)
+    if few:
+        asked = dim.join(F.broadcast(counts.select(*keys)), list(keys), "left_semi")
+        return fact.join(asked, list(keys), "left")
+    hot = hot_keys(counts, keys, share, min_rows)
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

@@ -56,9 +56,10 @@ def _run_claims(
     plan: DataFrame | None,
     extractor: extract.Extractor,
     config: IntakeConfig,
+    few: bool,
 ) -> DataFrame:
     """Load, extract and decide the final effect of each acquired claim."""
-    loaded = O.load_documents(claimed, objects, config)
+    loaded = O.load_documents(claimed, objects, config, few=few)
     if plan is not None:
         loaded = loaded.join(plan.select("job_id", "planned_outcome"), "job_id", "left")
     loaded = loaded.withColumn(
@@ -100,14 +101,15 @@ def _round(
     extractor: extract.Extractor,
     as_of,
     config: IntakeConfig,
+    few: bool,
 ) -> DataFrame:
     """Outcome of each event when all of them are delivered at the same time."""
     now = TM.as_timestamp(as_of)
-    routed = cut_lineage(J.route_claims(events, jobs, as_of, ARRIVAL, config))
+    routed = cut_lineage(J.route_claims(events, jobs, as_of, ARRIVAL, config, few=few))
     won = F.col("start_outcome") == J.CLAIM_ACQUIRED
     attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
     claimed = routed.where(won).withColumn("attempt_id", attempt)
-    ran = _run_claims(claimed, objects, plan, extractor, config)
+    ran = _run_claims(claimed, objects, plan, extractor, config, few)
     effects = ran.select(
         *_POSITION, "message_id", "job_id", "start_outcome", "attempt_id", "effect", "result_json",
         F.col("__reason").alias("failure_reason"), F.col("__retry").alias("retry_reason"),
@@ -178,10 +180,12 @@ def process_uploads(
     their effects but are delivered again, it and the rest are not handled.
     """
     parsed = parse_once(messages, config)
-    longest, without_id = parsed.agg(
-        F.max(F.size("events")), F.count_if(F.col("message_id").isNull())
+    longest, n_events, without_id = parsed.agg(
+        F.max(F.size("events")), F.sum(F.greatest(F.size("events"), F.lit(0))),
+        F.count_if(F.col("message_id").isNull()),
     ).first()
     rounds = max(longest or 0, 1)
+    few = (n_events or 0) <= config.broadcast_rows
     parsed = parsed.withColumn("batch_state", F.lit("processed"))
     if without_id:
         parsed = R.reject_broken_batches(parsed.drop("batch_state"), config)
@@ -208,7 +212,7 @@ def process_uploads(
         if stopped is not None:
             batch = batch.join(stopped, R.MESSAGE_KEY, "left_anti")
         # records, job changes and the next round all read this outcome table
-        ran = cut_lineage(_round(batch, current, objects, plan, extractor, as_of, config))
+        ran = cut_lineage(_round(batch, current, objects, plan, extractor, as_of, config, few))
         records = records.unionByName(ran.select(*_RECORD_COLUMNS))
         written = _changed_jobs(ran, config)
         changes = written if changes is None else J.merge_rows(changes, written)
@@ -249,7 +253,8 @@ def reconcile_dead_letters(
     """
     parsed = parse_once(messages, config)
     events = intake.flatten_events(parsed)
-    hot = {"share": config.hot_share, "min_rows": config.hot_min_rows, "salts": config.salts}
+    n_events = parsed.agg(F.sum(F.greatest(F.size("events"), F.lit(0)))).first()[0]
+    hot = {**config.hot_options(), "few": (n_events or 0) <= config.broadcast_rows}
     state = jobs.select("job_id", "status", "attempts", "updated_at", J.LEASE).withColumn(
         "job_found", F.lit(True)
     )
@@ -317,7 +322,7 @@ def create_jobs(requests: DataFrame, jobs: DataFrame, *, as_of, config: IntakeCo
     )
     joined = skew.salted_lookup(
         asked, state, ["job_id"], ["event_key"], counts=first.select("job_id", "__n"),
-        share=config.hot_share, min_rows=config.hot_min_rows, salts=config.salts,
+        **config.hot_options(),
     )
     outcome = (
         F.when(~F.col("__ok"), "invalid_request")
