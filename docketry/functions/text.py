@@ -20,7 +20,7 @@ PARTITION_PREFIX = "JOB#"
 
 
 def strip(col: Column) -> Column:
-    # trimming a character set is a native byte scan, much cheaper than a regex
+    # trimming a character set is a native scan, much cheaper than a regex
     return F.btrim(col, F.lit(_SEPARATORS + _UNICODE_SPACE))
 
 

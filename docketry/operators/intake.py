@@ -29,19 +29,17 @@ _TEXTS = (
 
 
 def _raw_record(record: Column, texts: Column) -> Column:
-    """Typed fields of one notification record; null marks absent or mistyped."""
+    """Fields of one notification record as they are; null when absent or mistyped.
+
+    A text below ``s3.bucket`` or ``s3.object`` exists only when those are
+    objects, so only ``s3.object`` itself needs a test of its own.
+    """
     obj = texts["s3"]["object"]
 
-    def text(path: str, quick: Column) -> Column:
+    def text(name: str, path: str, quick: Column) -> Column:
         at = V.get(record, path)
         exact = F.coalesce(quick, F.try_variant_get(at, "$", "string"))
-        return X.non_blank(F.when(V.kind(at) == "STRING", exact))
-
-    def optional(name: str, path: str, quick: Column) -> Column:
-        value = text(path, quick)
-        return F.struct(
-            value.alias("text"), (V.present(record, path) & value.isNull()).alias("bad")
-        ).alias(name)
+        return F.when(V.kind(at) == "STRING", exact).alias(name)
 
     at_size = V.get(record, "$.s3.object.size")
     size = F.when(
@@ -49,39 +47,65 @@ def _raw_record(record: Column, texts: Column) -> Column:
         F.coalesce(obj["size"].try_cast("bigint"), F.try_variant_get(at_size, "$", "bigint")),
     )
     return F.struct(
-        V.is_object(record).alias("is_object"),
-        text("$.eventName", texts["eventName"]).alias("event_name"),
-        (
-            V.is_object(record, "$.s3")
-            & V.is_object(record, "$.s3.bucket")
-            & V.is_object(record, "$.s3.object")
-        ).alias("has_sections"),
-        text("$.s3.bucket.name", texts["s3"]["bucket"]["name"]).alias("bucket_name"),
-        text("$.s3.object.key", obj["key"]).alias("encoded_key"),
-        F.when(size >= 0, size).alias("object_size"),
-        optional("etag", "$.s3.object.eTag", obj["eTag"]),
-        optional("sequencer", "$.s3.object.sequencer", obj["sequencer"]),
-        optional("version_id", "$.s3.object.versionId", obj["versionId"]),
+        text("event_name", "$.eventName", texts["eventName"]),
+        V.is_object(record, "$.s3.object").alias("has_object"),
+        text("bucket_name", "$.s3.bucket.name", texts["s3"]["bucket"]["name"]),
+        text("encoded_key", "$.s3.object.key", obj["key"]),
+        size.alias("object_size"),
+        text("etag", "$.s3.object.eTag", obj["eTag"]),
+        V.present(record, "$.s3.object.eTag").alias("etag_given"),
+        text("sequencer", "$.s3.object.sequencer", obj["sequencer"]),
+        V.present(record, "$.s3.object.sequencer").alias("sequencer_given"),
+        text("version_id", "$.s3.object.versionId", obj["versionId"]),
+        V.present(record, "$.s3.object.versionId").alias("version_id_given"),
+    )
+
+
+_REQUIRED = ("event_name", "bucket_name", "encoded_key")
+_OPTIONAL = ("etag", "sequencer", "version_id")
+
+
+def _strip_record(raw: Column) -> Column:
+    names = (*_REQUIRED, *_OPTIONAL)
+    rest = ("has_object", "object_size", *[f"{n}_given" for n in _OPTIONAL])
+    return F.struct(
+        *[X.strip(raw[n]).alias(n) for n in names], *[raw[n].alias(n) for n in rest]
+    )
+
+
+def _clean_record(stripped: Column) -> Column:
+    """Blank texts become null; ``bad_optional`` marks given but unusable ones."""
+
+    def text(name: str) -> Column:
+        return F.when(stripped[name] != "", stripped[name])
+
+    bad = F.lit(False)
+    for n in _OPTIONAL:
+        bad = bad | (stripped[f"{n}_given"] & F.coalesce(stripped[n] == "", F.lit(True)))
+    size = F.when(stripped["object_size"] >= 0, stripped["object_size"])
+    return F.struct(
+        *[text(n).alias(n) for n in (*_REQUIRED, *_OPTIONAL)],
+        stripped["has_object"].alias("has_object"),
+        size.alias("object_size"),
+        bad.alias("bad_optional"),
     )
 
 
 def _event(raw: Column, expected_bucket: str) -> Column:
-    """Typed event of a raw record with its first error, null when valid."""
+    """Typed event of a cleaned record with its first error, null when valid."""
 
-    def build(name: Column) -> Column:
-        key, job_id = name["key"], name["job_id"]
+    def build(key: Column) -> Column:
+        job_id = key["job_id"]
         error = (
-            F.when(~raw["is_object"] | raw["event_name"].isNull(), MALFORMED_NOTIFICATION)
+            F.when(raw["event_name"].isNull(), MALFORMED_NOTIFICATION)
             .when(~raw["event_name"].startswith("ObjectCreated:"), UNSUPPORTED_EVENT)
-            .when(~raw["has_sections"] | raw["bucket_name"].isNull(), MALFORMED_NOTIFICATION)
+            .when(~raw["has_object"] | raw["bucket_name"].isNull(), MALFORMED_NOTIFICATION)
             .when(raw["bucket_name"] != F.lit(expected_bucket), UNEXPECTED_BUCKET)
             .when(raw["encoded_key"].isNull(), MALFORMED_NOTIFICATION)
             .when(job_id.isNull(), INVALID_KEY)
             .when(
                 raw["object_size"].isNull()
-                | raw["etag"]["bad"]
-                | raw["sequencer"]["bad"]
-                | raw["version_id"]["bad"]
+                | raw["bad_optional"]
                 | ~raw["event_name"].rlike(_EVENT_NAME),
                 MALFORMED_NOTIFICATION,
             )
@@ -89,17 +113,17 @@ def _event(raw: Column, expected_bucket: str) -> Column:
         return F.struct(
             raw["event_name"].alias("event_name"),
             raw["bucket_name"].alias("bucket_name"),
-            key.alias("object_key"),
+            key["text"].alias("object_key"),
             job_id.alias("job_id"),
             raw["object_size"].alias("object_size"),
-            raw["etag"]["text"].alias("etag"),
-            raw["sequencer"]["text"].alias("sequencer"),
-            raw["version_id"]["text"].alias("version_id"),
+            raw["etag"].alias("etag"),
+            raw["sequencer"].alias("sequencer"),
+            raw["version_id"].alias("version_id"),
             error.alias("error_class"),
         )
 
-    def owner(key: Column) -> Column:
-        return F.struct(key.alias("key"), X.job_id_from_key(key).alias("job_id"))
+    def owner(text: Column) -> Column:
+        return F.struct(text.alias("text"), X.job_id_from_key(text).alias("job_id"))
 
     return V.let(V.let(X.form_decode(raw["encoded_key"]), owner), build)
 
@@ -114,11 +138,12 @@ def parse_messages(messages: DataFrame, config: IntakeConfig) -> DataFrame:
     bucket = config.expected_bucket.strip()
     parsed = (
         messages.withColumn("message_id", X.non_blank(F.col("message_id")))
-        .withColumn("__body", V.parse_strict(F.when(~X.is_blank(F.col("body")), F.col("body"))))
+        .withColumn("__body", V.parse_strict(F.col("body")))
         .withColumn("__records", V.as_array(F.col("__body"), "$.Records"))
         .withColumn("__texts", F.from_json("body", _TEXTS)["Records"])
         .withColumn("__raw", F.zip_with("__records", F.coalesce("__texts", F.array()), _raw_record))
-        .withColumn("__events", F.transform("__raw", lambda r: _event(r, bucket)))
+        .withColumn("__clean", F.transform(F.transform("__raw", _strip_record), _clean_record))
+        .withColumn("__events", F.transform("__clean", lambda r: _event(r, bucket)))
     )
     bad = F.filter("__events", lambda e: e["error_class"].isNotNull())
     error = (
