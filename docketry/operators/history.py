@@ -150,7 +150,7 @@ def replay(
 
     ``order`` starts with ``ts``. Jobs that are not hot are one slice each.
     """
-    cut = skew.with_segments(history.where("job_id IS NOT NULL"), ["job_id"], "ts", seconds=slice_seconds, **hot_options)
+    cut, _ = skew.with_segments(history.where("job_id IS NOT NULL"), ["job_id"], "ts", seconds=slice_seconds, **hot_options)
     slim = cut.select("job_id", "__seg", *order, F.unix_micros("ts").alias("us"), "result")
     slices = (
         slim.repartition("job_id", "__seg")

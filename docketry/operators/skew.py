@@ -35,6 +35,23 @@ def hot_keys(
     return counts.where(F.col("__n") > limit).select(*keys, F.lit(True).alias("__hot"))
 
 
+def found_hot_keys(
+    counts: DataFrame,
+    keys: Sequence[str],
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_MIN_ROWS,
+) -> DataFrame | None:
+    """Hot keys as a local table, or None when there is none.
+
+    One counting job over the key columns, run once: its result steers every
+    branch, and without hot keys the callers keep their plain plans. The driver
+    receives at most ``1 / share`` keys.
+    """
+    hot = hot_keys(counts, keys, share, min_rows)
+    rows = hot.collect()
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(hot), list(keys), "left")
 
@@ -66,7 +83,9 @@ def salted_lookup(
     if few:
         asked = dim.join(F.broadcast(counts.select(*keys)), list(keys), "left_semi")
         return fact.join(asked, list(keys), "left")
-    hot = hot_keys(counts, keys, share, min_rows)
+    hot = found_hot_keys(counts, keys, share, min_rows)
+    if hot is None:
+        return fact.join(dim, list(keys), "left")
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
@@ -90,15 +109,21 @@ def with_segments(
     seconds: int = SEGMENT_SECONDS,
     share: float = HOT_SHARE,
     min_rows: int = HOT_MIN_ROWS,
-) -> DataFrame:
-    """Add ``__seg``: time slices for hot keys, one slice for every other key."""
-    hot = hot_keys(key_counts(df, keys), keys, share, min_rows)
+) -> tuple[DataFrame, bool]:
+    """Add ``__seg``: time slices for hot keys, null for every other key.
+
+    The second value tells whether any key was hot.
+    """
+    hot = found_hot_keys(key_counts(df, keys), keys, share, min_rows)
+    if hot is None:
+        return df.withColumn("__seg", F.lit(None).cast("long")), False
     slice_no = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
-    return (
+    cut = (
         _mark_hot(df, hot, keys)
         .withColumn("__seg", F.when(F.col("__hot"), slice_no))
         .drop("__hot")
     )
+    return cut, True
 
 
 def _segment_key(keys: Sequence[str]) -> list[str]:
@@ -118,7 +143,12 @@ def segmented_lag(
     Inside a slice this is a plain window. The first row of a slice takes the
     last row of the slice before it, from a table with one row per slice.
     """
-    rows = with_segments(df, keys, ts, **hot_options)
+    rows, cut = with_segments(df, keys, ts, **hot_options)
+    if not cut:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        for v in values:
+            rows = rows.withColumn(f"prev_{v}", F.lag(v).over(whole))
+        return rows.drop("__seg")
     current = F.struct(*[F.col(v) for v in values])
     position = F.struct(*[F.col(o) for o in order])
     inside = Window.partitionBy(*_segment_key(keys)).orderBy(*order)
@@ -148,7 +178,10 @@ def segmented_row_number(
     **hot_options,
 ) -> DataFrame:
     """Rank of a row within its key: rank in the slice plus rows of earlier slices."""
-    rows = with_segments(df, keys, ts, **hot_options)
+    rows, cut = with_segments(df, keys, ts, **hot_options)
+    if not cut:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(whole).cast("long")).drop("__seg")
     inside = Window.partitionBy(*_segment_key(keys)).orderBy(*order)
     sizes = (
         rows.where(F.col("__seg").isNotNull())

@@ -127,7 +127,3 @@ def raw_jobs(spark: SparkSession, path: str) -> DataFrame:
     """External job items (ISO text timestamps); bad rows become nulls, not errors."""
     return spark.read.schema(S.RAW_JOB).option("mode", "PERMISSIVE").json(path)
 
-
-def has_blank_ids(messages: DataFrame) -> DataFrame:
-    """Messages without an id; each of them fails its whole batch."""
-    return messages.where(X.is_blank(F.col("message_id")))
