@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import quality
+from docketry.llm import exact, quality
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure_quality(table(spark, sf_dir, "documents"))
     return measured.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = exact.mark_duplicates(table(spark, sf_dir, "documents"))
+    return marked.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")
+    )
+
+
+_SQL["op1_exact_dedup"] = """
+    WITH n AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+        FROM documents
+    )
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY t)
+"""
