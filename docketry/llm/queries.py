@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import exact, quality
+from docketry.llm import exact, quality, simhash
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,11 @@ _SQL["op1_exact_dedup"] = """
            doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
     FROM n WINDOW w AS (PARTITION BY t)
 """
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.cluster(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return grouped.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
