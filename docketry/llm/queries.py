@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import exact, quality, simhash
+from docketry.llm import exact, quality, simhash, substring
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,32 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.measure_repeats(table(spark, sf_dir, "documents"), substring.Windows(words=35))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256")
+    )
+
+
+_SQL["op10_substring_dedup"] = """
+    WITH d AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS words
+        FROM documents
+    ),
+    starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM d),
+    windows AS (SELECT doc_id, s, md5(array_to_string(words[s : s + 34], ' ')) AS w FROM starts),
+    repeated AS (SELECT doc_id, s FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+    covered AS (
+        SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 35)) AS p FROM repeated) GROUP BY doc_id
+    ),
+    kept AS (
+        SELECT d.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+               CASE WHEN gone IS NULL THEN words ELSE
+                   list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)), i -> words[i]) END AS rest
+        FROM d LEFT JOIN covered USING (doc_id)
+    )
+    SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
