@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import exact, quality, simhash, substring
+from docketry.llm import counting, exact, quality, simhash, substring, tokens
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL["op10_substring_dedup"] = """
     WITH d AS (
-        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS words
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
         FROM documents
     ),
     starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS s FROM d),
@@ -89,8 +89,14 @@ _SQL["op10_substring_dedup"] = """
     kept AS (
         SELECT d.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
                CASE WHEN gone IS NULL THEN words ELSE
-                   list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)), i -> words[i]) END AS rest
+                   list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END AS rest
         FROM d LEFT JOIN covered USING (doc_id)
     )
     SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
 """
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.public_path("word_bpe_49k.json")
+    return counting.count_tokens(table(spark, sf_dir, "documents"), path, 2048).withColumnRenamed("id", "doc_id")
