@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import counting, exact, quality, simhash, substring, tokens
+from docketry.llm import counting, exact, packing, quality, simhash, substring, tokens
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ _SQL["op10_substring_dedup"] = """
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.public_path("word_bpe_49k.json")
     return counting.count_tokens(table(spark, sf_dir, "documents"), path, 2048).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.public_path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, limit=2048, end_id=0).withColumnRenamed("id", "doc_id")

@@ -1,9 +1,7 @@
-"""Tokenizers inside tasks: word-wise memo for byte-level BPE, whole-token shortcut for word BPE.
+"""Tokenizers inside tasks: byte-level BPE, and the whole-token shortcut for word BPE.
 
 The tokenizer file is read on the driver and broadcast; its size does not depend
-on the data. Both classes agree with the library on every text: what the memo
-does not know goes to the library, and texts are only split where the tokenizer
-itself always splits.
+on the data. Both classes agree with the file's library on every text.
 """
 
 from __future__ import annotations
@@ -12,6 +10,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 from docketry.llm.common import worker_cache
 from docketry.shipping import ship_with_tasks
@@ -39,55 +38,44 @@ def loaded(kind, content: bytes, *args):
     return worker_cache(f"{kind.__name__}-{zlib.crc32(content)}", lambda: kind(content, *args))
 
 
+def _vocabulary_bytes(model: dict) -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    own = {chr(b): b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
+    rest = [b for b in range(256) if chr(b) not in own]
+    return own | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class ByteBpe:
-    """Ids of byte-level BPE whose pattern attaches one space to the word after it.
+    """Ids of byte-level BPE.
 
-    A single space, or a line feed, between two characters that are not white
-    space ends a pre-token; the ids of the stretches between can be joined.
+    The merges run in a second library, faster on whole texts, over the ranks of
+    the tokenizer file; that the vocabulary's ids are those ranks is checked
+    here. Texts with special strings go to the file's own library.
     """
 
-    _crowded = re.compile(r"\s\s")
-    _single = re.compile(r"(?<=\S) (?=\S)")
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, content: bytes):
-        self.library = _library(content)
-        self.special = [t["content"] for t in json.loads(content)["added_tokens"]]
-        self.first: dict[str, bytes] = {}  # stretch at the start of a line
-        self.later: dict[str, bytes] = {}  # stretch after a space
-        self.newline = self._ids(["\n"])[0]
+        import tiktoken
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        out = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in out]
-
-    def _learn(self, memo: dict[str, bytes], lead: str, stretches: set[str]) -> None:
-        new = [s for s in stretches if s not in memo]
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
-            new = list(stretches)
-        memo.update(zip(new, self._ids([lead + s for s in new])))
+        self.library, spec = _library(content), json.loads(content)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte_of = _vocabulary_bytes(spec["model"])
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+        merged = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+        if any(spec["model"]["vocab"][m.replace(" ", "", 1)] != 256 + i for i, m in enumerate(merged)):
+            raise ValueError("the ids of this vocabulary are not its merge ranks")
+        self.coder = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        plans: list[list[list[str]] | None] = []
+        """Ids of each text as unsigned 32-bit integers in the order of this machine (little-endian)."""
+        out = []
         for text in texts:
             if any(s in text for s in self.special):
-                plans.append(None)
-            elif self._crowded.search(text):
-                plans.append([self._single.split(text)])
-            else:
-                plans.append([line.split(" ") for line in text.split("\n")])
-        lines = [line for plan in plans if plan for line in plan]
-        self._learn(self.first, "", {line[0] for line in lines})
-        self._learn(self.later, " ", {s for line in lines for s in line[1:]})
-        first, later, newline, out = self.first, self.later.__getitem__, self.newline, []
-        for text, plan in zip(texts, plans):
-            if plan is None:
-                out.append(self._ids([text])[0])
+                ids = self.library.encode(text, add_special_tokens=False).ids
             else:
-                out.append(newline.join([b"".join((first[line[0]], *map(later, line[1:]))) for line in plan]))
+                ids = self.coder.encode_ordinary(text)
+            out.append(array("I", ids).tobytes())
         return out
 
 
@@ -98,9 +86,7 @@ def proven_whole_tokens(content: bytes) -> list[str]:
     """
     library, model = _library(content), json.loads(content)["model"]
     end = model["end_of_word_suffix"]
-    unicode_of = {b: chr(b) for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)}
-    rest = [b for b in range(256) if b not in unicode_of]
-    byte_of = {c: b for b, c in unicode_of.items()} | {chr(256 + i): b for i, b in enumerate(rest)}
+    byte_of = _vocabulary_bytes(model)
     words = []
     for token in model["vocab"]:
         if token.endswith(end) and all(c in byte_of for c in token.removesuffix(end)):
