@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import counting, exact, packing, quality, simhash, substring, tokens
+from docketry.llm import counting, exact, packing, quality, simhash, substring, tokens, warc
+from docketry.llm.common import scratch
 from docketry.session import prepare_session
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +107,23 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokens.public_path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, limit=2048, end_id=0).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+_SQL["op3_warc"] = """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages
+    )
+    SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+           CASE WHEN strlen(h) >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN strlen(h) >= 1000 AND page_id <> best THEN best END AS refers_to
+    FROM p
+"""
