@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import counting, exact, packing, pieces, quality, simhash, substring, tokens, warc
+from docketry.llm import counting, exact, licenses, packing, pieces, quality, simhash, substring, tokens, warc
 from docketry.llm.common import scratch
 from docketry.session import prepare_session
 
@@ -134,3 +134,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text again (the mark U+2581 reads as a space)."""
     path = tokens.public_path("piece_bpe_32k.model")
     return pieces.round_trip(table(spark, sf_dir, "documents"), path).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
