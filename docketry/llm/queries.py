@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import counting, exact, licenses, packing, pieces, quality, simhash, substring, tokens, warc
+from docketry.llm import counting, exact, licenses, packing, pieces, quality, simhash, substring, tokens, toolcalls, warc
 from docketry.llm.common import scratch
 from docketry.session import prepare_session
 
@@ -139,3 +139,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls that the conversations imply, linked to their results; ``message`` is the canonical JSON."""
+    calls, results = toolcalls.calls_of(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, toolcalls.TOOLS).withColumnRenamed("conv", "conv_id")
