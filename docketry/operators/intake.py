@@ -195,12 +195,13 @@ def event_violations(events: DataFrame) -> DataFrame:
 def latest_by_sequencer(events: DataFrame) -> DataFrame:
     """Keep the newest notification per object key by its sequencer.
 
-    Sequencers are hexadecimal text of differing length, so they are compared
-    left-padded. One aggregation with map-side combine, no window.
+    Sequencers are hexadecimal numbers of any length: without leading zeros the
+    longer one is newer, and of equal length the larger text. One aggregation
+    with map-side combine, no window.
     """
-    padded = F.lpad(F.lower(F.coalesce("sequencer", F.lit(""))), 64, "0")
+    digits = F.ltrim(F.lower(F.coalesce("sequencer", F.lit(""))), F.lit("0"))
     row = F.struct(*[F.col(c) for c in events.columns])
     newest = events.groupBy("object_key").agg(
-        F.max_by(row, F.struct(padded, "message_id", "rec_pos")).alias("r")
+        F.max_by(row, F.struct(F.length(digits), digits, "message_id", "rec_pos")).alias("r")
     )
     return newest.select("r.*")

@@ -110,29 +110,43 @@ def queue_depth(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
     )
 
 
-def oldest_age(deliveries: DataFrame, seconds: int = 60) -> DataFrame:
-    """Age of the oldest waiting message at the end of each period.
+def period_grid(rows: DataFrame, keep: list[str], start: Column, end: Column, seconds: Column | int) -> DataFrame:
+    """A row for each period from ``start`` to ``end``, beside the columns ``keep``.
 
-    Messages are first reduced to one row per (sent period, received period);
-    only those rows are spread over the periods they were waiting in.
+    Spread in two steps, so no array is longer than some hundred periods or chunks.
     """
+    width = F.make_dt_interval(secs=F.lit(seconds) if isinstance(seconds, int) else seconds)
+    ready = rows.where(start <= end).select(*keep, end.alias("__end"), width.alias("__step"), start.alias("__start"))
+    chunks = ready.select("*", F.explode(F.sequence("__start", "__end", F.col("__step") * 512)).alias("__chunk"))
+    last = F.least(F.col("__chunk") + F.col("__step") * 511, F.col("__end"))
+    return chunks.select(*keep, F.explode(F.sequence("__chunk", last, "__step")).alias("period_start"))
+
+
+def oldest_age(deliveries: DataFrame, seconds: int = 60, until: Column | None = None) -> DataFrame:
+    """Age of the oldest waiting message at the end of each period up to ``until``.
+
+    A message that was never received waits to the end; ``until`` is by default
+    the last moment in the table. Messages are reduced to the earliest one per
+    period of receipt; at the end of a period those received later are left, so
+    one running minimum from the last period to the first gives the oldest.
+    """
+    if until is None:
+        moments = [F.max(c) for c in ("sent_ts", "received_ts", "done_ts")]
+        until = F.lit(deliveries.agg(F.greatest(*moments)).first()[0])
     step = F.make_dt_interval(secs=F.lit(seconds))
-    spans = (
-        deliveries.where(F.col("received_ts").isNotNull())
-        .groupBy(
-            "queue",
-            floor_period(F.col("sent_ts"), seconds).alias("p_from"),
-            floor_period(F.col("received_ts"), seconds).alias("p_to"),
-        )
-        .agg(F.min("sent_ts").alias("sent_ts"))
-        .where(F.col("p_from") < F.col("p_to"))
-    )
-    waiting = spans.select(
-        "queue", "sent_ts", F.explode(F.sequence("p_from", F.col("p_to") - step, step)).alias("period_start")
-    )
+    last = floor_period(until, seconds)
+    taken = floor_period(F.col("received_ts"), seconds) - step
+    reduced = deliveries.groupBy("queue", F.least(F.coalesce(taken, last), last).alias("period_start")).agg(
+        F.min("sent_ts").alias("sent_ts")
+    )
+    spans = reduced.groupBy("queue").agg(floor_period(F.min("sent_ts"), seconds).alias("__from"))
+    grid = period_grid(spans, ["queue"], F.col("__from"), last, seconds)
+    back = Window.partitionBy("queue").orderBy(F.col("period_start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    left = grid.join(reduced, ["queue", "period_start"], "left").withColumn("oldest", F.min("sent_ts").over(back))
     end = F.unix_micros(F.col("period_start")) + seconds * 1_000_000
-    return waiting.groupBy("queue", "period_start").agg(
-        F.max((end - F.unix_micros("sent_ts")) / 1_000_000).alias("oldest_age_s")
+    age = (end - F.unix_micros("oldest")) / 1_000_000
+    return left.where(floor_period(F.col("oldest"), seconds) <= F.col("period_start")).select(
+        "queue", "period_start", age.alias("oldest_age_s")
     )
 
 
@@ -145,20 +159,20 @@ def alarms_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def densify(points: DataFrame, dims: list[str], seconds: int) -> DataFrame:
-    """All periods between the first and last point of a series.
+def densify(
+    points: DataFrame, dims: list[str], seconds: int, start: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """All periods from ``start`` to ``end``, by default between the first and last point of a series.
 
     ``points`` is already one row per period, so the series is bounded by the
     covered time span.
     """
-    step = F.make_dt_interval(secs=F.lit(seconds))
     span = points.groupBy(*dims).agg(
         F.min("period_start").alias("__from"), F.max("period_start").alias("__to")
     )
-    grid = span.select(
-        *dims, F.explode(F.sequence("__from", "__to", step)).alias("period_start")
-    )
-    return grid.join(points, [*dims, "period_start"], "left")
+    first = F.col("__from") if start is None else floor_period(start, seconds)
+    last = F.col("__to") if end is None else floor_period(end, seconds)
+    return period_grid(span, dims, first, last, seconds).join(points, [*dims, "period_start"], "left")
 
 
 def evaluate_alarm(
@@ -169,9 +183,11 @@ def evaluate_alarm(
     seconds: int,
     datapoints: int = 1,
     evaluation_periods: int = 1,
+    start: Column | None = None,
+    end: Column | None = None,
 ) -> DataFrame:
     """M-of-N evaluation of ``value`` per period; a missing period is no breach."""
-    dense = densify(points, dims, seconds)
+    dense = densify(points, dims, seconds, start, end)
     breach = F.coalesce((F.col("value") >= threshold).cast("int"), F.lit(0))
     recent = Window.partitionBy(*dims).orderBy("period_start").rowsBetween(1 - evaluation_periods, 0)
     counted = dense.withColumn("breaching", F.sum(breach).over(recent))
@@ -180,23 +196,29 @@ def evaluate_alarm(
     )
 
 
-def evaluate_alarms(points: DataFrame) -> DataFrame:
+def longest_look_back() -> int:
+    """Seconds before a period that its state can depend on."""
+    return max(period * (n - 1) for *_, period, _, n in S.ALARMS)
+
+
+def evaluate_alarms(points: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """All alarms over metric points ``(metric, period_start, value)``.
 
-    One plan for all definitions: the points are read once and every alarm is
-    filled up with its own period.
+    Every alarm gets a row for each of its periods from ``start`` to ``end`` (by
+    default the first and last point of all metrics), also an alarm without
+    points; a missing period is no breach, so a series can return to OK.
     """
+    if start is None or end is None:
+        low, high = points.agg(F.min("period_start"), F.max("period_start")).first()
+        start = F.lit(low).cast("timestamp") if start is None else start
+        end = F.lit(high).cast("timestamp") if end is None else end
     alarms = alarms_table(points.sparkSession)
-    named = points.join(F.broadcast(alarms), "metric")
     rule = ["alarm", "metric", "threshold", "period", "datapoints", "evaluation_periods"]
-    span = named.groupBy(*rule).agg(
-        F.min("period_start").alias("__from"), F.max("period_start").alias("__to")
-    )
-    grid = span.select(
-        *rule,
-        F.explode(F.sequence("__from", "__to", F.make_dt_interval(secs=F.col("period")))).alias("period_start"),
-    )
-    dense = grid.join(named.select("alarm", "period_start", "value"), ["alarm", "period_start"], "left")
+    micros = F.col("period") * F.lit(1_000_000).cast("long")
+    floor = lambda ts: F.timestamp_micros((F.floor(F.unix_micros(ts) / micros) * micros).cast("long"))
+    grid = period_grid(alarms, rule, floor(start), floor(end), F.col("period"))
+    named = points.join(F.broadcast(alarms.select("alarm", "metric")), "metric").select("alarm", "period_start", "value")
+    dense = grid.join(named, ["alarm", "period_start"], "left")
     breach = F.coalesce((F.col("value") >= F.col("threshold")).cast("int"), F.lit(0))
     by_time = Window.partitionBy("alarm").orderBy("period_start")
     breaching = F.lit(None).cast("long")

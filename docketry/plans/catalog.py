@@ -589,12 +589,17 @@ def queue_depth_series(t: Tables) -> DataFrame:
     return metrics.queue_depth(_deliveries(t)).withColumn("period_start", wall("period_start"))
 
 
+# the reports cover January 2024, whatever the data holds of it
+_FIRST, _LAST = "2024-01-01 00:00:00", "2024-01-31 23:59:00"
+
+
 @query
 def queue_age_alarm(t: Tables) -> DataFrame:
     """Oldest age per minute and queue, alarm at 300 s in 2 of 3 minutes."""
-    points = metrics.oldest_age(_deliveries(t)).withColumnRenamed("oldest_age_s", "value")
+    first, last = TM.as_timestamp(_FIRST), TM.as_timestamp(_LAST)
+    points = metrics.oldest_age(_deliveries(t), until=last).withColumnRenamed("oldest_age_s", "value")
     states = metrics.evaluate_alarm(
-        points, ["queue"], 300.0, seconds=60, datapoints=2, evaluation_periods=3
+        points, ["queue"], 300.0, seconds=60, datapoints=2, evaluation_periods=3, start=first, end=last
     )
     moved = metrics.state_changes(states, ["queue"])
     return moved.select("queue", wall("period_start").alias("period_start"), "state", "previous_state")
@@ -616,14 +621,28 @@ def _points(t: Tables) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in flags]
     )
-    return sums.select("period_start", F.inline(pairs)).where("value > 0")
+    # the backlog of one queue that serves every message in the end
+    served = _deliveries(t).where("queue = 'purchase' AND received_ts IS NOT NULL")
+    ages = metrics.oldest_age(served, until=TM.as_timestamp(_LAST))
+    age = ages.select("period_start", F.lit("queue_oldest_age").alias("metric"), F.col("oldest_age_s").cast("double").alias("value"))
+    return sums.select("period_start", F.inline(pairs)).where("value > 0").unionByName(age)
+
+
+def _alarm_states(t: Tables) -> DataFrame:
+    return metrics.evaluate_alarms(_points(t), TM.as_timestamp(_FIRST), TM.as_timestamp(_LAST))
+
+
+@query
+def alarm_changes(t: Tables) -> DataFrame:
+    """Every change of state of the nine alarms, back to OK included."""
+    moved = metrics.state_changes(_alarm_states(t), ["alarm"])
+    return moved.select("alarm", wall("period_start").alias("period_start"), "state", "previous_state")
 
 
 @query
 def alarm_states(t: Tables) -> DataFrame:
-    """All alarm definitions over the metric points; ALARM minutes per alarm."""
-    states = metrics.evaluate_alarms(_points(t))
-    return states.groupBy("alarm").agg(
+    """All nine alarm definitions over the metric points; periods and ALARM periods per alarm."""
+    return _alarm_states(t).groupBy("alarm").agg(
         F.count(F.lit(1)).alias("periods"), F.count_if(F.col("state") == "ALARM").alias("in_alarm")
     )
 

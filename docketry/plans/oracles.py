@@ -576,33 +576,59 @@ _SQL["queue_depth_series"] = f"""WITH {_DELIVERIES}, s AS (
 SELECT queue, period_start, CAST(sum(v) OVER w AS BIGINT) AS visible, CAST(sum(f) OVER w AS BIGINT) AS in_flight
 FROM p WINDOW w AS (PARTITION BY queue ORDER BY period_start ROWS UNBOUNDED PRECEDING)"""
 
-_SQL["queue_age_alarm"] = f"""WITH {_DELIVERIES}, w AS (
+# minutes of January 2024 in which a message waits at the end of the minute; of
+# messages that are never received the first of each queue is enough
+_WAITS = """
+waits AS (
   SELECT queue, sent_ts, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, sent_ts),
-    time_bucket(INTERVAL 1 MINUTE, received_ts) - INTERVAL 1 MINUTE, INTERVAL 1 MINUTE)) AS period_start
+    least(time_bucket(INTERVAL 1 MINUTE, received_ts) - INTERVAL 1 MINUTE, TIMESTAMP '2024-01-31 23:59:00'), INTERVAL 1 MINUTE)) AS m
   FROM dlv WHERE received_ts IS NOT NULL
-), a AS (
-  SELECT queue, period_start, max(epoch_us(period_start) + 60000000 - epoch_us(sent_ts)) / 1000000 AS age FROM w GROUP BY 1, 2
-), span AS (SELECT queue, min(period_start) AS f, max(period_start) AS t FROM a GROUP BY queue),
-grid AS (SELECT queue, unnest(generate_series(f, t, INTERVAL 1 MINUTE)) AS period_start FROM span),
-b AS (
-  SELECT g.queue, g.period_start, sum(CASE WHEN a.age >= 300 THEN 1 ELSE 0 END) OVER (
-    PARTITION BY g.queue ORDER BY g.period_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k
-  FROM grid g LEFT JOIN a ON a.queue = g.queue AND a.period_start = g.period_start
-), s AS (
-  SELECT queue, period_start, CASE WHEN k >= 2 THEN 'ALARM' ELSE 'OK' END AS state FROM b
-), c AS (
-  SELECT *, coalesce(lag(state) OVER (PARTITION BY queue ORDER BY period_start), 'OK') AS previous_state FROM s
-)
-SELECT queue, period_start, state, previous_state FROM c WHERE state <> previous_state"""
+  UNION ALL
+  SELECT queue, s, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, s), TIMESTAMP '2024-01-31 23:59:00', INTERVAL 1 MINUTE))
+  FROM (SELECT queue, min(sent_ts) AS s FROM dlv WHERE received_ts IS NULL GROUP BY queue)
+),
+minutes AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:59:00', INTERVAL 1 MINUTE)) AS m)"""
+
+
+def _two_of_three(late: str, key: str) -> str:
+    """A minute is in ALARM when it or a neighbour before it is late, two of the three in all."""
+    return f"""SELECT g.{key}, g.m, CASE WHEN (SELECT count(*) FROM {late} l WHERE l.{key} = g.{key}
+      AND l.m BETWEEN g.m - INTERVAL 2 MINUTE AND g.m) >= 2 THEN 'ALARM' ELSE 'OK' END AS state FROM"""
 
-_SQL["alarm_states"] = f"""WITH {_TELE}, m AS (
+
+_SQL["queue_age_alarm"] = f"""WITH {_DELIVERIES}, {_WAITS},
+late AS (SELECT DISTINCT queue, m FROM waits WHERE m + INTERVAL 1 MINUTE - sent_ts >= INTERVAL 300 SECOND),
+grid AS (SELECT queue, m FROM (SELECT DISTINCT queue FROM dlv), minutes),
+s AS ({_two_of_three("late", "queue")} grid g),
+c AS (SELECT queue, m AS period_start, state, coalesce(lag(state) OVER (PARTITION BY queue ORDER BY m), 'OK') AS previous_state FROM s)
+SELECT * FROM c WHERE state <> previous_state"""
+
+_ALARMS = f"""{_WAITS}, hit AS (
   SELECT 'control-plane-5xx' AS alarm, ts FROM tele WHERE event_name = 'request.completed' AND status_code >= 500
   UNION ALL SELECT 'processor-errors', ts FROM tele WHERE event_name = 'processing.record_failed'
   UNION ALL SELECT 'provider-throttles', ts FROM tele WHERE provider_error_code = 'ThrottlingException'
   UNION ALL SELECT 'provider-client-errors', ts FROM tele WHERE provider_error_code = 'AccessDeniedException'
   UNION ALL SELECT 'provider-server-errors', ts FROM tele WHERE provider_error_code = 'ServiceUnavailableException'
-), p AS (SELECT DISTINCT alarm, time_bucket(INTERVAL 5 MINUTE, ts) AS ps FROM m)
-SELECT alarm, CAST(date_diff('minute', min(ps), max(ps)) // 5 + 1 AS BIGINT) AS periods, count(*) AS in_alarm FROM p GROUP BY alarm"""
+), five AS (
+  SELECT alarm, m, m IN (SELECT time_bucket(INTERVAL 5 MINUTE, ts) FROM hit h WHERE h.alarm = a.alarm) AS on_
+  FROM (SELECT unnest(['control-plane-5xx', 'processor-errors', 'reconciler-errors', 'provider-throttles',
+    'provider-client-errors', 'provider-server-errors']) AS alarm) a, minutes WHERE minute(m) % 5 = 0
+), late AS (
+  SELECT DISTINCT 'processing-queue-age' AS alarm, w.m FROM waits w JOIN dlv d ON d.queue = w.queue AND d.sent_ts = w.sent_ts
+  WHERE w.queue = 'purchase' AND d.received_ts IS NOT NULL AND w.m + INTERVAL 1 MINUTE - w.sent_ts >= INTERVAL 300 SECOND
+), one AS (
+  SELECT 'processing-queue-age' AS alarm, m FROM minutes
+), st AS (
+  SELECT alarm, m, CASE WHEN on_ THEN 'ALARM' ELSE 'OK' END AS state FROM five
+  UNION ALL {_two_of_three("late", "alarm")} one g
+  UNION ALL SELECT a, m, 'OK' FROM (SELECT unnest(['processing-dlq-visible', 'quarantine-visible']) AS a), minutes
+)"""
+_SQL["alarm_states"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS}
+SELECT alarm, count(*) AS periods, count(*) FILTER (state = 'ALARM') AS in_alarm FROM st GROUP BY alarm"""
+_SQL["alarm_changes"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS}, c AS (
+  SELECT alarm, m AS period_start, state, coalesce(lag(state) OVER (PARTITION BY alarm ORDER BY m), 'OK') AS previous_state FROM st
+)
+SELECT * FROM c WHERE state <> previous_state"""
 
 _LOG = "event_id, component, event_name, outcome, correlation_id, job_id, ts"
 _SQL["search_failures_top100"] = f"""WITH {_TELE} SELECT {_LOG} FROM tele WHERE event_name = 'processing.record_failed'

@@ -85,25 +85,28 @@ def windowed_requests(telemetry: DataFrame, seconds: int = 300, delay: str = "10
     return metrics.request_sums(telemetry.withWatermark("ts", delay), seconds)
 
 
-def start_alarms(
-    points: DataFrame, out: str, checkpoint: str, *, horizon_hours: int = 6
-) -> StreamingQuery:
+def start_alarms(points: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep metric points of a stream and re-evaluate the alarms after each batch.
 
     ``points`` holds windowed aggregates in update mode ``(metric,
     period_start, value)``; a later value of a period replaces the earlier one.
-    Each batch looks back over ``horizon_hours`` before its own first period.
+    A batch writes the states from its own first period on; points are read
+    from as far before it as the longest alarm looks back.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sinks.write_batch(batch, out, "points", batch_id)
-        since = batch.agg(F.min("period_start")).scalar() - F.make_dt_interval(hours=F.lit(horizon_hours))
+        first = batch.agg(F.min("period_start")).first()[0]
+        if first is None:
+            return
+        since = F.lit(first) - F.make_dt_interval(secs=F.lit(metrics.longest_look_back()))
         kept = spark.read.parquet(f"{out}/points").where(F.col("period_start") >= since)
         newest = kept.groupBy("metric", "period_start").agg(
             F.max_by("value", "stream_batch").alias("value")
         )
-        sinks.write_batch(metrics.evaluate_alarms(newest), out, "alarm_states", batch_id)
+        states = metrics.evaluate_alarms(newest, start=since)
+        sinks.write_batch(states.where(F.col("period_start") >= F.lit(first)), out, "alarm_states", batch_id)
 
     return (
         points.writeStream.outputMode("update")

@@ -85,7 +85,11 @@ def test_gauges_and_oldest_age(spark):
     g = metrics.gauges_at(df, F.lit(t(120))).first()
     assert (g.visible, g.in_flight, g.oldest_age_s) == (2, 1, 120.0)
     ages = [(r.period_start, r.oldest_age_s) for r in metrics.oldest_age(df).orderBy("period_start").collect()]
-    assert ages == [(t(0), 60.0), (t(60), 120.0)]
+    # the third message is never received: it waits to the end
+    assert ages == [(t(0), 60.0), (t(60), 120.0), (t(120), 80.0), (t(180), 140.0)]
+    lone = spark.createDataFrame([("q", t(0), None, None)], df.schema)
+    later = metrics.oldest_age(lone, until=F.lit(t(150))).orderBy("period_start")
+    assert [r.oldest_age_s for r in later.collect()] == [60.0, 120.0, 180.0]
     depth = [(r.visible, r.in_flight) for r in metrics.queue_depth(df).orderBy("period_start").collect()]
     assert depth == [(1, 1), (2, 1), (1, 2), (1, 1)]
 

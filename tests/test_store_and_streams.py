@@ -101,13 +101,28 @@ def test_alarm_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     SI.start_alarms(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    states_ = spark.read.parquet(str(tmp_path / "out/alarm_states")).orderBy("period_start").collect()
+    written = spark.read.parquet(str(tmp_path / "out/alarm_states"))
+    assert written.select("alarm").distinct().count() == len(S.ALARMS)
+    assert written.where("alarm <> 'processing-queue-age' AND state <> 'OK'").count() == 0
+    states_ = written.where("alarm = 'processing-queue-age'").orderBy("period_start").collect()
     assert [(r.alarm, r.state) for r in states_] == [
         ("processing-queue-age", "OK"), ("processing-queue-age", "OK"),
         ("processing-queue-age", "ALARM"), ("processing-queue-age", "OK"),
     ]
 
 
+def test_alarm_stream_keeps_the_look_back(spark, tmp_path):
+    schema = "metric string, period_start timestamp, value double"
+    for m, v in [(0, 400.0), (1, 400.0), (2, 10.0)]:
+        df = spark.createDataFrame([("queue_oldest_age", NOW + dt.timedelta(minutes=m), v)], schema)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        SI.start_alarms(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out/alarm_states")).where("alarm = 'processing-queue-age'")
+    got = [(r.period_start.minute, r.state) for r in written.orderBy("period_start").collect()]
+    assert got == [(0, "OK"), (1, "ALARM"), (2, "ALARM")]
+
+
 def test_alarm_one_of_one_and_missing_periods(spark):
     rows = [("m", NOW, 1.0), ("m", NOW + dt.timedelta(minutes=15), 0.5)]
     df = spark.createDataFrame(rows, "metric string, period_start timestamp, value double")
