@@ -152,9 +152,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.unhex(F.sha2("bytes", 256)).alias("sha"))
     )
     groups = materialize(
-        suspects.join(verified, "sha")
-        .groupBy("sha")
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("best")),
+        suspects.groupBy("sha")  # before the join, so that a hot text is counted before it is shuffled
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("best"))
+        .join(verified, "sha"),
         "groups",
     )
     joined = light.join(broadcast_if_small(groups, 96), "sha", "left")
