@@ -12,16 +12,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.session import shared_dir
+from docketry.session import prepare_session, shared_dir
 from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session options of the library; batches sent to Python are bounded in bytes, not only in rows."""
+    prepare_session(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def fresh(taken: list[str], stem: str) -> str:
     """A column name that no column in ``taken`` has, whatever its case."""
     low = {c.lower() for c in taken}

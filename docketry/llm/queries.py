@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import counting, exact, licenses, packing, pieces, quality, simhash, substring, tokens, toolcalls, warc
-from docketry.llm.common import scratch
-from docketry.session import prepare_session
+from docketry.llm.common import prepare, scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -17,7 +16,7 @@ _SQL: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(prepare_session(spark), sf_dir)
+        return fn(prepare(spark), sf_dir)
 
     _QUERIES[fn.__name__] = run
     return run

@@ -44,7 +44,7 @@ from docketry.shipping import ship_with_tasks
 ship_with_tasks(__name__)
 
 OWNED = 4_000_000  # windows one owner holds at most, if all words pass the sketch
-PIECE = 1_000_000  # windows or anchors after which a task sends what it holds
+PIECE = 400_000  # windows or anchors after which a task sends what it holds
 FAN_IN = 64
 BLOCK_BITS = 20
 
