@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import exact, packing, quality, simhash, substring, tokens
-from docketry.llm.common import scratch
-from docketry.session import prepare_session
+from docketry.llm.common import prepare, scratch
 
 #: no SQL: fingerprints take XXH64 and sequences take a tokenizer; tests compare with a plain version
 ORACLE_SQL = None
@@ -15,32 +14,32 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    prepare_session(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest id stays."""
-    prepare_session(spark)
+    prepare(spark)
     return exact.drop_duplicates(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by fingerprints at four bits or fewer, the smallest id stays."""
-    prepare_session(spark)
+    prepare(spark)
     return simhash.drop_near_duplicates(docs, shingle=4, radius=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside repeated windows of 35 go; ``n_chars`` follows the text, and no row goes."""
-    prepare_session(spark)
+    prepare(spark)
     cut = substring.remove_repeats(docs, substring.Windows(words=35))
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048: one row per piece."""
-    prepare_session(spark)
+    prepare(spark)
     packed = packing.pack(docs, tokens.public_path("byte_bpe_50k.json"), limit=2048, end_id=0)
     return packed.withColumnRenamed("id", "doc_id")
 
@@ -56,7 +55,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what lies between two stages is a table in the shared folder."""
-    docs = prepare_session(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
