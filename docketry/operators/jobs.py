@@ -188,9 +188,21 @@ def route_claims(
     )
 
 
+def _one_winner(judged: DataFrame, order: list[str], lost: str) -> DataFrame:
+    """Of the requests of one job that pass, the first by ``order`` applies; the
+    others find its effect. Repeats of the winning request count as that request."""
+    position = F.struct(*[F.col(c) for c in order])
+    passed = F.col("result") == "applied"
+    first = judged.where(passed).groupBy("job_id").agg(F.min(position).alias("__first"))
+    named = judged.join(first, "job_id", "left")
+    result = F.when(passed & ~position.eqNullSafe(F.col("__first")), lost).otherwise(F.col("result"))
+    return named.select(*[c for c in judged.columns if c != "result"], result.alias("result"))
+
+
 def claim(jobs: DataFrame, claims: DataFrame) -> DataFrame:
     """Conditional claims ``(job_id, attempt_id, claimed_at, lease_expires_at,
-    expected_updated_at)``, at most one per job; adds ``result``."""
+    expected_updated_at)``; adds ``result``. Of several that pass for one job the
+    earliest applies and the others are ``claim_conflict``."""
     c = claims.alias("c")
     j = jobs.withColumn("job_found", F.lit(True)).alias("j")
     joined = c.join(j, F.col("c.job_id") == F.col("j.job_id"), "left")
@@ -205,14 +217,15 @@ def claim(jobs: DataFrame, claims: DataFrame) -> DataFrame:
         .when(now < F.col("j.updated_at"), "invalid_timestamp")
         .otherwise("applied")
     )
-    return joined.select("c.*", result.alias("result"))
+    judged = joined.select("c.*", result.alias("result"))
+    return _one_winner(judged, ["claimed_at", "attempt_id", "lease_expires_at"], "claim_conflict")
 
 
 def claimed_rows(jobs: DataFrame, claims: DataFrame) -> DataFrame:
     """New job rows of the applied claims."""
     won = claims.where(F.col("result") == "applied").select(
         "job_id", F.col("attempt_id").alias("__attempt"), "claimed_at", "lease_expires_at"
-    )
+    ).distinct()
     return jobs.join(won, "job_id").select(
         "PK", "entity_type", "job_id", F.lit(S.PROCESSING).alias("status"),
         "request_id", "correlation_id", "created_at", F.col("claimed_at").alias("updated_at"),
@@ -234,6 +247,8 @@ def finalize(jobs: DataFrame, finals: DataFrame) -> DataFrame:
 
     ``result`` is applied, job_not_found, state_conflict, attempt_mismatch or
     invalid_value. A null ``expected_updated_at`` means "the version read now".
+    Of several that pass for one job the earliest applies, the others are
+    ``state_conflict``.
     """
     f = finals.alias("f")
     j = jobs.withColumn("job_found", F.lit(True)).alias("j")
@@ -253,7 +268,9 @@ def finalize(jobs: DataFrame, finals: DataFrame) -> DataFrame:
         .when((F.col("f.finished_at") < F.col("j.updated_at")) | no_payload, "invalid_value")
         .otherwise("applied")
     )
-    return joined.select("f.*", result.alias("result"))
+    judged = joined.select("f.*", result.alias("result"))
+    order = ["finished_at", "operation", "processing_result", "error_reason"]
+    return _one_winner(judged, order, "state_conflict")
 
 
 def finalized_rows(jobs: DataFrame, finals: DataFrame) -> DataFrame:
@@ -262,7 +279,7 @@ def finalized_rows(jobs: DataFrame, finals: DataFrame) -> DataFrame:
         "job_id", "operation", "finished_at",
         F.col("processing_result").alias("__result"),
         X.non_blank(F.col("error_reason")).alias("__reason"),
-    )
+    ).distinct()
     op = F.col("operation")
     status = (
         F.when(op == "complete", S.SUCCEEDED).when(op == "fail", S.FAILED).otherwise(S.PENDING)
@@ -296,7 +313,8 @@ def dead_route(as_of, job_found: Column = None) -> Column:
 
 def mark_dead(jobs: DataFrame, marks: DataFrame) -> DataFrame:
     """Conditional dead marks ``(job_id, expected_status, expected_attempts,
-    expected_updated_at, marked_at)``; adds ``result``."""
+    expected_updated_at, marked_at)``; adds ``result``. Of several that pass for
+    one job the earliest applies and the others find its effect."""
     m = marks.alias("m")
     j = jobs.withColumn("job_found", F.lit(True)).alias("j")
     joined = m.join(j, F.col("m.job_id") == F.col("j.job_id"), "left")
@@ -315,7 +333,7 @@ def mark_dead(jobs: DataFrame, marks: DataFrame) -> DataFrame:
         .when(F.col("m.marked_at") < F.col("j.updated_at"), "invalid_value")
         .otherwise("applied")
     )
-    return joined.select("m.*", result.alias("result"))
+    return _one_winner(joined.select("m.*", result.alias("result")), ["marked_at"], ALREADY_APPLIED)
 
 
 def dead_rows(jobs: DataFrame, marks: DataFrame) -> DataFrame:

@@ -196,6 +196,31 @@ def conditional_claims(t: Tables) -> DataFrame:
     return J.claim(t.jobs(), claims).select("job_id", "attempt_id", "result")
 
 
+def _contended_claims(t: Tables) -> DataFrame:
+    """Two claims of one version per job, and a repeat of the first."""
+    claims = t.read("documents").selectExpr(
+        "concat('job-', doc_id) AS job_id", "explode(array('first', 'later', 'first')) AS who",
+        "doc_id",
+    )
+    return claims.selectExpr(
+        "job_id", "concat(who, '-', doc_id) AS attempt_id",
+        f"TIMESTAMP '{AS_OF}' + CASE WHEN who = 'later' THEN INTERVAL 1 SECOND ELSE INTERVAL 0 SECOND END AS claimed_at",
+        f"TIMESTAMP '{AS_OF}' + INTERVAL 300 SECONDS AS lease_expires_at",
+        "TIMESTAMP '2024-01-31 12:00:00' AS expected_updated_at",
+    )
+
+
+@query
+def contended_claims(t: Tables) -> DataFrame:
+    return J.claim(t.jobs(), _contended_claims(t)).select("job_id", "attempt_id", "result")
+
+
+@query
+def contended_claim_rows(t: Tables) -> DataFrame:
+    rows = J.claimed_rows(t.jobs(), J.claim(t.jobs(), _contended_claims(t)))
+    return J.merge_rows(t.jobs(), rows).select("job_id", "status", text_or_none("active_attempt_id").alias("active_attempt_id"))
+
+
 @query
 def claimed_job_rows(t: Tables) -> DataFrame:
     claims = t.read("documents").selectExpr(
@@ -230,6 +255,25 @@ def conditional_finalize(t: Tables) -> DataFrame:
     return J.finalize(t.jobs(), _finals(t)).select("job_id", "operation", "result")
 
 
+def _contended_finals(t: Tables) -> DataFrame:
+    """Each update, and a later release of the same attempt."""
+    late = _finals(t).withColumn("operation", F.lit("release")).withColumn(
+        "finished_at", F.lit(f"{AS_OF}").cast("timestamp") + F.expr("INTERVAL 1 SECOND")
+    )
+    return _finals(t).withColumn("who", F.lit("first")).unionByName(late.withColumn("who", F.lit("later")))
+
+
+@query
+def contended_finalize(t: Tables) -> DataFrame:
+    return J.finalize(t.jobs(), _contended_finals(t)).select("job_id", "who", "result")
+
+
+@query
+def contended_final_rows(t: Tables) -> DataFrame:
+    changed = J.finalized_rows(t.jobs(), J.finalize(t.jobs(), _contended_finals(t)))
+    return J.merge_rows(t.jobs(), changed).select("job_id", "status")
+
+
 @query
 def finalized_job_rows(t: Tables) -> DataFrame:
     changed = J.finalized_rows(t.jobs(), J.finalize(t.jobs(), _finals(t)))
@@ -254,6 +298,19 @@ def conditional_dead_marks(t: Tables) -> DataFrame:
     return J.mark_dead(t.jobs(), marks).select("job_id", "result")
 
 
+@query
+def contended_dead_marks(t: Tables) -> DataFrame:
+    """Two marks of one version per job."""
+    marks = t.read("documents").selectExpr(
+        "concat('job-', doc_id) AS job_id",
+        "CASE WHEN doc_id % 10 IN (6, 7) THEN 'processing' ELSE 'pending_upload' END AS expected_status",
+        "CASE WHEN doc_id % 10 >= 5 THEN 1L ELSE 0L END AS expected_attempts",
+        "TIMESTAMP '2024-01-31 12:00:00' AS expected_updated_at",
+        f"explode(array(TIMESTAMP '{AS_OF}', TIMESTAMP '{AS_OF}' + INTERVAL 1 SECOND)) AS marked_at",
+    )
+    return J.mark_dead(t.jobs(), marks).select("job_id", wall("marked_at").alias("marked_at"), "result")
+
+
 def _damaged(t: Tables) -> DataFrame:
     items = t.jobs().select("doc_id", *S.JOB_COLUMNS)
     encoded = J.encode_items(items).withColumn(

@@ -19,7 +19,7 @@ jobs AS (
 
 # one row per message: what it holds and how it must be classified
 _MSG = """
-msg AS (
+msg AS MATERIALIZED (
   SELECT e.event_id, e.ts, e.event_type, d.doc_id, 'm-' || e.event_id AS message_id,
     'job-' || d.doc_id AS job_id, md5(d.text) AS etag, d.text,
     CAST(strlen(d.text) + CASE WHEN e.event_id % 59 = 0 THEN 1 ELSE 0 END AS BIGINT) AS object_size,
@@ -29,8 +29,9 @@ msg AS (
          WHEN e.event_id % 41 = 0 THEN 'unexpected_s3_bucket'
          WHEN e.event_id % 43 = 0 THEN 'invalid_document_object_key'
          ELSE 'ok' END AS error_class,
-    (e.event_id + 1) % (SELECT count(*) FROM documents) AS doc2
-  FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+    (e.event_id + 1) % e.n AS doc2
+  FROM (SELECT event_id, ts, event_type, n, event_id % n AS doc_id FROM events, (SELECT count(*) AS n FROM documents)) e
+  JOIN documents d USING (doc_id)
 )"""
 
 # start outcome of the (first) record of each accepted message
@@ -190,6 +191,17 @@ SELECT job_id, 'processing' AS status, attempts + 1 AS attempts, 'new-' || doc_i
   TIMESTAMP '2024-02-01 00:05:00' AS lease_expires_at
 FROM jobs WHERE doc_id % 10 NOT IN (6, 8, 9)"""
 
+_SQL["contended_claims"] = """
+SELECT 'job-' || doc_id AS job_id, who || '-' || doc_id AS attempt_id,
+  CASE WHEN doc_id % 31 = 0 THEN 'job_not_found' WHEN doc_id % 10 = 6 THEN 'claim_conflict'
+       WHEN doc_id % 10 IN (8, 9) THEN 'state_conflict' WHEN who = 'later' THEN 'claim_conflict' ELSE 'applied' END AS result
+FROM documents, (VALUES ('first'), ('later'), ('first')) w(who)"""
+
+_SQL["contended_claim_rows"] = f"""WITH {_JOBS}
+SELECT job_id, CASE WHEN doc_id % 10 IN (8, 9) THEN status ELSE 'processing' END AS status,
+  CASE WHEN doc_id % 10 IN (8, 9) THEN '-' WHEN doc_id % 10 = 6 THEN 'attempt-' || doc_id ELSE 'first-' || doc_id END AS active_attempt_id
+FROM jobs"""
+
 _FINAL_RESULT = """
 final AS (
   SELECT doc_id, 'job-' || doc_id AS job_id,
@@ -205,6 +217,17 @@ final AS (
 
 _SQL["conditional_finalize"] = f"WITH {_FINAL_RESULT} SELECT job_id, operation, result FROM final"
 
+# a later release applies only where the first update had a value at fault
+_SQL["contended_finalize"] = f"""WITH {_FINAL_RESULT}
+SELECT job_id, 'first' AS who, result FROM final
+UNION ALL
+SELECT job_id, 'later', CASE result WHEN 'applied' THEN 'state_conflict' WHEN 'invalid_value' THEN 'applied' ELSE result END FROM final"""
+
+_SQL["contended_final_rows"] = f"""WITH {_JOBS}, {_FINAL_RESULT}
+SELECT j.job_id, CASE WHEN f.result = 'invalid_value' THEN 'pending_upload' WHEN f.result <> 'applied' THEN j.status
+  WHEN operation = 'complete' THEN 'succeeded' WHEN operation = 'fail' THEN 'failed' ELSE 'pending_upload' END AS status
+FROM jobs j JOIN final f USING (doc_id)"""
+
 _SQL["finalized_job_rows"] = f"""WITH {_JOBS}, {_FINAL_RESULT}
 SELECT j.job_id,
   CASE WHEN f.result <> 'applied' THEN j.status WHEN operation = 'complete' THEN 'succeeded'
@@ -223,6 +246,12 @@ SELECT 'job-' || doc_id AS job_id,
        WHEN doc_id % 9 = 4 OR doc_id % 10 < 5 THEN 'state_conflict' ELSE 'applied' END AS result
 FROM documents"""
 
+_SQL["contended_dead_marks"] = """
+SELECT 'job-' || doc_id AS job_id, TIMESTAMP '2024-02-01' + late * INTERVAL 1 SECOND AS marked_at,
+  CASE WHEN doc_id % 31 = 0 THEN 'job_not_found' WHEN doc_id % 10 IN (8, 9) THEN 'effect_already_applied'
+       WHEN doc_id % 10 < 5 THEN 'state_conflict' WHEN late = 1 THEN 'effect_already_applied' ELSE 'applied' END AS result
+FROM documents, (VALUES (0), (1)) l(late)"""
+
 _SQL["job_audit"] = f"""WITH {_JOBS}, k AS (
   SELECT job_id, doc_id % 16 AS d, doc_id % 10 AS r, status FROM jobs
 )
@@ -475,7 +504,7 @@ _SQL["receive_counts"] = """
 SELECT 'm-' || (event_id % 700) AS message_id, count(*) AS receive_count FROM events GROUP BY 1"""
 
 _DEAD = f"""
-rec AS (
+rec AS MATERIALIZED (
   SELECT message_id, event_id, ts, 0 AS rec_pos, doc_id FROM msg WHERE error_class = 'ok'
   UNION ALL
   SELECT message_id, event_id, ts, 1, doc2 FROM msg WHERE error_class = 'ok' AND event_id % 7 = 0
@@ -484,12 +513,12 @@ judged AS (
   SELECT *, CASE WHEN doc_id % 31 = 0 THEN 'job_not_found' WHEN doc_id % 10 IN (8, 9) THEN 'effect_already_applied'
     WHEN doc_id % 10 IN (5, 7) THEN 'dead_recorded' ELSE 'conflict' END AS o FROM rec
 ),
-stopped AS (
+stopped AS MATERIALIZED (
   SELECT *, coalesce(max(CASE WHEN o IN ('job_not_found', 'conflict') THEN 1 ELSE 0 END) OVER (
     PARTITION BY message_id ORDER BY rec_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS attempted FROM judged
 ),
 firsts AS (
-  SELECT doc_id, arg_min(event_id * 2 + rec_pos, ts) AS f FROM stopped WHERE attempted AND o = 'dead_recorded' GROUP BY doc_id
+  SELECT doc_id, arg_min(event_id * 2 + rec_pos, (ts, message_id, rec_pos)) AS f FROM stopped WHERE attempted AND o = 'dead_recorded' GROUP BY doc_id
 )"""
 
 _SQL["reconcile_dead"] = f"""WITH {_MSG}, {_DEAD}
