@@ -61,6 +61,37 @@ def rule_extractor(rows: DataFrame) -> DataFrame:
     )
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """One vocabulary of outcomes, and no success without a valid result.
+
+    A result that breaks the contract is an invalid response; an outcome that is
+    null or unknown is unexpected. A valid result is kept in its canonical text.
+    """
+    said = F.col("provider_outcome")
+    outcome = F.when(said == "succeeded", "success").when(said == "timed_out", "timeout").otherwise(said)
+    staged = rows.withColumn("provider_outcome", outcome).withColumn(
+        "__payload", F.when(F.col("provider_outcome") == "success", V.parse_strict(F.col("result_json")))
+    )
+    judged = with_contract(staged, "__payload")
+    broken = (said == "success") & F.col("contract_error").isNotNull()
+    final = F.when(broken, "invalid_response").when(said.isin(*PROVIDER_OUTCOMES), said).otherwise("unexpected")
+    return judged.withColumn("provider_outcome", final).drop("__payload", "contract_error")
+
+
+def captured_extractor(captured: DataFrame) -> Extractor:
+    """An extractor that answers each attempt with its captured response.
+
+    ``captured`` is what ``validate_responses`` takes; of repeated attempts the
+    smallest response counts. An attempt without a response has no outcome,
+    which the pipeline takes as unexpected.
+    """
+    one = captured.groupBy("attempt_id").agg(F.min(F.struct("response_json", "error_code")).alias("r"))
+    verdicts = validate_responses(one.select("attempt_id", "r.*")).select(
+        "attempt_id", F.col("verdict").alias("provider_outcome"), "result_json"
+    )
+    return lambda rows: rows.join(verdicts, "attempt_id", "left")
+
+
 # ---- captured responses -----------------------------------------------------
 
 

@@ -462,6 +462,22 @@ def process_batch_outcomes(t: Tables) -> DataFrame:
     return _record_view(_processed(t).records)
 
 
+@query
+def process_captured_responses(t: Tables) -> DataFrame:
+    """Captured responses answer the attempts; every 17th attempt has none."""
+    events = intake.flatten_events(P.parse_once(t.messages(), CONFIG))
+    attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
+    attempts = events.select(
+        attempt.alias("attempt_id"), F.regexp_extract("job_id", r"([0-9]+)\z", 1).cast("long").alias("doc_id")
+    )
+    captured = attempts.where("doc_id % 17 <> 5").join(t.responses().drop("attempt_id"), "doc_id")
+    run = P.process_uploads(
+        t.messages(), t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG,
+        extractor=extract.captured_extractor(captured.select("attempt_id", "response_json", "error_code")),
+    )
+    return _record_view(run.records)
+
+
 @query
 def process_two_record_messages(t: Tables) -> DataFrame:
     return _record_view(_processed(t, two_records=True).records)

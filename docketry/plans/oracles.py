@@ -413,6 +413,26 @@ _SQL["process_batch_outcomes"] = f"""WITH {_MSG}, {_ROUTED}, {_CLAIMED}, every A
 SELECT message_id, CAST(0 AS BIGINT) AS rec_pos, job_id, start_outcome, {_RECORD_COLUMNS} FROM every
 UNION ALL {_REJECTED}"""
 
+_SQL["process_captured_responses"] = f"""WITH {_MSG}, {_ROUTED},
+checked AS (
+  SELECT *, {_object_error('object_size', 'has_etag', 'doc_id', 'event_id % 59 = 0', 'text')} AS object_error,
+    NOT regexp_matches(text, '[^\\s]') AS blank FROM routed
+),
+ran AS (
+  SELECT *,
+    CASE WHEN object_error IS NOT NULL THEN NULLIF(object_error, 'document_dependency_error')
+         WHEN blank THEN 'invalid_provider_request' WHEN doc_id % 17 = 5 OR doc_id % 23 = 11 THEN NULL
+         WHEN doc_id % 19 = 7 OR doc_id % 13 <> 0 THEN 'ai_provider_invalid_response' END AS failure_reason,
+    CASE WHEN object_error = 'document_dependency_error' THEN object_error WHEN object_error IS NOT NULL OR blank THEN NULL
+         WHEN doc_id % 17 = 5 THEN 'unexpected' WHEN doc_id % 23 = 11 THEN 'provider_throttled' END AS retry_reason
+  FROM checked WHERE start_outcome = 'claim_acquired'
+), every AS (
+  SELECT message_id, job_id, start_outcome, failure_reason, retry_reason FROM ran
+  UNION ALL {_REST.format(source='routed')}
+)
+SELECT message_id, CAST(0 AS BIGINT) AS rec_pos, job_id, start_outcome, {_RECORD_COLUMNS} FROM every
+UNION ALL {_REJECTED}"""
+
 # second records run on the job table left by the first ones
 _SECOND = f"""
 first_every AS (

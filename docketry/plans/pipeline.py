@@ -68,7 +68,7 @@ def _run_claims(
     ready = F.col("object_error").isNull() & F.col("__request_error").isNull()
     # the extractor sees only text of claims that passed every earlier check
     gated = loaded.withColumn("document_text", F.when(ready, F.col("document_text")))
-    ran = extractor(gated)
+    ran = extract.checked(extractor(gated))
     provider = F.when(ready, F.col("provider_outcome"))
     reason = (
         F.when(F.col("object_error") == O.DEPENDENCY, F.lit(None))
@@ -85,7 +85,8 @@ def _run_claims(
         F.when(F.col("__retry") == "unexpected", "claim_kept")
         .when(F.col("__retry").isNotNull(), "release")
         .when(F.col("__reason").isNotNull(), "fail")
-        .otherwise("complete")
+        .when(provider == "success", "complete")
+        .otherwise("claim_kept")
     )
     done = ran.withColumn("__reason", reason).withColumn("__retry", retry)
     return done.withColumn("effect", effect).withColumn(
