@@ -1,8 +1,11 @@
 """Versioned job table on a shared file system.
 
-A version is a small JSON file naming one base folder and the change folders
-after it. Publishing creates the next version file without overwriting, so of
-two writers that saw the same version one fails and must read again.
+A version is a small JSON file naming one base folder, the change folders
+after it, and the last batch of each stream that writes here. Publishing creates
+the next version file without overwriting, so of two writers that saw the same
+version one fails and must read again. This is safe where creating a file that
+exists fails atomically: HDFS and local disks; object stores need conditional
+writes.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ class JobStore:
 
     def _manifest(self, version: int) -> dict:
         if version == 0:
-            return {"base": None, "deltas": [], "batch": -1}
+            return {"base": None, "deltas": [], "batches": {}}
         lines = self._spark.read.text(f"{self._root}/_versions/{version:012d}.json").collect()
         return json.loads("".join(r[0] for r in lines))
 
@@ -58,7 +61,9 @@ class JobStore:
         final = self._path(f"_versions/{version:012d}.json")
         try:
             out = fs.create(final, False)
-        except Exception as error:  # the file system refuses an existing name
+        except Exception as error:
+            if not fs.exists(final):  # no permission, no space, no connection
+                raise
             raise VersionConflict(f"version {version} already exists") from error
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
@@ -86,33 +91,39 @@ class JobStore:
     def read(self, version: int | None = None) -> DataFrame:
         return self._at(self._manifest(self.version() if version is None else version))
 
-    def last_batch(self) -> int:
-        return self._manifest(self.version())["batch"]
+    def last_batch(self, stream: str = "intake", version: int | None = None) -> int:
+        """Number of the last published batch of a stream, -1 before the first."""
+        manifest = self._manifest(self.version() if version is None else version)
+        return manifest["batches"].get(stream, -1)
 
-    def apply(self, changes: DataFrame, *, batch: int | None = None, expected: int | None = None) -> int:
+    def apply(
+        self, changes: DataFrame, *, batch: int | None = None, expected: int | None = None, stream: str = "intake"
+    ) -> int:
         """Publish changed rows as the next version and return its number.
 
-        A stream passes its batch number; a batch that is already part of the
-        store is skipped, so a repeated micro-batch has no second effect.
+        A stream passes its name and batch number; a batch that is already part
+        of the store is skipped, so a repeated micro-batch has no second effect.
+        It also passes the version its changes were computed on: when that is
+        not the newest any more, ``VersionConflict`` asks to read again.
         """
         seen = self.version()
         manifest = self._manifest(seen)
+        if batch is not None and batch <= manifest["batches"].get(stream, -1):
+            return seen
         if expected is not None and expected != seen:
             raise VersionConflict(f"store is at version {seen}, not {expected}")
-        if batch is not None and batch <= manifest["batch"]:
-            return seen
         name = uuid.uuid4().hex
         rows = changes.select(*S.JOB_COLUMNS)
-        batch_no = manifest["batch"] if batch is None else batch
+        batches = manifest["batches"] | ({} if batch is None else {stream: batch})
         if manifest["base"] is None or len(manifest["deltas"]) + 1 > self._compact_after:
             merge_rows(self._at(manifest), rows).write.parquet(f"{self._root}/data/{name}")
-            following = {"base": name, "deltas": [], "batch": batch_no}
+            following = {"base": name, "deltas": [], "batches": batches}
         else:
             rows.write.parquet(f"{self._root}/data/{name}")
             following = {
                 "base": manifest["base"],
                 "deltas": [*manifest["deltas"], name],
-                "batch": batch_no,
+                "batches": batches,
             }
         self._publish(seen + 1, following)
         return seen + 1

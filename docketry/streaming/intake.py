@@ -12,7 +12,9 @@ from docketry.config import IntakeConfig
 from docketry.operators import metrics, outcomes as R
 from docketry.plans import pipeline as P
 from docketry.sources import sinks
-from docketry.sources.job_store import JobStore
+from docketry.sources.job_store import JobStore, VersionConflict
+
+RETRIES = 8
 
 
 def _route(messages: DataFrame, verdicts: DataFrame, config: IntakeConfig, dead_letter_queue: bool) -> DataFrame:
@@ -20,6 +22,30 @@ def _route(messages: DataFrame, verdicts: DataFrame, config: IntakeConfig, dead_
     return R.route_failed(joined, config, dead_letter_queue=dead_letter_queue)
 
 
+def publish_once(
+    store: JobStore, stream: str, batch_id: int, compute: Callable[[DataFrame], tuple[DataFrame, Callable[[], None]]]
+) -> None:
+    """Run one batch on the newest version until its changes are published on that version.
+
+    ``compute`` takes the job table and gives the changes and a function that
+    writes everything else the batch owns. A batch that is part of the store
+    already is skipped, so what it wrote stays as it is. When another writer
+    published in between, the batch is computed again on what that writer left.
+    """
+    for _ in range(RETRIES):
+        version = store.version()
+        if batch_id <= store.last_batch(stream, version):
+            return
+        changes, write_rest = compute(store.read(version))
+        write_rest()
+        try:
+            store.apply(changes, batch=batch_id, expected=version, stream=stream)
+            return
+        except VersionConflict:
+            continue
+    raise VersionConflict(f"batch {batch_id} of {stream} met another writer {RETRIES} times")
+
+
 def start_intake(
     messages: DataFrame,
     store: JobStore,
@@ -40,16 +66,19 @@ def start_intake(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= store.last_batch():
-            return
-        spark = batch.sparkSession
-        result = P.process_uploads(
-            batch, store.read(), objects(spark), as_of=as_of(batch_id), config=config
-        )
-        sinks.write_batch(result.records, out, "records", batch_id)
-        sinks.write_failures(result.messages, out, batch_id)
-        sinks.write_routed(_route(batch, result.messages, config, False), out, batch_id)
-        store.apply(result.changes, batch=batch_id)
+        def compute(jobs: DataFrame):
+            result = P.process_uploads(
+                batch, jobs, objects(batch.sparkSession), as_of=as_of(batch_id), config=config
+            )
+
+            def write_rest() -> None:
+                sinks.write_batch(result.records, out, "records", batch_id)
+                sinks.write_failures(result.messages, out, batch_id)
+                sinks.write_routed(_route(batch, result.messages, config, False), out, batch_id)
+
+            return result.changes, write_rest
+
+        publish_once(store, "intake", batch_id, compute)
 
     writer = messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -67,10 +96,16 @@ def start_reconciliation(
     """Dead-letter stream: mark jobs dead, quarantine what keeps failing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        result = P.reconcile_dead_letters(batch, store.read(), as_of=as_of(batch_id), config=config)
-        sinks.write_batch(result.records, out, "dead_letter_records", batch_id)
-        sinks.write_routed(_route(batch, result.messages, config, True), out + "/dead_letters", batch_id)
-        store.apply(result.changes)  # marking a dead job again changes nothing
+        def compute(jobs: DataFrame):
+            result = P.reconcile_dead_letters(batch, jobs, as_of=as_of(batch_id), config=config)
+
+            def write_rest() -> None:
+                sinks.write_batch(result.records, out, "dead_letter_records", batch_id)
+                sinks.write_routed(_route(batch, result.messages, config, True), out + "/dead_letters", batch_id)
+
+            return result.changes, write_rest
+
+        publish_once(store, "reconciliation", batch_id, compute)
 
     return (
         messages.writeStream.foreachBatch(run)

@@ -100,3 +100,9 @@ def test_latest_by_sequencer_compares_padded(spark):
         "object_key string, message_id string, rec_pos int, sequencer string",
     )
     assert [r.message_id for r in intake.latest_by_sequencer(df).collect()] == ["b"]
+
+
+def test_sequencers_of_any_length(spark):
+    rows = [("k", "m1", 0, "F" * 65), ("k", "m2", 0, "1" + "0" * 65), ("z", "m3", 0, "00b"), ("z", "m4", 0, "A"), ("n", "m5", 0, None)]
+    df = spark.createDataFrame(rows, "object_key string, message_id string, rec_pos int, sequencer string")
+    assert sorted(r.message_id for r in intake.latest_by_sequencer(df).collect()) == ["m2", "m3", "m5"]

@@ -178,3 +178,17 @@ def test_rule_extractor_outcomes(spark):
     assert value["key_fields"] == {
         "character_count": 9, "word_count": 2, "correlation_id": "c", "processing_attempt_id": "a"
     }
+
+
+def test_no_success_without_a_valid_result(spark):
+    good = '{"document_type":"report","summary":" s ","key_fields":{"a":1},"confidence":0.5,"requires_human_review":true}'
+    cases = [
+        ("success", good, "success"), ("succeeded", good, "success"), ("success", '{"nonsense":1}', "invalid_response"),
+        ("success", None, "invalid_response"), ("success", "{", "invalid_response"), ("timed_out", None, "timeout"),
+        ("throttled", good, "throttled"), ("no such word", good, "unexpected"), (None, good, "unexpected"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, provider_outcome string, result_json string, want string")
+    rows = extract.checked(df).orderBy("i").collect()
+    assert [r.provider_outcome for r in rows] == [c[2] for c in cases]
+    assert [r.result_json is not None for r in rows] == [c[2] == "success" for c in cases]
+    assert json.loads(rows[0].result_json)["summary"] == "s"

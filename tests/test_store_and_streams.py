@@ -192,3 +192,42 @@ def test_config_rejects_bad_limits():
     for bad in ({"expected_bucket": " "}, {"max_size_bytes": 0}, {"lease_seconds": 0}, {"max_receives": 0}):
         with pytest.raises(ValueError):
             IntakeConfig(**bad)
+
+
+def test_a_batch_is_computed_again_after_another_writer(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path))
+    store.apply(table(spark, job("a"), job("b")))
+    seen = []
+
+    def compute(jobs):
+        seen.append(states(jobs))
+        if len(seen) == 1:  # another writer publishes between read and apply
+            store.apply(table(spark, job("a", "dead", 1, reason="processing_retries_exhausted")))
+        done = [j for j, s in seen[-1].items() if s == "pending_upload"]
+        return table(spark, *[job(j, "succeeded", 1, result="{}") for j in done]), lambda: None
+
+    SI.publish_once(store, "intake", 0, compute)
+    assert states(store.read()) == {"a": "dead", "b": "succeeded"} and len(seen) == 2
+    SI.publish_once(store, "intake", 0, compute)
+    assert len(seen) == 2 and store.last_batch() == 0 and store.last_batch("reconciliation") == -1
+
+
+def test_repeated_reconciliation_keeps_its_records(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path / "store"))
+    store.apply(table(spark, job("x", attempts=3)))
+    msgs(spark, [rec("x")], receives=3).write.parquet(str(tmp_path / "dead"))
+    for cp in ("cp1", "cp2"):  # a lost checkpoint repeats batch 0
+        SI.start_reconciliation(
+            files.messages(spark, str(tmp_path / "dead"), streaming=True), store, str(tmp_path / "out"), str(tmp_path / cp),
+            as_of=lambda batch: NOW, config=CONFIG,
+        ).awaitTermination()
+    records = spark.read.parquet(str(tmp_path / "out/dead_letter_records")).collect()
+    assert [r.outcome for r in records] == ["dead_recorded"] and store.version() == 2
+
+
+def test_store_errors_are_not_conflicts(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path / "s"))
+    (tmp_path / "s").write_text("a file where the folder should be")
+    with pytest.raises(Exception) as caught:
+        store._publish(1, {})
+    assert not isinstance(caught.value, VersionConflict)
