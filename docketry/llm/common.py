@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Iterator
@@ -74,15 +75,31 @@ def ascii_lower(col: Column) -> Column:
 
 
 def worker_cache(name: str, build):
-    """One object per Python worker; tasks that follow in the same worker reuse it."""
+    """The object that the tasks of one stage share in a Python worker; the next stage's takes its place."""
     store = sys.__dict__.setdefault("_docketry_llm", {})
     if name not in store:
+        store.clear()
         store[name] = build()
     return store[name]
 
 
+def _give_back_memory(first: bool) -> None:
+    """Freed arrays return to the system, since a worker lives on beside its JVM between stages."""
+    try:
+        libc = ctypes.CDLL(None)
+        if first:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library
+    if first:
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one piece hold about ``limit`` bytes (one text at least)."""
+    _give_back_memory(True)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -93,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             stop = max(int(np.searchsorted(size, base + limit, "right")), start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back_memory(False)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -308,6 +308,7 @@ def repeated_spans(texts: DataFrame, spec: Windows) -> DataFrame:
     sketch = spark.sparkContext.broadcast(bitmaps)  # rows * 2**bits / 8 bytes, whatever the input
     owners = max(width(spark), -(-total // OWNED))
     sent = materialize(texts.select("text").mapInArrow(_sending(spec, sketch, owners), _SENT_DDL), "windows")
+    sketch.unpersist()
     answers = (
         sent.where("owner >= 0").select("src", "owner", "n", "keys", "known")
         .groupBy("owner").applyInArrow(_answer, "src long, owner int, marks binary")

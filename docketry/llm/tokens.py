@@ -58,7 +58,8 @@ class ByteBpe:
     def __init__(self, content: bytes):
         import tiktoken
 
-        self.library, spec = _library(content), json.loads(content)
+        spec = json.loads(content)
+        self.content, self.library = content, None  # loaded for the first special string
         self.special = [t["content"] for t in spec["added_tokens"]]
         byte_of = _vocabulary_bytes(spec["model"])
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
@@ -72,6 +73,7 @@ class ByteBpe:
         out = []
         for text in texts:
             if any(s in text for s in self.special):
+                self.library = self.library or _library(self.content)
                 ids = self.library.encode(text, add_special_tokens=False).ids
             else:
                 ids = self.coder.encode_ordinary(text)
