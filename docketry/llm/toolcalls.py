@@ -10,8 +10,9 @@
   ``orphan_result``.
 - The order of a conversation is by ``phase, level, turn, call_id``. Calls that
   only wait for earlier turns are in order already (phase 0). The others, and
-  what waits for them, are peeled level by level (phase 1), in as many rounds as
-  the longest chain among them; calls on a cycle, or behind one, come last
+  what waits for them, get the level that peeling would give (phase 1): chains of
+  single waits are cut short by doubling, and calls with several waits are peeled
+  over what is left; calls on a cycle, or behind one, come last
   (phase 2). There is one row per call, so a conversation of any size is never
   gathered; sort by these columns to read it.
 - Arguments are checked against the schema of their tool: types, required and
@@ -132,6 +133,46 @@ def _first(order: list[str]) -> Column:
     return F.row_number().over(Window.partitionBy("conv", "call_id").orderBy(*order))
 
 
+def _levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
+    """``conv, call_id, level`` of the calls on no cycle and behind none: the longest chain of waits below each.
+
+    A call with one wait is as high as the end of its chain plus the way there;
+    ways double in every round. Calls with several waits are peeled, over the
+    ends of the chains below them.
+    """
+    key, dep = ["conv", "call_id"], ["conv", "dep"]
+    counted = materialize(waits.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("dep").alias("dep")), "wait-counts")
+    single = counted.where("n = 1").select(*key, "dep", F.lit(1).alias("way"))
+    inside = counted.where("n = 1").select("conv", F.col("call_id").alias("dep"), F.lit(False).alias("ended"))
+    way = materialize(single.join(inside, dep, "left").select(*key, "dep", "way", F.coalesce("ended", F.lit(True)).alias("ended")), "ways")
+    longest, reach = way.groupBy("conv").count().agg(F.max("count")).first()[0] or 0, 1
+    while reach < longest and not way.where("NOT ended").isEmpty():
+        onward = way.select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("end"), F.col("way").alias("rest"), F.col("ended").alias("over"))
+        longer = way.where("NOT ended").join(onward, dep).select(
+            *key, F.col("end").alias("dep"), (F.col("way") + F.col("rest")).alias("way"), F.col("over").alias("ended")
+        )
+        way, reach = materialize(way.where("ended").unionByName(longer), "ways"), 2 * reach
+    # ways that never end are on a cycle or behind one; no call there is ever placed
+    below = way.select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("end"), "way")
+    inner = waits.join(counted.where("n > 1").select(*key), key, "left_semi").join(below, dep, "left").select(
+        *key, F.coalesce("end", "dep").alias("dep"), (F.coalesce("way", F.lit(0)) + 1).alias("way"), F.lit(None).cast("int").alias("at")
+    )
+    inner = materialize(inner, "several-waits")
+    ready = materialize(calls.join(counted, key, "left_anti").select(*key, F.lit(0).alias("level")), "ready")
+    placed = ready
+    while not ready.isEmpty():
+        reached = ready.select("conv", F.col("call_id").alias("dep"), F.col("level").alias("met"))
+        inner = materialize(
+            inner.join(reached, dep, "left").select(*key, "dep", "way", F.coalesce("at", F.col("met") + F.col("way")).alias("at")), "several-waits"
+        )
+        judged = inner.groupBy(*key).agg(F.max("at").alias("level"), F.count_if(F.col("at").isNull()).alias("open"))
+        ready = materialize(judged.where("open = 0").select(*key, "level"), "ready")
+        inner = inner.join(ready, key, "left_anti")
+        placed = placed.unionByName(ready)
+    ends = placed.select("conv", F.col("call_id").alias("dep"), "level")
+    return placed.unionByName(way.where("ended").join(ends, dep).select(*key, (F.col("level") + F.col("way")).alias("level")))
+
+
 def order_calls(calls: DataFrame) -> DataFrame:
     """``conv, call_id, turn, after`` (ids unique) to ``conv, call_id, phase, level, unknown_waits``."""
     node = materialize(calls.select("conv", "call_id", "turn", "after"), "calls")
@@ -154,18 +195,10 @@ def order_calls(calls: DataFrame) -> DataFrame:
     inner = edges.join(open_calls, ["conv", "call_id"], "left_semi").join(
         open_calls.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_semi"
     )
-    inner, left, levels, level = materialize(inner.select("conv", "call_id", "dep"), "open-waits"), open_calls, [], 0
-    while True:
-        ready = materialize(left.join(inner, ["conv", "call_id"], "left_anti"), "ready")
-        if ready.isEmpty():
-            break
-        levels.append(ready.select("conv", "call_id", F.lit(1).alias("phase"), F.lit(level).alias("level")))
-        left = materialize(left.join(ready, ["conv", "call_id"], "left_anti"), "open-calls")
-        inner = materialize(inner.join(ready.withColumnRenamed("call_id", "dep"), ["conv", "dep"], "left_anti"), "open-waits")
-        level += 1
-    placed = left.select("conv", "call_id", F.lit(2).alias("phase"), F.lit(0).alias("level"))
-    for rows in levels:
-        placed = placed.unionByName(rows)
+    level = _levels(open_calls, materialize(inner.select("conv", "call_id", "dep"), "open-waits"))
+    placed = open_calls.join(level, ["conv", "call_id"], "left").select(
+        "conv", "call_id", F.when(F.col("level").isNull(), 2).otherwise(1).alias("phase"), F.coalesce("level", F.lit(0)).alias("level")
+    )
     unknown = (
         wait.join(known, ["conv", "dep"], "left").where("dep_turn IS NULL OR dep = call_id OR dep IS NULL")
         .groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("unknown_waits"))

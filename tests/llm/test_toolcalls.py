@@ -1,6 +1,7 @@
 """Tool calls: canonical JSON, schemas, and links and order against a plain version."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -93,6 +94,21 @@ def test_whole_table(spark):
                 assert all(at[d] < at[c.call_id] for d in c.after if d in at and d != c.call_id)
 
 
+def test_order_of_random_waits(spark):
+    rng, rows = random.Random(7), []
+    for conv in range(40):
+        n = rng.randrange(1, 30)
+        for i in range(n):
+            # sparse waits give long chains, dense ones calls with several waits and cycles
+            later = [f"c{j}" for j in range(i + 1, n) if rng.random() < (conv % 4) / n]
+            rows.append((conv, f"c{i}", i, ([f"c{i + 1}"] if conv % 2 and i + 1 < n else later) + [f"c{rng.randrange(n)}"] * (rng.random() < 0.1)))
+    calls = spark.createDataFrame(rows, "conv long, call_id string, turn long, after array<string>")
+    got = {(r.conv, r.call_id): (r.phase, r.level) for r in T.order_calls(calls).collect()}
+    want = {(c, i): p for c in range(40) for i, p in plain_order([r[1:2] + r[2:] for r in rows if r[0] == c]).items()}
+    assert got == want and {p for p, _ in want.values()} == {0, 1, 2}
+    assert max(level for _, level in want.values()) > 15
+
+
 def test_edges(spark):
     calls = spark.createDataFrame(
         [
