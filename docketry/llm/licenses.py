@@ -8,7 +8,8 @@ Every match must hold one of the template's key words: enough of its words, the
 longest first, that without them the coverage could not be reached. Only where a
 key word occurs is the template aligned: words unique on both sides are anchors,
 the longest increasing run of anchors stays, and the gaps between them are
-aligned in the same way. Of overlapping matches with one template the best
+aligned in the same way. Where stray words nearby stretch the alignment too far,
+its parts that fit and every shorter window are tried. Of overlapping matches with one template the best
 covered stays, the leftmost among equals.
 
 Defined results: null and empty texts have no match; templates without words
@@ -113,6 +114,17 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def fitting(places: list[int], longest: int) -> list[int]:
+    """The most of ascending places that lie within ``longest`` words; the leftmost among equals."""
+    best, first = (0, 0), 0
+    for last, p in enumerate(places):
+        while p - places[first] >= longest:
+            first += 1
+        if last + 1 - first > best[1] - best[0]:
+            best = first, last + 1
+    return places[slice(*best)]
+
+
 @dataclass(frozen=True)
 class Template:
     name: str
@@ -136,14 +148,21 @@ def match_template(words: list[str], hits: dict[str, list[int]], template: Templ
     """Matches in one text: start and end word, covered template words. ``hits``: where key words are."""
     size = len(template.words)
     extra = int(slack * size)
-    found = set()
-    for key, at in template.keys.items():
-        for p in hits.get(key, ()):
-            for q in at:
-                low, high = max(0, p - q - extra), min(len(words), p - q + size + extra)
-                pairs = align(words[low:high], list(template.words))
-                if len(pairs) >= coverage * size - 1e-9 and pairs[-1][0] - pairs[0][0] < size + extra:
-                    found.add((-len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1))
+    need, longest, wanted = coverage * size - 1e-9, size + extra, list(template.words)
+    starts = {p - q for key, at in template.keys.items() for p in hits.get(key, ()) for q in at}
+    found, again = set(), set()
+    for start in starts:
+        low, high = max(0, start - extra), min(len(words), start + longest)
+        at = [low + i for i, _ in align(words[low:high], wanted)]
+        if len(at) >= need and at[-1] - at[0] >= longest:
+            at = fitting(at, longest)
+            again.update(range(low, high - longest + 1))
+        if len(at) >= need:
+            found.add((-len(at), at[0], at[-1] + 1))
+    for low in again:
+        at = [low + i for i, _ in align(words[low : low + longest], wanted)]
+        if len(at) >= need:
+            found.add((-len(at), at[0], at[-1] + 1))
     out: list[tuple] = []
     for n, a, b in sorted(found):
         if all(b <= x or y <= a for x, y, _ in out):

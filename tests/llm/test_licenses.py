@@ -92,3 +92,35 @@ def test_key_words_are_enough(name):
     made = licenses.make_template(name, licenses.TEMPLATES[name], 0.8)
     rest = [w for w in made.words if w not in made.keys]
     assert len(rest) < 0.8 * len(made.words)
+
+
+def places(text, name="gpl-3.0-notice"):
+    words, made = licenses.plain_words(text), licenses.make_template(name, licenses.TEMPLATES[name], 0.8)
+    hits = {}
+    for i, w in enumerate(words):
+        hits.setdefault(w, []).append(i)
+    return licenses.match_template(words, hits, made, 0.8, 0.5)
+
+
+def test_stray_words_beside_a_worn_notice():
+    text = "This page and its images work is licensed under the GNU General Public License version two or later see section 3"
+    assert places(text) == [(0, 15, 11)]
+    # the first 'this' must not take the place of the notice's own
+    text = "This page and its images this work is licensed under the GNU General Public License v two or later see section 3"
+    assert places(text) == [(5, 22, 11)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("a b c d e f g x y".split()), max_size=40))
+def test_matches_are_those_of_every_short_stretch(words):
+    made = licenses.make_template("t", "a b c d e f g", 0.8)
+    hits = {}
+    for i, w in enumerate(words):
+        hits.setdefault(w, []).append(i)
+    for a, b, n in licenses.match_template(words, hits, made, 0.8, 0.5):
+        assert b - a <= 7 + 3 and len(licenses.align(words[a:b], list(made.words))) <= n and n >= 0.8 * 7
+
+
+def test_fitting():
+    assert licenses.fitting([0, 4, 5, 6, 20], 4) == [4, 5, 6]
+    assert licenses.fitting([0, 9, 18], 4) == [0]
