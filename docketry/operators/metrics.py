@@ -201,12 +201,16 @@ def longest_look_back() -> int:
     return max(period * (n - 1) for *_, period, _, n in S.ALARMS)
 
 
-def evaluate_alarms(points: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def evaluate_alarms(
+    points: DataFrame, start: Column | None = None, end: Column | None = None, dims: tuple[str, ...] = ()
+) -> DataFrame:
     """All alarms over metric points ``(metric, period_start, value)``.
 
     Every alarm gets a row for each of its periods from ``start`` to ``end`` (by
     default the first and last point of all metrics), also an alarm without
     points; a missing period is no breach, so a series can return to OK.
+    ``dims`` are text columns of the points: each value of them is a series of
+    its own, and metrics without it (null) are the series of the empty text.
     """
     if start is None or end is None:
         low, high = points.agg(F.min("period_start"), F.max("period_start")).first()
@@ -216,17 +220,19 @@ def evaluate_alarms(points: DataFrame, start: Column | None = None, end: Column
     rule = ["alarm", "metric", "threshold", "period", "datapoints", "evaluation_periods"]
     micros = F.col("period") * F.lit(1_000_000).cast("long")
     floor = lambda ts: F.timestamp_micros((F.floor(F.unix_micros(ts) / micros) * micros).cast("long"))
-    grid = period_grid(alarms, rule, floor(start), floor(end), F.col("period"))
-    named = points.join(F.broadcast(alarms.select("alarm", "metric")), "metric").select("alarm", "period_start", "value")
-    dense = grid.join(named, ["alarm", "period_start"], "left")
+    filled = [F.coalesce(d, F.lit("")).alias(d) for d in dims]
+    named = points.join(F.broadcast(alarms.select("alarm", "metric")), "metric").select("alarm", *filled, "period_start", "value")
+    series = alarms.join(named.select("alarm", *dims).distinct(), "alarm", "left").select(*rule, *filled) if dims else alarms
+    grid = period_grid(series, [*rule, *dims], floor(start), floor(end), F.col("period"))
+    dense = grid.join(named, ["alarm", *dims, "period_start"], "left")
     breach = F.coalesce((F.col("value") >= F.col("threshold")).cast("int"), F.lit(0))
-    by_time = Window.partitionBy("alarm").orderBy("period_start")
+    by_time = Window.partitionBy("alarm", *dims).orderBy("period_start")
     breaching = F.lit(None).cast("long")
     for n in sorted({a[6] for a in S.ALARMS}):
         counted = F.sum(breach).over(by_time.rowsBetween(1 - n, 0))
         breaching = F.when(F.col("evaluation_periods") == n, counted).otherwise(breaching)
     return dense.withColumn("breaching", breaching).select(
-        "alarm", "metric", "period_start", "value", "breaching",
+        "alarm", *dims, "metric", "period_start", "value", "breaching",
         F.when(F.col("breaching") >= F.col("datapoints"), "ALARM").otherwise("OK").alias("state"),
     )
 

@@ -678,7 +678,7 @@ def queue_age_alarm(t: Tables) -> DataFrame:
     return moved.select("queue", wall("period_start").alias("period_start"), "state", "previous_state")
 
 
-def _points(t: Tables) -> DataFrame:
+def _event_points(t: Tables) -> DataFrame:
     tele = t.telemetry()
     start = metrics.period_start(F.col("ts"), 300)
     flags = {
@@ -694,11 +694,20 @@ def _points(t: Tables) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in flags]
     )
+    return sums.select("period_start", F.inline(pairs)).where("value > 0")
+
+
+def _age_points(deliveries: DataFrame) -> DataFrame:
+    ages = metrics.oldest_age(deliveries, until=TM.as_timestamp(_LAST))
+    return ages.select(
+        "period_start", F.lit("queue_oldest_age").alias("metric"), F.col("oldest_age_s").cast("double").alias("value"), "queue"
+    )
+
+
+def _points(t: Tables) -> DataFrame:
     # the backlog of one queue that serves every message in the end
     served = _deliveries(t).where("queue = 'purchase' AND received_ts IS NOT NULL")
-    ages = metrics.oldest_age(served, until=TM.as_timestamp(_LAST))
-    age = ages.select("period_start", F.lit("queue_oldest_age").alias("metric"), F.col("oldest_age_s").cast("double").alias("value"))
-    return sums.select("period_start", F.inline(pairs)).where("value > 0").unionByName(age)
+    return _event_points(t).unionByName(_age_points(served).drop("queue"))
 
 
 def _alarm_states(t: Tables) -> DataFrame:
@@ -720,6 +729,26 @@ def alarm_states(t: Tables) -> DataFrame:
     )
 
 
+def _alarm_states_by_queue(t: Tables) -> DataFrame:
+    points = _event_points(t).unionByName(_age_points(_deliveries(t)), allowMissingColumns=True)
+    return metrics.evaluate_alarms(points, TM.as_timestamp(_FIRST), TM.as_timestamp(_LAST), ("queue",))
+
+
+@query
+def alarm_changes_by_queue(t: Tables) -> DataFrame:
+    """Changes of the nine alarms; the backlog of each queue is a series, messages never received included."""
+    moved = metrics.state_changes(_alarm_states_by_queue(t), ["alarm", "queue"])
+    return moved.select("alarm", "queue", wall("period_start").alias("period_start"), "state", "previous_state")
+
+
+@query
+def alarm_states_by_queue(t: Tables) -> DataFrame:
+    """Periods and ALARM periods of every series of ``alarm_changes_by_queue``."""
+    return _alarm_states_by_queue(t).groupBy("alarm", "queue").agg(
+        F.count(F.lit(1)).alias("periods"), F.count_if(F.col("state") == "ALARM").alias("in_alarm")
+    )
+
+
 _LOG_COLUMNS = ("event_id", "component", "event_name", "outcome", "correlation_id", "job_id")
 
 

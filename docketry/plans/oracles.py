@@ -679,6 +679,22 @@ _SQL["alarm_changes"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS}, c AS (
 )
 SELECT * FROM c WHERE state <> previous_state"""
 
+# every queue is a series, and messages that are never received count
+_ALARMS_BY_QUEUE = f"""{_ALARMS}, late_q AS (
+  SELECT DISTINCT queue, m FROM waits WHERE m + INTERVAL 1 MINUTE - sent_ts >= INTERVAL 300 SECOND
+), one_q AS (SELECT queue, m FROM (SELECT DISTINCT queue FROM dlv), minutes),
+stq AS (
+  SELECT alarm, '' AS queue, m, state FROM st WHERE alarm <> 'processing-queue-age'
+  UNION ALL SELECT 'processing-queue-age', queue, m, state FROM ({_two_of_three("late_q", "queue")} one_q g)
+)"""
+_SQL["alarm_states_by_queue"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS_BY_QUEUE}
+SELECT alarm, queue, count(*) AS periods, count(*) FILTER (state = 'ALARM') AS in_alarm FROM stq GROUP BY alarm, queue"""
+_SQL["alarm_changes_by_queue"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS_BY_QUEUE}, c AS (
+  SELECT alarm, queue, m AS period_start, state,
+    coalesce(lag(state) OVER (PARTITION BY alarm, queue ORDER BY m), 'OK') AS previous_state FROM stq
+)
+SELECT * FROM c WHERE state <> previous_state"""
+
 _LOG = "event_id, component, event_name, outcome, correlation_id, job_id, ts"
 _SQL["search_failures_top100"] = f"""WITH {_TELE} SELECT {_LOG} FROM tele WHERE event_name = 'processing.record_failed'
 ORDER BY ts DESC, event_id DESC LIMIT 100"""

@@ -231,3 +231,22 @@ def test_store_errors_are_not_conflicts(spark, tmp_path):
     with pytest.raises(Exception) as caught:
         store._publish(1, {})
     assert not isinstance(caught.value, VersionConflict)
+
+
+def test_alarms_of_every_queue_and_messages_never_received(spark):
+    rows = [
+        ("lost", "2024-01-01 00:00:00", None), ("served", "2024-01-01 00:00:00", "2024-01-01 00:10:00"),
+        ("quick", "2024-01-01 00:00:00", "2024-01-01 00:02:00"),
+    ]
+    sent = spark.createDataFrame([(*r, None) for r in rows], "queue string, sent_ts string, received_ts string, done_ts string")
+    sent = sent.select("queue", *[F.col(c).cast("timestamp").alias(c) for c in ("sent_ts", "received_ts", "done_ts")])
+    first, last = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:00:00", "2024-01-01 00:20:00"))
+    points = metrics.oldest_age(sent, until=last).select(
+        "queue", "period_start", F.lit("queue_oldest_age").alias("metric"), F.col("oldest_age_s").cast("double").alias("value")
+    )
+    states = metrics.evaluate_alarms(points, first, last, ("queue",))
+    moved = metrics.state_changes(states, ["alarm", "queue"]).collect()
+    assert sorted((r.queue, str(r.period_start)[14:16], r.state) for r in moved) == [
+        ("lost", "05", "ALARM"), ("served", "05", "ALARM"), ("served", "11", "OK"),
+    ]
+    assert states.select("alarm", "queue").distinct().count() == len(S.ALARMS) - 1 + 3
