@@ -9,8 +9,10 @@ Tokenizing, numbering and placing the pieces are Spark jobs.
 The search takes the largest remaining length, enumerates undominated fillings
 of the rest of a sequence in the order of their waste, and goes depth first. A
 branch is cut when its waste, and what its remaining pieces waste at least,
-reach that of the best plan so far; at first that is best fit decreasing. It
-ends when the lower bound is met or after ``nodes`` steps.
+reach that of the best plan so far; at first that is best fit decreasing. The
+first pass uses a filling as often as the pieces allow; if it runs out, a second
+one branches on fewer uses too, so fillings of one largest length are mixed. The
+search ends when the lower bound is met or after ``nodes`` steps.
 
 Defined results: null and empty texts are one token (the end id); an empty
 table gives an empty result; pieces of repeated rows or null ids are placed one
@@ -138,13 +140,17 @@ def _dominated(used: dict[int, int], number: dict[int, int], free: int) -> bool:
 
 
 def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[Step]:
-    """The best plan found; optimal when its length is the lower bound or the search ran out."""
+    """The best plan found.
+
+    Surely optimal when its length is the lower bound, or when both passes ran
+    out within ``nodes`` and no list of fillings was cut at its ``effort``.
+    """
     best = best_fit(counts, limit)
     size = np.arange(limit + 1)
     total, bound = int((counts * size).sum()), lower_bound(counts, limit)
     score = sum(n for _, n in best)
 
-    def steps(left: np.ndarray, sequences: int) -> Iterator[tuple[np.ndarray, Step]]:
+    def steps(left: np.ndarray, sequences: int, mixed: bool) -> Iterator[tuple[np.ndarray, Step]]:
         largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
@@ -152,17 +158,25 @@ def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[S
         allowed = (score - 1) * limit - total - wasted
         for used in fillings(rest, limit - largest, allowed):
             after = left.copy()
-            yield after, _apply(after, used | {largest: used.get(largest, 0) + 1})
+            used, times = _apply(after, used | {largest: used.get(largest, 0) + 1})
+            yield after, (used, times)
+            for fewer in range(times - 1, 0, -1) if mixed else ():
+                after = after.copy()
+                for s, n in used.items():
+                    after[s] += n
+                yield after, (used, fewer)
 
     path: list[Step] = []
-    open_at = [steps(counts, 0)] if counts.any() else []
-    sequences = 0
+    open_at = [steps(counts, 0, mixed) for mixed in (True, False)] if counts.any() else []  # the last one first
+    sequences, mixed = 0, False
     while open_at and score > bound and nodes > 0:
         found = next(open_at[-1], None)
         if found is None:
             open_at.pop()
             if path:
                 sequences -= path.pop()[1]
+            else:
+                mixed = True
             continue
         nodes -= 1
         left, step = found
@@ -171,7 +185,7 @@ def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[S
         path.append(step)
         sequences += step[1]
         if left.any():
-            open_at.append(steps(left, sequences))
+            open_at.append(steps(left, sequences, mixed))
         else:
             best, score = list(path), sequences
             sequences -= path.pop()[1]

@@ -60,6 +60,15 @@ def test_completion_beats_best_fit():
     assert sum(n for _, n in packing.plan_sequences(hard, 2048, 1500)) <= sum(n for _, n in packing.best_fit(hard, 2048))
 
 
+def test_fillings_of_one_largest_length_are_mixed():
+    sizes = [52, 52, 51, 50, 42, 41, 41, 37, 34, 34, 32, 32, 31, 25, 16, 16, 7, 7]  # 600 = 6 * 100
+    counts = histogram(sizes, 100)
+    plan = packing.plan_sequences(counts, 100)
+    used = sum(histogram([s for s, n in lengths.items() for _ in range(n)], 100) * times for lengths, times in plan)
+    assert sum(n for _, n in plan) == 6 and (used == counts).all()
+    assert all(sum(s * n for s, n in lengths.items()) <= 100 for lengths, _ in plan)
+
+
 def check_places(rows, limit):
     by_sequence = {}
     for r in rows:
