@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import counting, exact, licenses, packing, pieces, quality, simhash, substring, tokens, toolcalls, warc
+from docketry.llm import (
+    alignment, counting, exact, licenses, packing, periodic, pieces, quality, simhash, substring, tokens, toolcalls, warc,
+)
 from docketry.llm.common import prepare, scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +147,38 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls that the conversations imply, linked to their results; ``message`` is the canonical JSON."""
     calls, results = toolcalls.calls_of(table(spark, sf_dir, "conversations"))
     return toolcalls.link_calls(calls, results, toolcalls.TOOLS).withColumnRenamed("conv", "conv_id")
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in every tenth document by checksum, the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    )
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    placed = chosen.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn(
+        "p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    )
+    periodic = F.transform(
+        "words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    )
+    return placed.select("doc_id", F.when(n > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.measure_runs(_made_periodic(table(spark, sf_dir, "documents")), periodic.Runs(min_length=24, min_exponent=3))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_runs", "start", "length", "period", "exponent_milli",
+        F.lower(F.hex("runs_sha")).alias("runs_sha256"), F.lower(F.hex("collapsed_sha")).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = tokens.public_path("byte_bpe_50k.json"), tokens.public_path("piece_bpe_32k.model")
+    found = alignment.measure_alignment(table(spark, sf_dir, "documents"), first, second)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.coalesce(F.lower(F.hex("groups_sha")), F.lit("")).alias("groups_sha256"),
+    )
