@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    alignment, counting, exact, licenses, packing, periodic, pieces, quality, simhash, substring, tokens, toolcalls, warc,
+    alignment, classifier, counting, exact, licenses, packing, periodic, pieces, quality, simhash, substring, tokens, toolcalls, warc,
 )
 from docketry.llm.common import prepare, scratch
 
@@ -182,3 +182,17 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
         F.coalesce(F.lower(F.hex("groups_sha")), F.lit("")).alias("groups_sha256"),
     )
+
+
+def _held_out() -> Column:
+    """Rows by the checksum of their id; a row without one is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of held-out rows go before training; scores see texts only."""
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.train(docs, table(spark, sf_dir, "labels").where(~_held_out()))
+    scored = classifier.score_texts(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
