@@ -20,7 +20,7 @@ from docketry.plans import pipeline as P
 from docketry.plans.fixtures import AS_OF, Tables
 from docketry.session import prepare_session, shared_dir
 from docketry.sources import files, retention
-from docketry.streaming import state
+from docketry.streaming import ownership, redelivery, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -857,6 +857,52 @@ def stream_state_machine(t: Tables) -> DataFrame:
     )
 
 
+@query
+def redelivered_batches(t: Tables) -> DataFrame:
+    """Every event as a message whose handler fails a number of times: both queues, then quarantine.
+
+    Seven clocks, each a run of the delay queue; answers take a minute.
+    """
+    fails = F.when(F.col("n") % 6 == 0, F.floor(F.col("n") / 6) % 8).otherwise(0)
+    n = F.substring("message_id", 3, 20).cast("long")
+    earlier = F.when(F.col("level") == redelivery.DEAD_LETTER, CONFIG.max_receives).otherwise(0)
+
+    def handle(deliveries: DataFrame, clock) -> DataFrame:
+        return deliveries.withColumn("n", n).select(
+            "message_id", "level", "receive_count", (F.col("receive_count") + earlier > fails).alias("ok"),
+            TM.plus_seconds(F.col("at"), 60).alias("ts"),
+        )
+
+    clocks = [f"2024-02-01 00:{minute}:00" for minute in ("02", 14, 26, 38, 41, 44, 47)]
+    root = f"{shared_dir(t.spark)}/redelivery-{uuid.uuid4().hex}"
+    outcomes = redelivery.redeliver(t.spark, t.queued(), handle, root, clocks, CONFIG)
+    settled = F.col("kind").isin("acknowledged", redelivery.QUARANTINE)
+    last = F.first(F.when(settled, F.struct("kind", "level", "receive_count", "at")), ignorenulls=True)
+    return outcomes.groupBy("message_id").agg(
+        F.count_if(F.col("kind") == "delivery").alias("deliveries"), F.count_if(F.col("kind") == "retry").alias("retries"),
+        last.alias("last"),
+    ).select(
+        "message_id", "deliveries", "retries", F.col("last.kind").alias("destination"), F.col("last.level").alias("level"),
+        F.col("last.receive_count").alias("receive_count"), wall("last.at").alias("settled_at"),
+    )
+
+
+@query
+def stream_owner_finalize(t: Tables) -> DataFrame:
+    """Claims and finalizations over three triggers: owners, takeovers, stale and late rows, ended leases."""
+    root = f"{shared_dir(t.spark)}/owners-{uuid.uuid4().hex}"
+    state.use_rocksdb(t.spark)
+    events = t.ownership_events()
+    days = [f"{day} 00:00:00" for day in ("2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01")]
+    for first, last in zip(days, days[1:]):
+        arrived = F.col("arrived")
+        events.where((arrived >= TM.as_timestamp(first)) & (arrived < TM.as_timestamp(last))).write.mode("append").parquet(f"{root}/in")
+        source = t.spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        ownership.start_owned_jobs(source, root, f"{root}/checkpoint", lease_seconds=LEASE_SECONDS).awaitTermination()
+    out = t.spark.read.parquet(f"{root}/outcomes")
+    return out.select("job_id", "attempt_id", "kind", "outcome", "side", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
 @query
 def binary_file_source(t: Tables) -> DataFrame:
     """Documents written as text objects and read back with the size filter."""

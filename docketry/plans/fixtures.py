@@ -218,6 +218,31 @@ class Tables:
             "WHEN 'error' THEN 'release' ELSE 'crash' END AS result",
         )
 
+    def queued(self) -> DataFrame:
+        """Messages sent within 100 seconds, one per event."""
+        return self.read("events").selectExpr(
+            "concat('m-', event_id) AS message_id",
+            "TIMESTAMP '2024-02-01 00:00:00' + make_dt_interval(0, 0, 0, event_id % 100) AS sent_ts",
+        )
+
+    def ownership_events(self) -> DataFrame:
+        """Each event claims a job; most finalize it hours later, some rows arrive days late."""
+        e = self.read("events").selectExpr(
+            "event_id", "concat('u-', user_id, '-', event_id % 7) AS job_id", "concat('a-', event_id) AS attempt_id",
+            "CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'fail' WHEN 'error' THEN 'release' END AS result",
+            "CAST(ts AS TIMESTAMP) AS claimed",
+            "CAST(ts AS TIMESTAMP) + make_dt_interval(0, event_id * 37 % 9) AS ended",
+        )
+        claims = e.selectExpr(
+            "job_id", "attempt_id", "'claim' AS kind", "claimed AS ts",
+            "CASE WHEN event_id % 17 = 0 THEN claimed + INTERVAL 3 DAYS ELSE claimed END AS arrived",
+        )
+        ends = e.where("result is not null").selectExpr(
+            "job_id", "attempt_id", "result AS kind", "ended AS ts",
+            "CASE WHEN event_id % 13 = 0 THEN ended + INTERVAL 2 DAYS ELSE ended END AS arrived",
+        )
+        return claims.unionByName(ends)
+
     def status_history(self) -> DataFrame:
         return self.read("events").selectExpr(
             "concat('u-', user_id) AS job_id", "event_id", "CAST(ts AS TIMESTAMP) AS ts",

@@ -776,6 +776,71 @@ _SQL["stream_state_machine"] = _SQL["history_fold"].replace(
     "SELECT 'u-' || user_id AS job_id, deliveries, attempts, active, applied FROM f",
 )
 
+# closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
+_SQL["redelivered_batches"] = """WITH m AS (
+  SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,
+    TIMESTAMP '2024-02-01 00:00:00' + to_seconds(event_id % 100) AS sent FROM events
+)
+SELECT 'm-' || event_id AS message_id, CAST(least(k + 1, 6) AS BIGINT) AS deliveries, CAST(least(k, 6) AS BIGINT) AS retries,
+  CASE WHEN k < 6 THEN 'acknowledged' ELSE 'quarantine' END AS destination,
+  CASE WHEN k < 3 THEN 'work' WHEN k < 6 THEN 'dead_letter' ELSE 'quarantine' END AS level,
+  CAST(CASE WHEN k < 6 THEN k % 3 + 1 ELSE 0 END AS INTEGER) AS receive_count,
+  sent + to_seconds(CASE WHEN k < 3 THEN 720 * k + 60 WHEN k < 6 THEN 2160 + 180 * (k - 3) + 60 ELSE 2700 END) AS settled_at
+FROM m"""
+
+_SQL["stream_owner_finalize"] = """WITH RECURSIVE e AS (
+  SELECT event_id, 'u-' || user_id || '-' || event_id % 7 AS job_id, 'a-' || event_id AS attempt_id, ts AS claimed,
+    CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'fail' WHEN 'error' THEN 'release' END AS result,
+    ts + to_hours(event_id * 37 % 9) AS ended FROM events
+), r AS (
+  SELECT job_id, attempt_id, 'claim' AS kind, claimed AS ts,
+    CASE WHEN event_id % 17 = 0 THEN claimed + INTERVAL 3 DAY ELSE claimed END AS arrived FROM e
+  UNION ALL
+  SELECT job_id, attempt_id, result, ended, CASE WHEN event_id % 13 = 0 THEN ended + INTERVAL 2 DAY ELSE ended END
+  FROM e WHERE result IS NOT NULL
+), g AS (
+  SELECT *, CASE WHEN arrived < TIMESTAMP '2024-01-11' THEN 0 WHEN arrived < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS part FROM r
+), d AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY part, ts, kind <> 'claim', attempt_id) AS rn FROM g
+), f AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, '' AS attempt_id, '' AS kind, 0 AS part, '' AS outcome, 'pending_upload' AS status,
+    CAST(0 AS BIGINT) AS attempts, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS TIMESTAMP) AS lease, CAST(NULL AS TIMESTAMP) AS changed FROM d
+  UNION ALL
+  SELECT job_id, rn, attempt_id, kind, part, outcome,
+    CASE outcome WHEN 'claim_acquired' THEN 'processing' WHEN 'claim_taken_over' THEN 'processing' WHEN 'processed' THEN 'succeeded'
+      WHEN 'terminal_failure_recorded' THEN 'failed' WHEN 'released' THEN 'pending_upload' ELSE status END,
+    attempts + CASE WHEN outcome IN ('claim_acquired', 'claim_taken_over') THEN 1 ELSE 0 END,
+    CASE WHEN outcome IN ('claim_acquired', 'claim_taken_over') THEN attempt_id
+      WHEN outcome IN ('processed', 'terminal_failure_recorded', 'released') THEN NULL ELSE owner END,
+    CASE WHEN outcome IN ('claim_acquired', 'claim_taken_over') THEN ts + INTERVAL 21600 SECOND
+      WHEN outcome IN ('processed', 'terminal_failure_recorded', 'released') THEN NULL ELSE lease END,
+    CASE WHEN outcome IN ('claim_acquired', 'claim_taken_over', 'processed', 'terminal_failure_recorded', 'released') THEN ts ELSE changed END
+  FROM (
+    SELECT d.job_id, d.rn, d.attempt_id, d.kind, d.part, d.ts, f.status, f.attempts, f.owner, f.lease, f.changed,
+      CASE WHEN d.kind = 'claim' THEN
+          CASE WHEN f.status IN ('succeeded', 'failed') THEN 'effect_already_applied' WHEN d.ts < f.changed THEN 'rejected_late'
+               WHEN f.status = 'processing' AND f.lease > d.ts THEN 'processing_already_active'
+               WHEN f.status = 'processing' THEN 'claim_taken_over' ELSE 'claim_acquired' END
+        WHEN f.status <> 'processing' OR f.owner <> d.attempt_id THEN 'stale_attempt' WHEN d.ts < f.changed THEN 'rejected_late'
+        WHEN d.kind = 'complete' THEN 'processed' WHEN d.kind = 'fail' THEN 'terminal_failure_recorded' ELSE 'released' END AS outcome
+    FROM f JOIN d ON d.job_id = f.job_id AND d.rn = f.rn + 1
+  )
+), marks AS (SELECT part, max(max(arrived)) OVER (ORDER BY part) AS mark FROM d GROUP BY part),
+held AS (
+  -- claims, and the trigger in which their job changed next
+  SELECT c.job_id, c.attempt_id, c.status, c.attempts, c.lease, c.part, coalesce(min(n.part), 3) AS over_in
+  FROM f c LEFT JOIN f n ON n.job_id = c.job_id AND n.rn > c.rn
+    AND n.outcome IN ('claim_taken_over', 'processed', 'terminal_failure_recorded', 'released')
+  WHERE c.outcome IN ('claim_acquired', 'claim_taken_over') GROUP BY ALL
+)
+SELECT job_id, attempt_id, kind, outcome,
+  CASE outcome WHEN 'rejected_late' THEN 'late' WHEN 'stale_attempt' THEN 'stale' WHEN 'processing_already_active' THEN 'not_needed'
+    WHEN 'effect_already_applied' THEN 'not_needed' ELSE 'applied' END AS side, status, attempts
+FROM f WHERE rn > 0
+UNION ALL
+SELECT DISTINCT job_id, attempt_id, 'lease', 'lease_expired', 'expired', status, attempts
+FROM held JOIN marks ON marks.part >= held.part AND marks.part < held.over_in AND marks.mark >= held.lease"""
+
 
 def all_sql() -> dict[str, str]:
     return dict(_SQL)
