@@ -1,19 +1,20 @@
 """License scans by patience alignment of texts with templates.
 
-Words are compared in lower case without punctuation. A match is a stretch of
-text of at most ``1 + slack`` template lengths in which the alignment covers at
-least ``coverage`` of the template's words, in order.
-
-Every match must hold one of the template's key words: enough of its words, the
-longest first, that without them the coverage could not be reached. Only where a
-key word occurs is the template aligned: words unique on both sides are anchors,
-the longest increasing run of anchors stays, and the gaps between them are
-aligned in the same way. Where stray words nearby stretch the alignment too far,
-its parts that fit and every shorter window are tried. Of overlapping matches with one template the best
-covered stays, the leftmost among equals.
+Words are compared in lower case without punctuation. Every window of
+``1 + slack`` template lengths (shorter where the text ends) is a candidate; it
+matches when its alignment covers at least ``coverage`` of the template's words,
+in order. Of overlapping matches with one template the best covered stays, the
+leftmost, then the shortest among equals.
+
+Two bounds spare windows, none of them a match: it must hold one of the
+template's key words (enough of its words, the longest first, that without them
+the coverage could not be reached), and enough words in common whatever their
+order, which is counted while the window slides. The others are aligned: words
+unique on both sides are anchors, the longest increasing run of anchors stays,
+and the gaps between them are aligned in the same way.
 
 Defined results: null and empty texts have no match; templates without words
-never match; every row is scanned whole and alone.
+never match; every row is scanned whole and alone; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,6 +60,25 @@ TEMPLATES = {
         This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
         Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
         option) any later version.""",
+    "lgpl-2.1-header": """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+        your option) any later version.""",
+    "mpl-2.0-header": """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "bsd-2-clause": """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution.""",
+    "unlicense": """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 _PLAIN = re.compile(r"[\W_]+")
@@ -114,52 +134,51 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def fitting(places: list[int], longest: int) -> list[int]:
-    """The most of ascending places that lie within ``longest`` words; the leftmost among equals."""
-    best, first = (0, 0), 0
-    for last, p in enumerate(places):
-        while p - places[first] >= longest:
-            first += 1
-        if last + 1 - first > best[1] - best[0]:
-            best = first, last + 1
-    return places[slice(*best)]
-
-
 @dataclass(frozen=True)
 class Template:
     name: str
     words: tuple[str, ...]
-    keys: dict[str, tuple[int, ...]]  # key words and where the template has them
+    keys: frozenset[str]
 
 
 def make_template(name: str, text: str, coverage: float) -> Template:
     words = plain_words(text)
-    keys: dict[str, tuple[int, ...]] = {}
-    held = 0
+    keys, held = set(), 0
     for w in sorted(set(words), key=lambda w: (-len(w), w)):
         if held > (1 - coverage) * len(words) + 1e-9:
             break
-        keys[w] = tuple(i for i, x in enumerate(words) if x == w)
-        held += len(keys[w])
-    return Template(name, tuple(words), keys)
-
-
-def match_template(words: list[str], hits: dict[str, list[int]], template: Template, coverage: float, slack: float) -> list[tuple]:
-    """Matches in one text: start and end word, covered template words. ``hits``: where key words are."""
+        keys.add(w)
+        held += words.count(w)
+    return Template(name, tuple(words), frozenset(keys))
+
+
+def candidate_windows(words: list[str], hits: list[int], wanted: Counter, longest: int, need: float) -> Iterator[int]:
+    """Starts of the windows of ``longest`` words with a key word and ``need`` words of the template, in any order."""
+    last, held, common = -2, Counter(), 0
+    for hit in hits:
+        for low in range(max(hit - longest + 1, last + 1, 0), hit + 1):
+            if low != last + 1:  # not next to the window before: count anew
+                held = Counter(w for w in words[low : low + longest] if w in wanted)
+                common = sum(min(n, wanted[w]) for w, n in held.items())
+            else:
+                gone = words[low - 1]
+                if gone in wanted:
+                    held[gone] -= 1
+                    common -= held[gone] < wanted[gone]
+                if low + longest <= len(words) and (new := words[low + longest - 1]) in wanted:
+                    held[new] += 1
+                    common += held[new] <= wanted[new]
+            last = low
+            if common >= need:
+                yield low
+
+
+def match_template(words: list[str], hits: list[int], template: Template, coverage: float, slack: float) -> list[tuple]:
+    """Matches in one text: start and end word, covered template words. ``hits``: where key words are, ascending."""
     size = len(template.words)
-    extra = int(slack * size)
-    need, longest, wanted = coverage * size - 1e-9, size + extra, list(template.words)
-    starts = {p - q for key, at in template.keys.items() for p in hits.get(key, ()) for q in at}
-    found, again = set(), set()
-    for start in starts:
-        low, high = max(0, start - extra), min(len(words), start + longest)
-        at = [low + i for i, _ in align(words[low:high], wanted)]
-        if len(at) >= need and at[-1] - at[0] >= longest:
-            at = fitting(at, longest)
-            again.update(range(low, high - longest + 1))
-        if len(at) >= need:
-            found.add((-len(at), at[0], at[-1] + 1))
-    for low in again:
+    need, longest, wanted = coverage * size - 1e-9, size + int(slack * size), list(template.words)
+    found = set()
+    for low in candidate_windows(words, hits, Counter(wanted), longest, need):
         at = [low + i for i, _ in align(words[low : low + longest], wanted)]
         if len(at) >= need:
             found.add((-len(at), at[0], at[-1] + 1))
@@ -180,7 +199,10 @@ def scan_licenses(
     """One row per match: ``id, license, start_word, end_word, covered_words, coverage``. No shuffle."""
     made = [make_template(n, t, coverage) for n, t in (TEMPLATES if templates is None else templates).items()]
     made = [t for t in made if t.words]
-    keys = {w for t in made for w in t.keys}
+    keys: dict[str, list[int]] = {}  # key word to the templates that have it
+    for k, t in enumerate(made):
+        for w in t.keys:
+            keys.setdefault(w, []).append(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -194,11 +216,13 @@ def scan_licenses(
                 codes = words.codes[ends[doc] - words.per_doc[doc] : ends[doc]]
                 codes = codes[~empty[codes]]
                 text = [forms[c] for c in codes.tolist()]
-                hits: dict[str, list[int]] = {}
+                hits: dict[int, list[int]] = {}
                 for p in np.flatnonzero(is_key[codes]).tolist():
-                    hits.setdefault(text[p], []).append(p)
-                for t in made:
-                    for a, b, n in match_template(text, hits, t, coverage, slack):
+                    for k in keys[text[p]]:
+                        hits.setdefault(k, []).append(p)
+                for k, at in sorted(hits.items()):
+                    t = made[k]
+                    for a, b, n in match_template(text, at, t, coverage, slack):
                         rows.append((ids[doc].as_py(), t.name, a, b, n, n / len(t.words)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
