@@ -20,7 +20,8 @@
 - Canonical JSON: keys by UTF-16 code units, no white space, shortest numbers.
 
 Defined results: null ids are linked to nothing (``missing_id``); null or broken
-arguments are ``invalid_json``; an unknown or null tool is ``unknown_tool``; a
+arguments, and such with lone surrogates or more than ``MAX_DEPTH`` levels, are
+``invalid_json`` and stay as text; an unknown or null tool is ``unknown_tool``; a
 wait for an unknown call or for itself is ignored and counted in
 ``unknown_waits``.
 """
@@ -32,7 +33,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,9 @@ from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
+#: levels of arrays and objects in arguments; far below what the interpreter allows
+MAX_DEPTH = 100
+
 
 def _number(value: int | float) -> str:
     if isinstance(value, int):
@@ -60,7 +64,7 @@ def _number(value: int | float) -> str:
 def canonical(value: object) -> str:
     """JSON text that is the same for equal values."""
     if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be"))
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
@@ -79,11 +83,28 @@ def _refuse(text: str) -> None:
     raise ValueError(text)
 
 
+def _check(value: object) -> None:
+    """Nesting within ``MAX_DEPTH``, and every text without lone surrogates; level by level, so no depth is too much."""
+    level, depth = [value], 0
+    while level:
+        depth += any(isinstance(v, (dict, list)) for v in level)
+        if depth > MAX_DEPTH:
+            raise ValueError("nested too deeply")
+        for v in level:
+            for text in v if isinstance(v, dict) else [v] if isinstance(v, str) else ():
+                text.encode()
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+
+
 def parse(text: str | None) -> object:
-    """Strict JSON: no repeated keys, no NaN."""
+    """Strict JSON: no repeated keys, no NaN, no lone surrogates, at most ``MAX_DEPTH`` levels."""
     if text is None:
         raise ValueError("null")
-    value = json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse)
+    try:
+        value = json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    _check(value)
     canonical(value)
     return value
 
@@ -128,9 +149,10 @@ def faults(value: object, schema: dict, path: str = "$") -> Iterator[str]:
                 yield from faults(value[k], known[k], f"{path}.{k}")
 
 
-def _first(order: list[str]) -> Column:
-    """Rank among rows with one conversation and call id; such groups are repeats of one id."""
-    return F.row_number().over(Window.partitionBy("conv", "call_id").orderBy(*order))
+def _firsts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The numbers of the rows that are the first of their conversation and call id, found by aggregation."""
+    known = rows.where("conv is not null and call_id is not null")
+    return known.groupBy("conv", "call_id").agg(F.min(F.struct(*order, "number")).alias("first")).select("first.number")
 
 
 def _levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
@@ -217,7 +239,7 @@ def _formatting(schemas: dict[str, dict]):
         message = {"id": r["call_id"], "name": r["name"], "role": "assistant"}
         try:
             value = parse(r["arguments"])
-        except (ValueError, RecursionError):
+        except ValueError:
             state, found, message["arguments"] = "invalid_json", [], r["arguments"]
         else:
             message["arguments"] = value
@@ -241,24 +263,27 @@ def _formatting(schemas: dict[str, dict]):
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per call, and per result that no call took: link, place, check and canonical JSON."""
-    ids = F.col("conv").isNotNull() & F.col("call_id").isNotNull()
+    known = F.col("conv").isNotNull() & F.col("call_id").isNotNull()
     called = calls.select("conv", "turn", "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    called = materialize(called.withColumn("rank", F.when(ids, _first(["turn", "name", "arguments"]))), "ranked-calls")
+    called = materialize(called.withColumn("number", F.monotonically_increasing_id()), "calls")
+    taken = _firsts(called, ["turn", "name", "arguments"])
     given = results.select("conv", F.col("turn").alias("result_turn"), "call_id", "content")
-    given = materialize(given.withColumn("rank", F.when(ids, _first(["result_turn", "content"]))), "ranked-results")
-    first = called.where("rank = 1")
+    given = materialize(given.withColumn("number", F.monotonically_increasing_id()), "results")
+    answered = _firsts(given, ["result_turn", "content"])
+    first = materialize(called.join(taken, "number", "left_semi").drop("number"), "first-calls")
     place = order_calls(first)
     linked = first.join(place, ["conv", "call_id"]).join(
-        given.where("rank = 1").select("conv", "call_id", "result_turn", "content", F.lit(True).alias("taken")), ["conv", "call_id"], "full"
+        given.join(answered, "number", "left_semi").select("conv", "call_id", "result_turn", "content", F.lit(True).alias("taken")),
+        ["conv", "call_id"], "full",
     )
     none = F.lit(None)
-    status = F.when(F.col("rank").isNull(), "orphan_result").when(F.col("taken").isNull(), "missing_result").otherwise("linked")
+    status = F.when(F.col("phase").isNull(), "orphan_result").when(F.col("taken").isNull(), "missing_result").otherwise("linked")
     main = linked.withColumn("call_status", status)
-    more_calls = called.where("rank IS NULL OR rank > 1").withColumn(
-        "call_status", F.when(F.col("rank").isNull(), "missing_id").otherwise("duplicate_call")
+    more_calls = called.join(taken, "number", "left_anti").withColumn(
+        "call_status", F.when(known, "duplicate_call").otherwise("missing_id")
     )
-    more_results = given.where("rank IS NULL OR rank > 1").withColumn(
-        "call_status", F.when(F.col("rank").isNull(), "orphan_result").otherwise("duplicate_result")
+    more_results = given.join(answered, "number", "left_anti").withColumn(
+        "call_status", F.when(known, "duplicate_result").otherwise("orphan_result")
     )
     columns = {
         "conv": "conv", "turn": "turn", "call_id": "call_id", "name": "name", "arguments": "arguments", "phase": "phase",
@@ -297,7 +322,8 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results as a conversation table implies them.
 
     An assistant turn is a call whose arguments come from its text; the next
-    user turn is its result. A call waits for the assistant turn before it; in
+    user turn is its result. Turns of other roles (or none) take no call id, so they
+    come out as results without a call. A call waits for the assistant turn before it; in
     every seventh conversation for the one after it, in every 29th for both.
     """
     c = conversations.select(
@@ -318,5 +344,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     before, later = name(F.col("turn") - 2), name(F.col("turn") + 2)
     after = F.when(F.col("conv") % 29 == 0, F.array(before, later)).when(F.col("conv") % 3 == 0, F.array(later)).otherwise(F.array(before))
     calls = c.where("role = 'assistant'").select("conv", "turn", name(F.col("turn")).alias("call_id"), tool.alias("name"), arguments.alias("arguments"), after.alias("after"))
-    results = c.where("role = 'user'").select("conv", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    results = c.where("role is null or role <> 'assistant'").select(
+        "conv", "turn", F.when(F.col("role") == "user", name(F.col("turn") - 1)).alias("call_id"), F.col("text").alias("content")
+    )
     return calls, results

@@ -67,6 +67,11 @@ def test_whole_table(spark):
     for conv in {c.conv for c in calls}:
         for i, p in plain_order([(c.call_id, c.turn, c.after) for c in calls if c.conv == conv]).items():
             place[conv, i] = p
+    others = [r for r in rows if r.call_id is None]
+    assert len(others) == conversations.where("role not in ('user', 'assistant')").count()
+    assert {r.call_status for r in others} <= {"orphan_result"}
+    rows = [r for r in rows if r.call_id is not None]
+    content = {k: v for k, v in content.items() if k[1] is not None}
     by_id = {(r.conv_id, r.call_id): r for r in rows}
     assert len(by_id) == len(rows) == len({(c.conv, c.call_id) for c in calls} | set(content))
     for c in calls:
@@ -133,3 +138,40 @@ def test_edges(spark):
     assert next(r.message for r in rows if r.call_status == "linked" and r.conv == 1) == '{"arguments":{"query":"x"},"id":"a","name":"search","result":"one","role":"assistant"}'
     assert T.link_calls(calls.where("false"), results.where("false"), T.TOOLS).count() == 0
     assert T.link_calls(calls.where("false"), results, T.TOOLS).where("call_status = 'orphan_result'").count() == 4
+
+
+def test_untrusted_arguments(spark):
+    """Lone surrogates in a value or a key, and every depth, come out as rows."""
+    nested = lambda n: '{"a":' * (n - 1) + "{}" + "}" * (n - 1)
+    lists = lambda n: '{"a":' + "[" * (n - 1) + "]" * (n - 1) + "}"
+    texts = ['{"query":"\\ud800"}', '{"\\ud800":1}', '{"query":"\\ud83d\\ude00"}', '{"query":["a",{"b":"\\udfff x"}]}', "1" * 5000, "[" * 100_000]
+    texts += [f(n) for n in range(2, 2001) for f in (nested, lists)]
+    calls = spark.createDataFrame([(i, i, f"c{i}", "search", t, None, "x", 1) for i, t in enumerate(texts)],
+        "conv long, turn long, call_id string, name string, arguments string, after array<string>, taken string, rank int")
+    results = spark.createDataFrame([], "conv long, turn long, call_id string, content string, phase int, number int")
+    status = {r.conv: r for r in T.link_calls(calls, results, T.TOOLS).collect()}
+    assert [status[i].arguments_status for i in range(6)] == ["invalid_json", "invalid_json", "valid", "invalid_json", "invalid_json", "invalid_json"]
+    assert json.loads(status[0].message)["arguments"] == texts[0]
+    for i, t in enumerate(texts[6:], 6):
+        deep = t.count("{") + t.count("[") > T.MAX_DEPTH
+        assert (status[i].arguments_status == "invalid_json") == deep
+        assert json.loads(status[i].message)["arguments"] == (t if deep else json.loads(t))
+
+
+def test_turns_of_other_roles_have_a_row(spark):
+    turns = [(1, 0, "system", "rules"), (1, 1, None, "?"), (1, 2, "assistant", "hello"), (1, 3, "user", "thanks"), (1, 4, "tool", None)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    calls, results = T.calls_of(table)
+    rows = T.link_calls(calls, results, T.TOOLS).collect()
+    assert sorted((r.call_status, r.result_turn) for r in rows) == [("linked", 3), ("orphan_result", 0), ("orphan_result", 1), ("orphan_result", 4)]
+
+
+def test_hot_ids(spark):
+    """Rows without ids, and many rows of one id, are told apart by aggregation."""
+    calls = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE 7 END AS conv", "id AS turn", "CASE WHEN id % 3 = 1 THEN 'a' END AS call_id",
+        "'search' AS name", "'{}' AS arguments", "CAST(NULL AS ARRAY<STRING>) AS after",
+    )
+    results = calls.selectExpr("conv", "turn", "call_id", "'x' AS content")
+    got = {(r.call_status): r["count"] for r in T.link_calls(calls, results, T.TOOLS).groupBy("call_status").count().collect()}
+    assert got == {"linked": 1, "duplicate_call": 999, "missing_id": 2000, "duplicate_result": 999, "orphan_result": 2000}
