@@ -6,9 +6,11 @@ A task sorts its shards, writes one gzip member per record and starts a new file
 once the compressed size passes the limit. Headers, digests and record ids are
 made anew from the rows; dates are a parameter; equal input gives equal bytes.
 
-A file is written under a temporary name and renamed when it is complete. A task
-that runs twice writes the same bytes, so either result may stay. Each file gives
-a row of the manifest; the manifest is a table in the folder, and a small file
+A file is written under a temporary name and renamed when it is complete; its
+final name holds a digest of its bytes. A task that runs twice makes the same
+names and bytes, so a file is never deleted or replaced: the later attempt drops
+its own temporary file. Temporary files of attempts that died are
+removed when the archive is committed. Each file gives a row of the manifest; the manifest is a table in the folder, and a small file
 naming it, renamed last, commits the archive. Readers open only what a committed
 manifest lists.
 
@@ -33,7 +35,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,19 @@ def page_record(
     return _record(fields, block)
 
 
+def _settle(system: fs.FileSystem, temporary: str, final: str) -> None:
+    """A complete file gets its final name once; another attempt's file of that name holds the same bytes and stays."""
+    there = lambda: system.get_file_info(final).type != fs.FileType.NotFound
+    if not there():
+        try:
+            system.move(temporary, final)
+            return
+        except OSError:  # some stores refuse to replace what another attempt has put there just now
+            if not there():
+                raise
+    system.delete_file(temporary)
+
+
 class _Roll:
     """Files of one shard, under temporary names until they are complete."""
 
@@ -112,14 +126,14 @@ class _Roll:
         self.sink = None
 
     def _open(self) -> None:
-        self.name = f"part-{self.shard:05d}-{self.number:04d}.warc.gz"
-        self.temporary = f"{self.root}/.{self.name}.{TaskContext.get().taskAttemptId()}"
+        self.stem = f"part-{self.shard:05d}-{self.number:04d}"
+        self.temporary = f"{self.root}/.{self.stem}.{uuid.uuid4().hex}"
         self.sink, self.hash = self.system.open_output_stream(self.temporary), hashlib.sha1()
         self.size = self.records = 0
         info = f"software: {self.settings.software}\r\nformat: WARC File Format 1.1\r\n".encode()
         self._put(_record([
-            ("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("info", self.name)), ("WARC-Date", self.settings.date),
-            ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields"),
+            ("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id("info", self.stem)), ("WARC-Date", self.settings.date),
+            ("WARC-Filename", f"{self.stem}.warc.gz"), ("Content-Type", "application/warc-fields"),
         ], info))
 
     def _put(self, member: bytes) -> None:
@@ -139,10 +153,9 @@ class _Roll:
         if self.sink is None:
             return
         self.sink.close()
-        if self.system.get_file_info(f"{self.root}/{self.name}").type != fs.FileType.NotFound:
-            self.system.delete_file(f"{self.root}/{self.name}")
-        self.system.move(self.temporary, f"{self.root}/{self.name}")
-        self.done.append((self.name, self.shard, self.number, self.records, self.size, self.hash.hexdigest()))
+        name = f"{self.stem}-{self.hash.hexdigest()[:16]}.warc.gz"
+        _settle(self.system, self.temporary, f"{self.root}/{name}")
+        self.done.append((name, self.shard, self.number, self.records, self.size, self.hash.hexdigest()))
         self.sink, self.number = None, self.number + 1
 
 
@@ -224,6 +237,9 @@ def write_archives(
     )
     manifest = f"manifest-{uuid.uuid4().hex}"
     placed.mapInArrow(_writing(folder, settings), _FILES).write.parquet(f"{folder}/{manifest}")
+    for left in system.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith(".part-"):
+            system.delete_file(left.path)
     with system.open_output_stream(f"{root}/.{manifest}") as out:
         out.write(json.dumps({"manifest": manifest}).encode())
     system.move(f"{root}/.{manifest}", f"{root}/{COMMIT}")

@@ -87,3 +87,46 @@ def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], SCHEMA)
     warc.write_archives(pages, str(tmp_path / "a"))
     assert warc.read_archives(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_an_attempt_never_removes_what_another_committed(tmp_path):
+    """Two attempts of one task: whenever the second stops, the first one's file is there and whole."""
+    from pyarrow import fs
+
+    def attempt():
+        roll = warc._Roll(f"file://{tmp_path}", 3, warc.ArchiveSettings())
+        roll.add(warc.page_record(1, "u", b"x" * 500, 0, False, None, roll.settings))
+        return roll
+
+    first, second = attempt(), attempt()
+    first.close()
+    (name, *_), = first.done
+    before = (tmp_path / name).read_bytes()
+    removed = []
+
+    class Watched:
+        def __getattr__(self, item):
+            return getattr(second_system, item)
+
+        def delete_file(self, path):
+            removed.append(path)
+            raise KeyboardInterrupt  # killed here
+
+    second_system, second.system = second.system, Watched()
+    with pytest.raises(KeyboardInterrupt):
+        second.close()
+    assert removed == [second.temporary] and (tmp_path / name).read_bytes() == before
+    third = attempt()
+    third.close()
+    assert third.done == first.done and (tmp_path / name).read_bytes() == before
+    assert fs.LocalFileSystem().get_file_info(third.temporary).type == fs.FileType.NotFound
+
+
+def test_other_pages_in_the_same_folder(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    for text in ("one " * 400, "two " * 400):
+        warc.write_archives(spark.createDataFrame([(1, "u", text, 1, 2)], SCHEMA), folder)
+        (row,) = warc.read_archives(spark, folder, with_payload=True).collect()
+        assert bytes(row.payload).decode() == text
+    left = [f for f in os.listdir(folder) if f.startswith(".part-")]
+    assert not left
