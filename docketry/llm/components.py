@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from docketry.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one other node only, or has others hanging on it, never both."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    counted = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,8 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     a, b = F.greatest("u", "v"), F.least("u", "v")
     current = materialize(edges.where("u <> v").select(a.alias("a"), b.alias("b")).distinct(), "edges")
-    state = _state(current)
-    while True:
+    while not _are_stars(current):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
@@ -34,8 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
         current = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        before, state = state, _state(current)
-        if state == before:
-            break
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

@@ -33,6 +33,8 @@ from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
+#: parts of a group of linked fingerprints when its rows meet the one that stays
+PARTS = 32
 TILE_ROWS = 8192
 BLOCK_ROWS = 64
 SEED = 42
@@ -150,10 +152,16 @@ def cluster(
     first = materialize(light.groupBy("fp").agg(F.min(ranked).alias("first")), "distinct-simhash")
     edges = link_fingerprints(first.select("fp"), radius)
     labels = connected_components(edges).withColumnRenamed("node", "fp")
-    labelled = first.join(broadcast_if_small(labels, 16), "fp", "left")
-    labelled = labelled.select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    best = labelled.groupBy("label").agg(F.min("first").alias("best"))
-    placed = materialize(labelled.join(best, "label").select("fp", "best"), "simhash-groups")
+    labelled = materialize(first.join(broadcast_if_small(labels, 16), "fp", "left"), "simhash-labels")
+    # fingerprints without a link are their own group; the others' label may be hot, so it meets its best row in parts
+    best = labelled.where("label is not null").groupBy("label").agg(F.min("first").alias("best"))
+    parts = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    linked = labelled.where("label is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int"))
+    placed = materialize(
+        linked.join(parts, ["label", "part"]).select("fp", "best")
+        .unionByName(labelled.where("label is null").select("fp", F.col("first").alias("best"))),
+        "simhash-groups",
+    )
     joined = light.join(broadcast_if_small(placed, 48), "fp")
     return joined.select(
         "id", "digest", "fp", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept")
