@@ -21,8 +21,9 @@ class IntakeConfig:
     hot_share: float = 1e-5
     hot_min_rows: int = 100_000
     salts: int = 64
-    # a counted batch of at most this many rows may be broadcast to large tables
+    # a counted batch of at most this many rows and bytes may be broadcast to large tables
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 32 << 20
 
     def hot_options(self) -> dict:
         return {"share": self.hot_share, "min_rows": self.hot_min_rows, "salts": self.salts}

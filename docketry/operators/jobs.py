@@ -138,7 +138,7 @@ def start_route(as_of, job_found: Column = None, owned: Column = None) -> Column
 
 
 # what routing and the later effects need; results can be large and stay behind
-_ROUTING = (
+ROUTING = (
     "PK", "entity_type", "job_id", "status", "request_id", "correlation_id", "created_at",
     "attempts", LEASE,
 )
@@ -167,7 +167,7 @@ def route_claims(
         F.min(F.when(owned, position)).alias("__winner"), F.count(F.lit(1)).alias("__n")
     )
     winners = stats.select("job_id", "__winner")
-    state = jobs.select(*_ROUTING, F.lit(True).alias("job_found")).join(
+    state = jobs.select(*ROUTING, F.lit(True).alias("job_found")).join(
         F.broadcast(winners) if few else winners, "job_id"
     )
     joined = skew.salted_lookup(

@@ -483,6 +483,17 @@ def process_two_record_messages(t: Tables) -> DataFrame:
     return _record_view(_processed(t, two_records=True).records)
 
 
+@query
+def process_long_messages(t: Tables) -> DataFrame:
+    """Messages of 200 records among those of single purchases."""
+    single = t.messages().join(t.read("events").where("event_type = 'purchase'").select("event_id"), "event_id")
+    longer = t.long_messages()
+    run = P.process_uploads(
+        single.select(*longer.columns).unionByName(longer), t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG, plan=t.provider_plan()
+    )
+    return _record_view(run.records)
+
+
 @query
 def processed_job_table(t: Tables) -> DataFrame:
     return _processed(t).jobs.select(

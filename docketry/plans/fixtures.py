@@ -110,6 +110,24 @@ class Tables:
             F.when(F.col("event_id") % 47 == 0, F.lit("{broken")).otherwise(body).alias("body"),
         )
 
+    def long_messages(self, records: int = 200) -> DataFrame:
+        """One message for ``records`` documents each, later than all others; the records that can fail come last."""
+        d = self.read("documents").select(
+            "doc_id", (F.col("doc_id") / records).cast("long").alias("g"),
+            F.octet_length("text").alias("n_bytes"), F.md5("text").alias("etag"),
+            F.expr(
+                "CASE WHEN doc_id % 31 <> 0 AND doc_id % 10 >= 8 THEN 0 WHEN doc_id % 31 = 0 OR doc_id % 10 = 6 "
+                "OR doc_id % 17 IN (0, 1, 2, 4) OR doc_id % 97 = 5 THEN 2 ELSE 1 END"
+            ).alias("place"),
+        )
+        record = self._record_json("1", "doc_id", "n_bytes", "etag", plain=True)
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id", record.alias("r")))), lambda x: x["r"])
+        return d.groupBy("g").agg(F.array_join(listed, ",").alias("r")).select(
+            F.expr("concat('long-', g)").alias("batch_id"), F.expr("g + 1000000000").alias("msg_pos"),
+            F.expr("concat('long-', g)").alias("message_id"), F.expr("TIMESTAMP '2024-01-31 12:00:00'").alias("sent_ts"),
+            F.lit(1).alias("receive_count"), F.concat(F.lit('{"Records":['), "r", F.lit("]}")).alias("body"),
+        )
+
     @staticmethod
     def _record_json(event_id: str, doc: str, n_bytes: str, etag: str, plain: bool = False):
         name = f"CASE WHEN {event_id} % 37 = 0 THEN 'ObjectRemoved:Delete' ELSE 'ObjectCreated:Put' END"

@@ -477,6 +477,35 @@ UNION ALL
 SELECT message_id, CAST(1 AS BIGINT) AS rec_pos, job_id, start_outcome, {_RECORD_COLUMNS} FROM second_every
 UNION ALL {_REJECTED}"""
 
+# documents of the long messages are distinct, so each record sees its job as the single messages left it
+_SQL["process_long_messages"] = f"""WITH {_MSG},
+single AS (SELECT * FROM msg WHERE event_type = 'purchase'),
+{_ROUTED.replace("FROM msg", "FROM single")}, {_CLAIMED},
+{_SECOND[_SECOND.index("after_first AS"):_SECOND.index("second AS (")]}
+second AS (
+  SELECT 'long-' || d.doc_id // 200 AS message_id, d.doc_id, 'job-' || d.doc_id AS job_id, d.text, a.state, 0 AS event_id,
+    row_number() OVER (PARTITION BY d.doc_id // 200 ORDER BY CASE WHEN d.doc_id % 31 <> 0 AND d.doc_id % 10 >= 8 THEN 0
+      WHEN d.doc_id % 31 = 0 OR d.doc_id % 10 = 6 OR d.doc_id % 17 IN (0, 1, 2, 4) OR d.doc_id % 97 = 5 THEN 2 ELSE 1 END, d.doc_id) - 1 AS rec_pos
+  FROM documents d JOIN after_first a USING (doc_id)
+),
+second_first AS (SELECT doc_id, 0 AS winner FROM second),
+{_SECOND[_SECOND.index("second_routed AS ("):_SECOND.index("second_every AS (")]}
+placed AS (
+  SELECT message_id, job_id, start_outcome, failure_reason, retry_reason FROM second_ran
+  UNION ALL {_REST.format(source='second_routed')}
+),
+stops AS (
+  SELECT message_id, min(rec_pos) AS stop FROM placed JOIN second USING (message_id, job_id) WHERE retry_reason IS NOT NULL GROUP BY 1
+),
+every AS (
+  SELECT message_id, CAST(0 AS BIGINT) AS rec_pos, job_id, start_outcome, failure_reason, retry_reason FROM ran
+  UNION ALL SELECT message_id, 0, job_id, start_outcome, failure_reason, retry_reason FROM ({_REST.format(source='routed')})
+  UNION ALL SELECT p.message_id, s.rec_pos, p.job_id, p.start_outcome, p.failure_reason, p.retry_reason
+  FROM placed p JOIN second s USING (message_id, job_id) LEFT JOIN stops t ON t.message_id = p.message_id WHERE s.rec_pos <= coalesce(t.stop, 1000000)
+)
+SELECT message_id, rec_pos, job_id, start_outcome, {_RECORD_COLUMNS} FROM every
+UNION ALL {_REJECTED.replace("FROM msg", "FROM single")}"""
+
 _SQL["processed_job_table"] = f"""WITH {_MSG}, {_ROUTED}, {_CLAIMED}, {_JOBS}
 SELECT j.job_id,
   CASE WHEN r.job_id IS NULL THEN j.status WHEN retry_reason = 'unexpected' THEN 'processing'

@@ -50,6 +50,13 @@ def parse_once(messages: DataFrame, config: IntakeConfig) -> DataFrame:
     return cut_lineage(intake.parse_messages(messages, config).drop("body"))
 
 
+def _key_bytes():
+    """About what the events of a message weigh when they are broadcast."""
+    texts = ("object_key", "job_id", "etag", "version_id")
+    size = lambda e: sum((F.coalesce(F.octet_length(e[t]), F.lit(0)) for t in texts), F.lit(128))
+    return F.coalesce(F.aggregate("events", F.lit(0).cast("long"), lambda n, e: n + size(e)), F.lit(0))
+
+
 def _run_claims(
     claimed: DataFrame,
     objects: DataFrame,
@@ -94,36 +101,135 @@ def _run_claims(
     )
 
 
-def _round(
-    events: DataFrame,
-    jobs: DataFrame,
-    objects: DataFrame,
-    plan: DataFrame | None,
-    extractor: extract.Extractor,
-    as_of,
-    config: IntakeConfig,
-    few: bool,
-) -> DataFrame:
-    """Outcome of each event when all of them are delivered at the same time."""
-    now = TM.as_timestamp(as_of)
-    routed = cut_lineage(J.route_claims(events, jobs, as_of, ARRIVAL, config, few=few))
-    won = F.col("start_outcome") == J.CLAIM_ACQUIRED
-    attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
-    claimed = routed.where(won).withColumn("attempt_id", attempt)
-    ran = _run_claims(claimed, objects, plan, extractor, config, few)
-    effects = ran.select(
-        *_POSITION, "message_id", "job_id", "start_outcome", "attempt_id", "effect", "result_json",
-        F.col("__reason").alias("failure_reason"), F.col("__retry").alias("retry_reason"),
-        F.col("PK"), F.col("entity_type"), "request_id", "correlation_id", "created_at", "attempts",
+def _routed(events: DataFrame, jobs: DataFrame, as_of, config: IntakeConfig, few: bool) -> DataFrame:
+    """Events with their job and ``base``: how each would start if it were alone."""
+    state = jobs.select(*J.ROUTING, F.lit(True).alias("job_found"))
+    joined = skew.salted_lookup(events, state, ["job_id"], ARRIVAL, few=few, **config.hot_options()).withColumn(
+        "job_found", F.coalesce("job_found", F.lit(False))
     )
+    owned = F.col("object_key") == X.build_object_key(F.col("job_id"))
+    attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
+    return joined.withColumn("base", J.start_route(as_of, owned=owned)).withColumn("attempt_id", attempt)
+
+
+def _claim():
+    return F.struct(*ARRIVAL)
+
+
+_EFFECT = ["effect", "failure_reason", "retry_reason", "result_json"]
+
+
+class _Claims:
+    """Who claims which job, and to what effect, when the records of a message run one after the other.
+
+    Records at one position of their messages are concurrent, a later position
+    sees what the earlier ones left, and a message stops at its first failure. Of
+    the records of a job at a position the first to arrive (the *head*) claims it,
+    if nothing before has settled the job. All heads are run at once, as if no
+    message stopped; then messages are cut at their failures and the heads that
+    this moves are run, until no cut changes. After n passes the first n positions
+    are right, and when a pass changes nothing, all are; what is done again follows
+    the chains of conflicts, not the length of messages.
+    """
+
+    def __init__(self, contested: DataFrame, run) -> None:
+        self._rows, self._run = contested, run
+        self._effects: DataFrame | None = None
+
+    def _groups(self, attempted: DataFrame) -> DataFrame:
+        """Heads with their effect as far as it is known, and the position that settles the job."""
+        heads = attempted.groupBy("job_id", "rec_pos").agg(F.min(_claim()).alias("head"))
+        if self._effects is None:
+            known = heads.withColumn("e", F.lit(None).cast("struct<effect: string, failure_reason: string, retry_reason: string, result_json: string>"))
+        else:
+            effects = self._effects.select(_claim().alias("head"), F.struct(*_EFFECT).alias("e"))
+            known = heads.join(effects, "head", "left")
+        settles = F.col("e.effect").isNotNull() & (F.col("e.effect") != "release")
+        job = known.groupBy("job_id").agg(
+            F.min(F.when(settles, F.col("rec_pos"))).alias("settled_at"),
+            F.min_by(F.col("e.effect"), F.when(settles, F.col("rec_pos"))).alias("settled_by"),
+            F.min(F.when(F.col("e").isNull(), F.col("rec_pos"))).alias("first_open"),
+            F.bool_or(F.col("e.effect") == "release").alias("released"),
+        )
+        return known.join(job, "job_id")
+
+    def settle(self, attempted: DataFrame) -> DataFrame:
+        """The groups of the attempted records, after every claim among them has been run."""
+        while True:
+            groups = cut_lineage(self._groups(attempted))
+            # a job that was released may be claimed at each later position; otherwise only the first claim counts
+            reached = F.col("settled_at").isNull() | (F.col("rec_pos") < F.col("settled_at"))
+            next_one = (F.col("rec_pos") == F.col("first_open")) | F.coalesce("released", F.lit(False))
+            needed = groups.where(F.col("e").isNull() & reached & next_one).select(F.col("head").alias("claim"))
+            if needed.isEmpty():
+                return groups
+            claimed = self._rows.withColumn("claim", _claim()).join(needed, "claim", "left_semi").drop("claim")
+            ran = cut_lineage(self._run(claimed))
+            self._effects = ran if self._effects is None else self._effects.unionByName(ran)
+
+    def outcomes(self, attempted: DataFrame, config: IntakeConfig, few: bool) -> DataFrame:
+        """``start_outcome`` and effect of every attempted record."""
+        groups = self.settle(attempted).select("job_id", "rec_pos", "head", "e", "settled_at", "settled_by")
+        found = skew.salted_lookup(attempted, groups, ["job_id", "rec_pos"], ARRIVAL, few=few, **config.hot_options())
+        claims = (_claim() == F.col("head")) & (F.col("settled_at").isNull() | (F.col("rec_pos") <= F.col("settled_at")))
+        applied = (F.col("rec_pos") > F.col("settled_at")) & F.col("settled_by").isin("complete", "fail")
+        start = F.when(claims, J.CLAIM_ACQUIRED).when(applied, J.ALREADY_APPLIED).otherwise(J.ALREADY_ACTIVE)
+        judged = found.withColumn("start_outcome", start)
+        won = F.col("start_outcome") == J.CLAIM_ACQUIRED
+        retry = F.when(won, F.col("e.retry_reason")).when(F.col("start_outcome") == J.ALREADY_ACTIVE, J.ALREADY_ACTIVE)
+        return judged.select(
+            *attempted.columns, "start_outcome", F.when(won, F.col("e.effect")).alias("effect"),
+            F.when(won, F.col("e.failure_reason")).alias("failure_reason"), retry.alias("retry_reason"),
+            F.when(won, F.col("e.result_json")).alias("result_json"),
+        )
+
+
+def _stops(rows: DataFrame) -> DataFrame:
+    """The first failed position of each message that has one."""
+    return rows.where(F.col("retry_reason").isNotNull()).groupBy(*R.MESSAGE_KEY).agg(F.min("rec_pos").alias("stop"))
+
+
+def _until(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """The rows up to the stop of their message."""
+    return rows.join(stops, R.MESSAGE_KEY, "left").where(F.col("stop").isNull() | (F.col("rec_pos") <= F.col("stop"))).drop("stop")
+
+
+def _in_order(
+    events: DataFrame, jobs: DataFrame, run, as_of, config: IntakeConfig, few: bool, several: bool
+) -> DataFrame:
+    """Outcome of every record that is run; ``several`` says that some message holds more than one."""
+    routed = cut_lineage(_routed(events, jobs, as_of, config, few))
     none = F.lit(None).cast("string")
-    rest = routed.where(~won).select(
-        *_POSITION, "message_id", "job_id", "start_outcome", none.alias("attempt_id"),
-        none.alias("effect"), none.alias("result_json"), none.alias("failure_reason"),
-        F.when(F.col("start_outcome") != J.ALREADY_APPLIED, F.col("start_outcome")).alias("retry_reason"),
-        "PK", "entity_type", "request_id", "correlation_id", "created_at", "attempts",
+    alone = routed.where(F.col("base") != J.CLAIMABLE).withColumn("start_outcome", F.col("base")).select(
+        *routed.columns, "start_outcome", none.alias("effect"), none.alias("failure_reason"),
+        F.when(F.col("base") != J.ALREADY_APPLIED, F.col("base")).alias("retry_reason"), none.alias("result_json"),
     )
-    rows = effects.unionByName(rest)
+    contested = routed.where(F.col("base") == J.CLAIMABLE)
+    if not several:
+        return _Claims(contested, run).outcomes(contested, config, few).unionByName(alone)
+    sure = cut_lineage(_stops(alone))  # whatever else happens, nothing behind these is run
+    contested = cut_lineage(_until(contested, sure))
+    longer = events.groupBy(*R.MESSAGE_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*R.MESSAGE_KEY)
+    touched = contested.join(longer, R.MESSAGE_KEY, "left_semi").select("job_id").distinct()
+    moving = cut_lineage(contested.join(touched, "job_id", "left_semi"))
+    claims, stops = _Claims(contested, run), sure
+    result = cut_lineage(claims.outcomes(contested, config, few))
+    still = result.join(touched, "job_id", "left_anti")  # jobs of single records only: right after one pass
+    result = result.join(touched, "job_id", "left_semi")
+    while True:
+        # only messages of several records can be cut
+        found = _stops(result).join(longer, R.MESSAGE_KEY, "left_semi")
+        cut = cut_lineage(found.unionByName(sure).groupBy(*R.MESSAGE_KEY).agg(F.min("stop").alias("stop")))
+        moved = cut.withColumnRenamed("stop", "now").join(stops, R.MESSAGE_KEY, "full").where("NOT now <=> stop")
+        if moved.isEmpty():
+            break
+        stops = cut
+        result = cut_lineage(claims.outcomes(_until(moving, stops), config, few))
+    return result.unionByName(still).unionByName(_until(alone, stops))
+
+
+def _outcomes(ran: DataFrame) -> DataFrame:
+    """The outcome names of the records that were run."""
     outcome = (
         F.when(F.col("start_outcome") == J.ALREADY_APPLIED, R.EFFECT_APPLIED)
         .when(F.col("effect") == "complete", R.PROCESSED)
@@ -133,30 +239,34 @@ def _round(
         F.col("retry_reason").isNotNull(), PROCESSING_ERROR
     )
     return (
-        rows.withColumn("outcome", outcome)
+        ran.withColumn("outcome", outcome)
         .withColumn("failed", F.col("retry_reason").isNotNull())
         .withColumn("error_code", error)
-        .withColumn("__as_of", now)
+        .withColumn("attempt_id", F.when(F.col("effect").isNotNull(), F.col("attempt_id")))
     )
 
 
-def _changed_jobs(outcomes: DataFrame, config: IntakeConfig) -> DataFrame:
-    """Job rows written by the claims of one round (claim and finalization)."""
-    kept = F.col("effect") == "claim_kept"
-    done = F.col("effect") == "complete"
-    failed = F.col("effect") == "fail"
-    now = F.col("__as_of")
-    return outcomes.where(F.col("effect").isNotNull()).select(
-        "PK", "entity_type", "job_id",
+def _changed_jobs(outcomes: DataFrame, as_of, config: IntakeConfig) -> DataFrame:
+    """The job rows that the claims leave: the last claim of a job, with all its claims counted."""
+    last = F.struct("PK", "entity_type", "request_id", "correlation_id", "created_at", "attempts", "attempt_id", *_EFFECT)
+    claims = outcomes.where(F.col("effect").isNotNull()).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by(last, F.col("rec_pos")).alias("c")
+    )
+    kept = F.col("c.effect") == "claim_kept"
+    done = F.col("c.effect") == "complete"
+    failed = F.col("c.effect") == "fail"
+    now = TM.as_timestamp(as_of)
+    return claims.select(
+        "c.PK", "c.entity_type", "job_id",
         F.when(done, S.SUCCEEDED).when(failed, S.FAILED).when(kept, S.PROCESSING)
         .otherwise(S.PENDING).alias("status"),
-        "request_id", "correlation_id", "created_at", now.alias("updated_at"),
-        (F.col("attempts") + 1).alias("attempts"),
-        F.when(kept, F.col("attempt_id")).alias("active_attempt_id"),
+        "c.request_id", "c.correlation_id", "c.created_at", now.alias("updated_at"),
+        (F.col("c.attempts") + F.col("n")).alias("attempts"),
+        F.when(kept, F.col("c.attempt_id")).alias("active_attempt_id"),
         F.when(kept, now).alias("active_attempt_started_at"),
         F.when(kept, TM.plus_seconds(now, config.lease_seconds)).alias("active_attempt_lease_expires_at"),
-        F.when(done, F.col("result_json")).alias("processing_result"),
-        F.when(failed, F.col("failure_reason")).alias("error_reason"),
+        F.when(done, F.col("c.result_json")).alias("processing_result"),
+        F.when(failed, F.col("c.failure_reason")).alias("error_reason"),
     )
 
 
@@ -173,20 +283,20 @@ def process_uploads(
     """Messages to finalized jobs.
 
     All messages are handled at the same time, the records of one message one
-    after the other: round *k* runs record *k* of every message that has not
-    failed yet, on the job table left by the rounds before. Most messages hold
-    one record, so there is one round; later rounds see only longer messages.
+    after the other: record *k* of a message that has not failed yet sees the jobs
+    as the records before position *k* left them. This takes one pass over all
+    records and, where messages hold several, a pass over the jobs they touch for
+    each link of a chain of conflicts (``_Claims``).
 
     A message without an id fails its whole batch: messages before it keep
     their effects but are delivered again, it and the rest are not handled.
     """
     parsed = parse_once(messages, config)
-    longest, n_events, without_id = parsed.agg(
-        F.max(F.size("events")), F.sum(F.greatest(F.size("events"), F.lit(0))),
+    longest, n_events, key_bytes, without_id = parsed.agg(
+        F.max(F.size("events")), F.sum(F.greatest(F.size("events"), F.lit(0))), F.sum(_key_bytes()),
         F.count_if(F.col("message_id").isNull()),
     ).first()
-    rounds = max(longest or 0, 1)
-    few = (n_events or 0) <= config.broadcast_rows
+    few = (n_events or 0) <= config.broadcast_rows and (key_bytes or 0) <= config.broadcast_bytes
     parsed = parsed.withColumn("batch_state", F.lit("processed"))
     if without_id:
         parsed = R.reject_broken_batches(parsed.drop("batch_state"), config)
@@ -204,23 +314,15 @@ def process_uploads(
         F.lit(PARSING_ERROR).alias("error_code"),
     )
     events = intake.flatten_events(parsed)
-    current = jobs.select(*S.JOB_COLUMNS)
-    records = rejected
-    changes: DataFrame | None = None
-    stopped: DataFrame | None = None
-    for k in range(rounds):
-        batch = events.where(F.col("rec_pos") == k)
-        if stopped is not None:
-            batch = batch.join(stopped, R.MESSAGE_KEY, "left_anti")
-        # records, job changes and the next round all read this outcome table
-        ran = cut_lineage(_round(batch, current, objects, plan, extractor, as_of, config, few))
-        records = records.unionByName(ran.select(*_RECORD_COLUMNS))
-        written = _changed_jobs(ran, config)
-        changes = written if changes is None else J.merge_rows(changes, written)
-        if k + 1 < rounds:
-            current = J.merge_rows(current, written)
-            failed = ran.where("failed").select(*R.MESSAGE_KEY)
-            stopped = failed if stopped is None else stopped.union(failed)
+
+    def run(claimed: DataFrame) -> DataFrame:
+        return _run_claims(claimed, objects, plan, extractor, config, few).select(
+            *ARRIVAL, "effect", F.col("__reason").alias("failure_reason"), F.col("__retry").alias("retry_reason"), "result_json"
+        )
+
+    ran = cut_lineage(_outcomes(_in_order(events, jobs, run, as_of, config, few, several=(longest or 0) > 1)))
+    records = rejected.unionByName(ran.select(*_RECORD_COLUMNS))
+    changes = _changed_jobs(ran, as_of, config)
     verdicts = R.message_verdicts(records)
     if without_id:
         again = parsed.where(F.col("batch_state") != "processed").select(

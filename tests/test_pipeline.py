@@ -244,3 +244,81 @@ def test_create_requests(spark):
     assert got["k5"] == ("succeeded", 201, None, "g5", "b")
     assert sorted(r.job_id for r in made.created.collect()) == ["n5", "new"]
     assert made.created.select(F.min("status")).first()[0] == "pending_upload"
+
+
+def plain_rounds(messages, state, effect):
+    """Round k runs record k of every message that has not failed; the first to arrive claims."""
+    alive, out, state, attempts = set(messages), {}, dict(state), {}
+    for k in range(max(map(len, messages.values()))):
+        here = [(m, messages[m][k]) for m in sorted(alive, key=lambda m: int(m[1:])) if k < len(messages[m])]
+        before, claimed = dict(state), set()
+        for m, j in here:
+            if before.get(j) is None:
+                start = "job_not_found"
+            elif before[j] == "ended":
+                start = "effect_already_applied"
+            elif before[j] == "live" or j in claimed:
+                start = "processing_already_active"
+            else:
+                start = "claim_acquired"
+                claimed.add(j)
+                attempts[j] = attempts.get(j, 0) + 1
+                e = effect(m, j, k)
+                state[j] = {"complete": "ended", "release": "open", "kept": "live"}[e]
+                out[m, k] = (j, start, e != "complete")
+                if e != "complete":
+                    alive.discard(m)
+                continue
+            out[m, k] = (j, start, start != "effect_already_applied")
+            if start != "effect_already_applied":
+                alive.discard(m)
+    return out, state, attempts
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_in_order_against_plain_rounds(spark, seed):
+    """Chains of conflicts between messages of several records, with releases and kept claims on the way."""
+    import random
+
+    rng = random.Random(seed)
+    names = [f"j{i}" for i in range(14)]
+    bodies = [[rng.choice(names) for _ in range(rng.choice([1, 1, 2, 3, 5, 9]))] for _ in range(22)]
+    if seed == 0:
+        bodies = [["j0", "j1"], ["j1", "j0"], ["j2"] * 6, ["j3", "j2"]]
+    planned = {j: rng.choice(["success"] * 5 + ["timeout", "unexpected"]) for j in names}
+    start = {j: rng.choice(["open"] * 6 + ["ended", "live", None]) for j in names}
+    rows = {"open": lambda j: job(j), "ended": lambda j: job(j, "failed", 1, reason="x"), "live": lambda j: job(j, "processing", 1, attempt="a", lease=LIVE)}
+    jobs = table(spark, *[rows[s](j) for j, s in start.items() if s])
+    plan = spark.createDataFrame(list(planned.items()), "job_id string, planned_outcome string")
+    kind = {"success": "complete", "timeout": "release", "unexpected": "kept"}
+    messages = {f"m{i}": b for i, b in enumerate(bodies)}
+    want, state, attempts = plain_rounds(messages, start, lambda m, j, k: kind[planned[j]])
+    run = P.process_uploads(
+        msgs(spark, *[[rec(j) for j in b] for b in bodies]), jobs, objects(spark, *[(j, {}) for j in names]), as_of=NOW, config=CONFIG, plan=plan,
+    )
+    got = {(r.message_id, r.rec_pos): (r.job_id, r.start_outcome, r.failed) for r in run.records.collect()}
+    assert got == want
+    after = {r.job_id: (r.status, r.attempts) for r in run.changes.collect()}
+    name = {"ended": "succeeded", "open": "pending_upload", "live": "processing"}
+    assert after == {j: (name[state[j]], n) for j, n in attempts.items()}
+    failed = {m for (m, _), x in want.items() if x[2]}
+    assert {r.message_id: r.failed for r in run.messages.collect()} == {m: m in failed for m in messages}
+
+
+def test_jobs_do_not_grow_with_the_length_of_messages(spark):
+    """One message of 60 records: as many Spark jobs as one of two."""
+    def count(n):
+        names = [f"j{i}" for i in range(n)]
+        tracker, group = spark.sparkContext.statusTracker(), f"length-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        run = P.process_uploads(
+            msgs(spark, [rec(j) for j in names], [rec("j0")]), table(spark, *[job(j) for j in names]),
+            objects(spark, *[(j, {}) for j in names]), as_of=NOW, config=CONFIG,
+        )
+        records = run.records.collect()
+        found = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(records) == n + 1 and sum(r.outcome == "processed" for r in records) == n
+        return found
+
+    assert count(60) <= count(2) + 3
