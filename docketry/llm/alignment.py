@@ -8,9 +8,16 @@ length; where the ends differ it steps to the next common one and goes on with
 the shift found there. Texts are laid end to end: their ends are common, so a
 piece of many texts is one walk.
 
+Where a space stands between two characters that are no white space, both
+tokenizers start a token, whatever stands around: the first because its pattern
+takes the space with what follows, the second if no piece holds a mark behind
+another character (the vocabulary is searched for one). So the distinct stretches
+between such spaces are encoded and aligned once for about 2 MB of texts; a text
+with any other space is one stretch.
+
 An occurrence of a token of each that end together is a link. How often a pair of
 ids is linked in the whole corpus comes from counts of each piece (a task's
-texts up to ``PIECE_BYTES``), added up by pair. A piece asks for its own distinct
+texts of ``PIECE_BYTES`` or one longer text), added up by pair. A piece asks for its own distinct
 pairs only and gets their counts back as rows of its own, so nothing is broadcast
 but the highest count of every id of the second tokenizer, which its vocabulary
 bounds. A frequent pair has one row for each piece, not for each occurrence.
@@ -24,22 +31,26 @@ columns are not read, so their names are free.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm import tokens
 from docketry.llm.common import materialize, narrow, slices
+from docketry.llm.tokens import ByteBpe, loaded
 from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
+# a space beside other white space, or at an end
+_ODD_SPACE = re.compile(r"\s | \s|^\s|\s$|^$")
 
 
 def common_ends(x: list[int], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +97,7 @@ class Aligner:
     def __init__(self, first: bytes, second: bytes):
         import sentencepiece
 
-        self.coder = tokens.ByteBpe(first).coder
+        self.coder = ByteBpe(first).coder
         self.model = sentencepiece.SentencePieceProcessor(model_proto=second)
         n = self.coder.n_vocab
         held = {self.coder.encode_single_token(b): b for b in self.coder.token_byte_values()}
@@ -98,42 +109,44 @@ class Aligner:
         # decimal ids with what follows them: a comma inside a group, else the mark that ends this side of it
         self.listed = [f"{i}{mark}".encode() for i in range(n) for mark in ",|"]
         self.listed += [f"{i}{mark}".encode() for i in range(len(self.second)) for mark in ",;"]
+        pieces = (self.model.id_to_piece(i) for i in range(self.model.vocab_size()))
+        self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def _piece(self, i: int) -> bytes:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of either tokenizer; none for texts whose bytes they do not give."""
-        known = [t or "" for t in texts]
-        of_first = [self.coder.encode_ordinary(" " + t) if t else [] for t in known]
-        of_second = self.model.encode(known, num_threads=1)
-        for k, t in enumerate(known):
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of either tokenizer over space + text; none for texts whose bytes they do not give."""
+        of_first = [self.coder.encode_ordinary(" " + t) for t in texts]
+        of_second = self.model.encode(texts, num_threads=1)
+        for k, t in enumerate(texts):
             raw = b" " + t.encode()
-            if not t or b"".join(map(self.first.__getitem__, of_first[k])) != raw or b"".join(map(self.second.__getitem__, of_second[k])) != raw:
+            if b"".join(map(self.first.__getitem__, of_first[k])) != raw or b"".join(map(self.second.__getitem__, of_second[k])) != raw:
                 of_first[k], of_second[k] = [], []
         return of_first, of_second
 
 
 class Aligned:
-    """The groups of some texts laid end to end."""
+    """The groups of some stretches laid end to end; a stretch is ``good`` if both tokenizers give its bytes."""
 
-    def __init__(self, aligner: Aligner, texts: list[str | None]):
+    def __init__(self, aligner: Aligner, stretches: list[str]):
         self.aligner = aligner
-        of_first, of_second = aligner.encode(texts)
-        self.n_first, self.n_second = ([len(x) for x in ids] for ids in (of_first, of_second))
+        of_first, of_second = aligner.encode(stretches)
+        self.n_first, self.n_second = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (of_first, of_second))
+        self.good = self.n_first > 0
         self.ids = [np.fromiter(chain.from_iterable(ids), np.int64) for ids in (of_first, of_second)]
         ends = [np.cumsum(size[ids]).tolist() for size, ids in zip(aligner.sizes, self.ids)]
         self.last = common_ends(*ends)
-        done = np.searchsorted(self.last[0], np.cumsum(self.n_first), "left") if len(texts) else np.zeros(0, np.int64)
+        done = np.searchsorted(self.last[0], np.cumsum(self.n_first), "left")
         self.n_groups = np.diff(np.concatenate(([0], done)))
 
     def pairs(self) -> np.ndarray:
         """The linked ids of every group: the first tokenizer's in the upper half."""
-        return (self.ids[0][self.last[0]] << 32 | self.ids[1][self.last[1]]).astype(np.uint64)
+        return self.ids[0][self.last[0]] << 32 | self.ids[1][self.last[1]]
 
     def lists(self) -> list[bytes]:
-        """For every text ``a1,a2|b1;a3|b2,b3``: the ids of each group, first tokenizer's before the second's."""
+        """For every stretch ``a1,a2|b1;a3|b2,b3``: the ids of each group, first tokenizer's before the second's."""
         n = [len(x) for x in self.ids]
         out = np.empty(sum(n), np.int64)
         for side in (0, 1):
@@ -144,68 +157,113 @@ class Aligned:
             other = np.concatenate(([0], self.last[1 - side] + 1))
             at = np.arange(n[side]) + other[group + side]
             out[at] = 2 * self.ids[side] + ends + (2 * len(self.aligner.first) if side else 0)
-        cuts = np.cumsum(np.array(self.n_first) + np.array(self.n_second)).tolist()
+        cuts = np.cumsum(self.n_first + self.n_second).tolist()
         codes, listed = out.tolist(), self.aligner.listed
         return [b"".join(map(listed.__getitem__, codes[a:b]))[:-1] for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
+class Texts:
+    """Some texts as numbers of their distinct stretches, which are aligned once."""
+
+    def __init__(self, aligner: Aligner, texts: list[str | None]):
+        number: dict[str, int] = {}
+        split = [[] if not t else t.split(" ") if aligner.splits and not _ODD_SPACE.search(t) else [t] for t in texts]
+        self.parts = [[number.setdefault(p, len(number)) for p in parts] for parts in split]
+        self.aligned = aligned = Aligned(aligner, list(number))
+        if not aligned.good.all():
+            good = aligned.good.tolist()
+            self.parts = [parts if all(map(good.__getitem__, parts)) else [] for parts in self.parts]
+        self.sizes = np.fromiter(map(len, self.parts), np.int64, len(self.parts))
+        self.flat = np.fromiter(chain.from_iterable(self.parts), np.int64, int(self.sizes.sum()))
+
+    def sums(self, of_stretch: np.ndarray) -> np.ndarray:
+        """For every text the sum of a value of its stretches."""
+        return ragged_sums(of_stretch[self.flat], self.sizes)
+
+    def lists(self) -> list[bytes]:
+        listed = self.aligned.lists()
+        return [b";".join(map(listed.__getitem__, parts)) for parts in self.parts]
+
+
+def ragged_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values`` of the given sizes."""
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[np.concatenate(([0], np.cumsum(sizes)))])
+
+
 _PIECE = pa.schema(
     [("piece", pa.int64()), ("id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("groups_sha", pa.binary()),
-     ("links", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary())]
+     ("parts", pa.binary()), ("links", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary())]
 )
-_PIECE_DDL = "piece long, id long, n_a long, n_b long, groups_sha binary, links binary, pairs binary, counts binary"
+_PIECE_DDL = "piece long, id long, n_a long, n_b long, groups_sha binary, parts binary, links binary, pairs binary, counts binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
 
+class _Piece:
+    """What a task has read since it last sent a piece on."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.stretches = number, 0, 0
+        self.rows: list[tuple] = []
+        self.pairs: list[np.ndarray] = []
+        self.uses: list[np.ndarray] = []
+        self.groups: list[np.ndarray] = []
+
+    def add(self, texts: Texts, ids: list, shas: list, size: int) -> Iterator[pa.RecordBatch]:
+        aligned, flat = texts.aligned, (texts.flat + self.stretches).astype(np.uint32)
+        n_a, n_b = (texts.sums(n).tolist() for n in (aligned.n_first, aligned.n_second))
+        cuts = np.concatenate(([0], np.cumsum(texts.sizes))).tolist()
+        yield _rows(
+            [(self.number, ids[k], n_a[k], n_b[k], shas[k], flat[cuts[k] : cuts[k + 1]].tobytes(), None, None, None) for k in range(len(ids))]
+        )
+        self.pairs.append(aligned.pairs())
+        self.groups.append(aligned.n_groups)
+        self.uses.append(np.repeat(np.bincount(texts.flat, minlength=len(aligned.good)), aligned.n_groups))
+        self.stretches += len(aligned.good)
+        self.size += size
+
+    def close(self) -> pa.RecordBatch:
+        """The pairs of the stretches as places among the piece's distinct pairs, those, and how often each occurs."""
+        pairs, places = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        counts = np.bincount(places, weights=np.concatenate(self.uses), minlength=len(pairs)).astype(np.int64)
+        groups = np.concatenate(self.groups).astype(np.uint32)
+        links = np.concatenate((np.array([len(groups)], np.uint32), groups, places.astype(np.uint32)))
+        return _rows([(self.number, None, 0, 0, None, None, links.tobytes(), pairs.tobytes(), counts.tobytes())])
+
+
 def _counting(shared):
-    """Per piece: a row for each text with its links as places among the piece's distinct pairs, and one row with those."""
-
-    def finished(piece: int, held: list[tuple], found: list[np.ndarray], per_text: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs, links, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-        links = links.astype(np.uint32)
-        cuts = np.concatenate(([0], np.cumsum(np.concatenate(per_text)))).tolist()
-        step = 4096
-        for k in range(0, len(held), step):
-            yield _rows(
-                [(piece, *held[t], links[cuts[t] : cuts[t + 1]].tobytes(), None, None) for t in range(k, min(k + step, len(held)))]
-            )
-        yield _rows([(piece, None, 0, 0, None, None, pairs.tobytes(), counts.astype(np.int64).tobytes())])
+    """Per piece: a row for each text with the numbers of its stretches, and one row with the stretches' links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = tokens.loaded(Aligner, *shared.value)
-        piece, size = TaskContext.get().partitionId() << 32, 0
-        held, found, per_text = [], [], []
+        aligner = loaded(Aligner, *shared.value)
+        piece = _Piece(TaskContext.get().partitionId() << 32)
         for batch in slices(batches, 1):
-            texts = batch.column(1).cast(pa.string())
-            aligned = Aligned(aligner, texts.to_pylist())
-            shas = [hashlib.sha256(x).digest() if x else None for x in aligned.lists()]
-            held += zip(batch.column(0).to_pylist(), aligned.n_first, aligned.n_second, shas)
-            found.append(aligned.pairs())
-            per_text.append(aligned.n_groups)
-            size += texts.nbytes
-            if size >= PIECE_BYTES:
-                yield from finished(piece, held, found, per_text)
-                piece, size = piece + 1, 0
-                held, found, per_text = [], [], []
-        if held:
-            yield from finished(piece, held, found, per_text)
+            column = batch.column(1).cast(pa.string())
+            texts = Texts(aligner, column.to_pylist())
+            shas = [hashlib.sha256(x).digest() if x else None for x in texts.lists()]
+            yield from piece.add(texts, batch.column(0).to_pylist(), shas, column.nbytes)
+            if piece.size >= PIECE_BYTES:
+                yield piece.close()
+                piece = _Piece(piece.number + 1)
+        if piece.size or piece.pairs:
+            yield piece.close()
 
     return run
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct pairs of a piece as rows."""
+    """The distinct pairs of a piece as rows; pairs of texts that have no tokens after all count nothing."""
     for batch in batches:
         for piece, pairs, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            pair = np.frombuffer(pairs, np.int64)
+            pair, n = np.frombuffer(pairs, np.int64), np.frombuffer(counts, np.int64)
+            place = np.flatnonzero(n)
+            pair = pair[place]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(pair), piece)), pa.array(np.arange(len(pair), dtype=np.int32)),
-                    pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)),
-                    pa.array(np.frombuffer(counts, np.int64)),
+                    pa.array(np.full(len(pair), piece)), pa.array(place.astype(np.int32)),
+                    pa.array((pair >> 32).astype(np.int32)), pa.array((pair & 0xFFFFFFFF).astype(np.int32)), pa.array(n[place]),
                 ],
                 names=["piece", "place", "a_id", "b_id", "n"],
             )
@@ -213,21 +271,22 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summing(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """Sums over the links of each text of a piece, by the answers for its distinct pairs."""
-    total = np.zeros(answers.num_rows, np.int64)
-    best = np.zeros(answers.num_rows, np.int64)
+    kept = next(x for x in texts["links"] if x.is_valid)
+    links = np.frombuffer(kept.as_buffer(), np.uint32).astype(np.int64)
+    groups, places = links[1 : links[0] + 1], links[links[0] + 1 :]
+    total, best = (np.zeros(places.max(initial=-1) + 1, np.int64) for _ in range(2))
     place = answers["place"].to_numpy()
     total[place] = answers["total"].to_numpy()
     best[place] = answers["best"].to_numpy().astype(np.int64)
-    links = texts["links"].combine_chunks()
-    sizes = [len(x.as_buffer()) // 4 for x in links]
-    flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in links])
-    cuts = np.concatenate(([0], np.cumsum(sizes)))
-    sums = [np.diff(np.concatenate(([0], np.cumsum(v[flat])))[cuts]) for v in (best, total)]
+    texts = texts.filter(pc.is_valid(texts["parts"]))
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in texts["parts"]]
+    flat, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+    n_groups, n_best, count_sum = (
+        ragged_sums(of_stretch[flat], sizes) for of_stretch in (groups, ragged_sums(best[places], groups), ragged_sums(total[places], groups))
+    )
     return pa.table(
-        {
-            "id": texts["id"], "n_a": texts["n_a"], "n_b": texts["n_b"], "n_groups": pa.array(sizes, pa.int64()),
-            "n_links": pa.array(sizes, pa.int64()), "n_best": sums[0], "count_sum": sums[1], "groups_sha": texts["groups_sha"],
-        }
+        {"id": texts["id"], "n_a": texts["n_a"], "n_b": texts["n_b"], "n_groups": n_groups, "n_links": n_groups, "n_best": n_best,
+         "count_sum": count_sum, "groups_sha": texts["groups_sha"]}
     )
 
 
@@ -238,13 +297,13 @@ def _shared(docs: DataFrame, first_file: str, second_file: str):
 
 
 def _pieces(docs: DataFrame, shared, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the texts, and of the distinct pairs of every piece with their counts in it."""
+    """The pieces as written, and the distinct pairs of every piece with their counts in it."""
     found = materialize(narrow(docs, id_col, text_col).mapInArrow(_counting(shared), _PIECE_DDL), "alignment")
     uses = (
         found.where("pairs is not null").select("piece", "pairs", "counts")
         .mapInArrow(_spread, "piece long, place int, a_id int, b_id int, n long")
     )
-    return found.where("pairs is null"), uses
+    return found, uses
 
 
 def pair_counts(docs: DataFrame, first_file: str, second_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,9 +317,9 @@ def group_lists(docs: DataFrame, first_file: str, second_file: str, id_col: str
     shared = _shared(docs, first_file, second_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = tokens.loaded(Aligner, *shared.value)
+        aligner = loaded(Aligner, *shared.value)
         for batch in slices(batches, 1):
-            lists = Aligned(aligner, batch.column(1).cast(pa.string()).to_pylist()).lists()
+            lists = Texts(aligner, batch.column(1).cast(pa.string()).to_pylist()).lists()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in lists], pa.string())], names=["id", "groups"])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "id long, groups string")
@@ -273,13 +332,13 @@ def measure_alignment(docs: DataFrame, first_file: str, second_file: str, id_col
     counts the links whose count is the highest of their id of the second
     tokenizer; ``groups_sha`` is null without tokens.
     """
-    texts, uses = _pieces(docs, _shared(docs, first_file, second_file), id_col, text_col)
+    found, uses = _pieces(docs, _shared(docs, first_file, second_file), id_col, text_col)
     totals = materialize(uses.groupBy("a_id", "b_id").agg(F.sum("n").alias("total")), "pair-counts")
     highest = totals.groupBy("b_id").agg(F.max("total").alias("highest"))  # a row per id of the vocabulary at most
     judged = totals.join(F.broadcast(highest), "b_id").select("a_id", "b_id", "total", (F.col("total") == F.col("highest")).alias("best"))
     answers = uses.join(judged, ["a_id", "b_id"]).select("piece", "place", "total", "best")
     return (
-        texts.select("piece", "id", "n_a", "n_b", "links", "groups_sha").groupBy("piece")
+        found.select("piece", "id", "n_a", "n_b", "parts", "links", "groups_sha").groupBy("piece")
         .cogroup(answers.groupBy("piece"))
         .applyInArrow(
             _summing,
