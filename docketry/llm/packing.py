@@ -6,13 +6,19 @@ step fixes a filling and how often it is used; the plan has a bounded number of
 segments "pieces of this length, these ordinals, go to these sequences".
 Tokenizing, numbering and placing the pieces are Spark jobs.
 
-The search takes the largest remaining length, enumerates undominated fillings
-of the rest of a sequence in the order of their waste, and goes depth first. A
-branch is cut when its waste, and what its remaining pieces waste at least,
-reach that of the best plan so far; at first that is best fit decreasing. The
-first pass uses a filling as often as the pieces allow; if it runs out, a second
-one branches on fewer uses too, so fillings of one largest length are mixed. The
-search ends when the lower bound is met or after ``nodes`` steps.
+The search takes the largest remaining length and completes its sequence. The
+first plan is best fit decreasing. Restarts go straight down: each takes, again
+and again, the completion of the largest value, where a piece is worth a power of
+its length. No such completion is dominated (a longer piece is worth more than
+what fits into it), and the power decides between few long pieces with some waste
+and many short ones without, which is what best fit gets wrong; powers are tried
+on a grid, then more closely about the best. Then branch and bound enumerates
+undominated fillings by rising waste, depth first; a branch is cut when its waste,
+and what its remaining pieces waste at least, reach that of the best plan so far.
+Its first pass uses a filling as often as the pieces allow, its second branches on
+fewer uses too, so fillings of one largest length are mixed. All of this ends when
+the lower bound is met; otherwise restarts end after ``effort`` lengths tried, and
+each pass after ``nodes`` steps or when it has run out.
 
 Defined results: null and empty texts are one token (the end id); an empty
 table gives an empty result; pieces of repeated rows or null ids are placed one
@@ -53,6 +59,21 @@ def lower_bound(counts: np.ndarray, limit: int) -> int:
     return max(-(-int(content[-1]) // limit), int((huge + large + more).max()))
 
 
+def root_bound(counts: np.ndarray, limit: int) -> int:
+    """A stronger bound by dual feasible functions: weights of which no sequence holds more than one in all."""
+    size, best = np.arange(limit + 1), lower_bound(counts, limit)
+    for k in range(1, 25):
+        cut = size * (k + 1)
+        weight = np.where(cut % limit == 0, size / limit, cut // limit / k)
+        # pieces above limit - a take a whole sequence, those below a nothing
+        held = np.concatenate(([0.0], np.cumsum(weight * counts)))
+        a = np.arange(1, limit // 2 + 1)
+        whole = np.cumsum(counts)[limit] - np.cumsum(counts)[limit - a]
+        total = whole + held[limit - a + 1] - held[a]
+        best = max(best, int(np.ceil(total.max() - 1e-6)) if len(a) else 0)
+    return best
+
+
 def best_fit(counts: np.ndarray, limit: int) -> list[Step]:
     """Best fit decreasing, sequence pattern by sequence pattern."""
     left, plan = counts.copy(), []
@@ -139,18 +160,79 @@ def _dominated(used: dict[int, int], number: dict[int, int], free: int) -> bool:
     return bool(spare) or any(number.get(s + d, 0) > used.get(s + d, 0) for s in used for d in range(1, free + 1))
 
 
-def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[Step]:
+def completion(left: np.ndarray, room: int, value: np.ndarray) -> tuple[dict[int, int], int]:
+    """The pieces of greatest total value that ``room`` can hold, and the number of lengths tried."""
+    best, taken = np.zeros(room + 1), []
+    for s in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        n, copies = min(int(left[s]), room // s), 1
+        while n > 0:  # copies by doubling
+            copies = min(copies, n)
+            weight = copies * s
+            with_it = best[: room + 1 - weight] + copies * value[s]
+            better = with_it > best[weight:]
+            best[weight:][better] = with_it[better]
+            taken.append((s, copies, weight, better))
+            n, copies = n - copies, 2 * copies
+    used: dict[int, int] = {}
+    for s, copies, weight, better in reversed(taken):
+        if room >= weight and better[room - weight]:
+            used[s], room = used.get(s, 0) + copies, room - weight
+    return used, len(taken)
+
+
+def _dive(counts: np.ndarray, limit: int, power: float, effort: int) -> tuple[list[Step] | None, int]:
+    """One plan from top to bottom, or None if the effort does not suffice; the effort left."""
+    value, left, plan = np.arange(limit + 1, dtype=float) ** power, counts.copy(), []
+    while left.any() and effort > 0:
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        used, tried = completion(rest, limit - largest, value)
+        used[largest] = used.get(largest, 0) + 1
+        effort -= tried + 1
+        plan.append(_apply(left, used))
+    return (None if left.any() else plan), effort
+
+
+def sequences_of(plan: list[Step]) -> int:
+    return sum(n for _, n in plan)
+
+
+def restarts(counts: np.ndarray, limit: int, best: list[Step], bound: int, effort: int) -> list[Step]:
+    """The best plan of the restarts and ``best``."""
+    score, at = sequences_of(best), None
+    for powers in ([1.05, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 4.0], [0.15, -0.15, 0.1, -0.1, 0.05, -0.05, 0.025, -0.025]):
+        middle = at
+        for power in powers:
+            if score <= bound or effort <= 0 or (power < 1 and middle is None):
+                return best
+            plan, effort = _dive(counts, limit, power if power > 1 else middle + power, effort)
+            if plan is not None and sequences_of(plan) < score:
+                best, score, at = plan, sequences_of(plan), power if power > 1 else middle + power
+    return best
+
+
+def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 4_000, effort: int = 1_000_000) -> list[Step]:
     """The best plan found.
 
-    Surely optimal when its length is the lower bound, or when both passes ran
-    out within ``nodes`` and no list of fillings was cut at its ``effort``.
+    Surely optimal when it has as many sequences as ``root_bound``, or when the
+    second pass ran out within ``nodes`` and no list of fillings was cut.
     """
+    bound = root_bound(counts, limit)
     best = best_fit(counts, limit)
+    if sequences_of(best) > bound:
+        best = restarts(counts, limit, best, bound, effort)
+    for mixed in (False, True):
+        best = _branch(counts, limit, best, bound, nodes, mixed)
+    return best
+
+
+def _branch(counts: np.ndarray, limit: int, best: list[Step], bound: int, nodes: int, mixed: bool) -> list[Step]:
+    """One pass of branch and bound; ``mixed`` branches on how often a filling is used."""
     size = np.arange(limit + 1)
-    total, bound = int((counts * size).sum()), lower_bound(counts, limit)
-    score = sum(n for _, n in best)
+    total, score = int((counts * size).sum()), sequences_of(best)
 
-    def steps(left: np.ndarray, sequences: int, mixed: bool) -> Iterator[tuple[np.ndarray, Step]]:
+    def steps(left: np.ndarray, sequences: int) -> Iterator[tuple[np.ndarray, Step]]:
         largest = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[largest] -= 1
@@ -167,16 +249,14 @@ def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[S
                 yield after, (used, fewer)
 
     path: list[Step] = []
-    open_at = [steps(counts, 0, mixed) for mixed in (True, False)] if counts.any() else []  # the last one first
-    sequences, mixed = 0, False
+    open_at = [steps(counts, 0)] if counts.any() else []
+    sequences = 0
     while open_at and score > bound and nodes > 0:
         found = next(open_at[-1], None)
         if found is None:
             open_at.pop()
             if path:
                 sequences -= path.pop()[1]
-            else:
-                mixed = True
             continue
         nodes -= 1
         left, step = found
@@ -185,7 +265,7 @@ def plan_sequences(counts: np.ndarray, limit: int, nodes: int = 8_000) -> list[S
         path.append(step)
         sequences += step[1]
         if left.any():
-            open_at.append(steps(left, sequences, mixed))
+            open_at.append(steps(left, sequences))
         else:
             best, score = list(path), sequences
             sequences -= path.pop()[1]
@@ -253,7 +333,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, limit: int, end_id: int,
 
 def pack(
     docs: DataFrame, tokenizer_file: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-    text_col: str = "text", nodes: int = 8_000,
+    text_col: str = "text", nodes: int = 4_000, effort: int = 1_000_000,
 ) -> DataFrame:
     """One row per piece: ``id, piece, start, length, ids_crc32, sequence_id, offset``."""
     pieces = materialize(token_pieces(docs, tokenizer_file, limit, end_id, id_col, text_col), "pieces")
@@ -261,7 +341,7 @@ def pack(
     counts = np.zeros(limit + 1, np.int64)
     for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``limit`` rows
         counts[r.length] = r.n
-    plan = segments(plan_sequences(counts, limit, nodes))
+    plan = segments(plan_sequences(counts, limit, nodes, effort))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = pieces.join(groups.select("length", "src", before.alias("before")), ["length", "src"])
 
