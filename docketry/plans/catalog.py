@@ -20,6 +20,7 @@ from docketry.plans import pipeline as P
 from docketry.plans.fixtures import AS_OF, Tables
 from docketry.session import prepare_session, shared_dir
 from docketry.sources import files, retention
+from docketry.sources.job_store import JobStore
 from docketry.streaming import ownership, redelivery, state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -868,6 +869,26 @@ def stream_state_machine(t: Tables) -> DataFrame:
     )
 
 
+@query
+def job_store_versions(t: Tables) -> DataFrame:
+    """A store after each of five versions, compacted on the way, and ids looked up in the last one."""
+    store = JobStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}", compact_after=2, buckets=16)
+    jobs = t.jobs()
+    store.apply(jobs)
+    for n, status, condition in (
+        (2, "processing", "doc_id % 3 = 0"), (3, "succeeded", "doc_id % 6 = 0"), (4, "failed", "doc_id % 4 = 1"), (5, "dead", "doc_id % 50 = 7"),
+    ):
+        changed = jobs.where(condition).withColumns({"status": F.lit(status), "attempts": F.lit(n).cast("long")})
+        store.apply(changed, batch=n, expected=n - 1)
+    seen = [store.read(n).withColumn("version", F.lit(n)) for n in range(1, 6)]
+    asked = t.read("documents").where("doc_id % 100 < 10").select(F.concat(F.lit("job-"), F.col("doc_id")).alias("job_id"))
+    seen.append(store.lookup(asked).withColumn("version", F.lit(-1)))
+    out = seen[0]
+    for one in seen[1:]:
+        out = out.unionByName(one)
+    return out.select("version", "job_id", "status", "attempts")
+
+
 @query
 def redelivered_batches(t: Tables) -> DataFrame:
     """Every event as a message whose handler fails a number of times: both queues, then quarantine.

@@ -805,6 +805,17 @@ _SQL["stream_state_machine"] = _SQL["history_fold"].replace(
     "SELECT 'u-' || user_id AS job_id, deliveries, attempts, active, applied FROM f",
 )
 
+_SQL["job_store_versions"] = f"""WITH {_JOBS}, v AS (SELECT unnest([1, 2, 3, 4, 5, -1]) AS version),
+c AS (SELECT j.*, version, CASE WHEN version = -1 THEN 5 ELSE version END AS n FROM jobs j, v WHERE version > 0 OR doc_id % 100 < 10),
+newest AS (
+  SELECT *, CASE WHEN n >= 5 AND doc_id % 50 = 7 THEN 5 WHEN n >= 4 AND doc_id % 4 = 1 THEN 4 WHEN n >= 3 AND doc_id % 6 = 0 THEN 3
+    WHEN n >= 2 AND doc_id % 3 = 0 THEN 2 ELSE 1 END AS written FROM c
+)
+SELECT CAST(version AS INTEGER) AS version, job_id,
+  CASE written WHEN 1 THEN status WHEN 2 THEN 'processing' WHEN 3 THEN 'succeeded' WHEN 4 THEN 'failed' ELSE 'dead' END AS status,
+  CAST(CASE WHEN written = 1 THEN attempts ELSE written END AS BIGINT) AS attempts
+FROM newest"""
+
 # closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
 _SQL["redelivered_batches"] = """WITH m AS (
   SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,

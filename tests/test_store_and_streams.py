@@ -19,14 +19,14 @@ def states(df):
 
 
 def test_store_versions_and_compaction(spark, tmp_path):
-    store = JobStore(spark, str(tmp_path), compact_after=2)
+    store = JobStore(spark, str(tmp_path), compact_after=1, buckets=1)
     assert store.version() == 0 and store.read().count() == 0
     assert store.apply(table(spark, job("a"), job("b"))) == 1
     assert store.apply(table(spark, job("a", "succeeded", 1, result="{}"))) == 2
     assert store.apply(table(spark, job("c"))) == 3
     assert states(store.read()) == {"a": "succeeded", "b": "pending_upload", "c": "pending_upload"}
     assert store.apply(table(spark, job("b", "failed", 1, reason="x"))) == 4
-    assert store._manifest(4)["deltas"] == []
+    assert store._manifest(2)["deltas"] and not store._manifest(3)["deltas"] and store._manifest(4)["deltas"]
     assert states(store.read()) == {"a": "succeeded", "b": "failed", "c": "pending_upload"}
     assert states(store.read(2)) == {"a": "succeeded", "b": "pending_upload"}
 
@@ -250,3 +250,85 @@ def test_alarms_of_every_queue_and_messages_never_received(spark):
         ("lost", "05", "ALARM"), ("served", "05", "ALARM"), ("served", "11", "OK"),
     ]
     assert states.select("alarm", "queue").distinct().count() == len(S.ALARMS) - 1 + 3
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "job_id string")
+
+
+def test_lookup_opens_the_buckets_asked_for(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path), buckets=32)
+    names = [f"j{i}" for i in range(200)]
+    store.apply(table(spark, *[job(n) for n in names]))
+    store.apply(table(spark, job("j7", "failed", 1, reason="x")))
+    found = store.lookup(ids(spark, "j7", "gone", None))
+    assert states(found) == {"j7": "failed"}
+    files_ = {f for f in store.lookup(ids(spark, "j7")).inputFiles()}
+    assert 1 <= len(files_) <= 3 < len(store.read().inputFiles())
+    assert store.lookup(ids(spark)).count() == 0
+
+
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path), compact_after=1, buckets=8)
+    store.apply(table(spark, *[job(f"j{i}") for i in range(100)]))
+    before = store._manifest(1)["base"]
+    for _ in range(2):
+        store.apply(table(spark, job("j3", "failed", 1, reason="x")))
+    after = store._manifest(3)
+    assert sum(after["base"][b] != run for b, run in before.items()) == 1 and not after["deltas"]
+    assert states(store.read())["j3"] == "failed" and store.read().count() == 100
+    assert states(store.read(1))["j3"] == "pending_upload"
+
+
+def test_a_writer_that_dies_at_any_step_leaves_a_store_that_works(spark, tmp_path, monkeypatch):
+    store = JobStore(spark, str(tmp_path), compact_after=0, buckets=4)
+    store.apply(table(spark, job("a"), job("b")))
+
+    class Died(BaseException):
+        pass
+
+    steps = ("_write", "_publish", "_name")
+    for step in steps:
+        for after in (False, True):
+            real = getattr(JobStore, step)
+
+            def broken(self, *args, real=real, after=after):
+                if after:
+                    real(self, *args)
+                raise Died
+
+            with monkeypatch.context() as m:
+                m.setattr(JobStore, step, broken)
+                version = store.version()
+                with pytest.raises(Died):
+                    store.apply(table(spark, job("a", "failed", 1, reason=step)))
+            published = after and step in ("_publish", "_name")
+            assert store.version() == version + published
+            assert states(store.read())["b"] == "pending_upload"
+            store.apply(table(spark, job("a", "dead", 1, reason="next")))
+            assert states(store.read()) == {"a": "dead", "b": "pending_upload"}
+    folders = len(list((tmp_path / "data").iterdir()))
+    assert store.remove_unused(keep_versions=1, older_than_seconds=0) > 0
+    assert len(list((tmp_path / "data").iterdir())) < folders
+    assert states(store.read()) == {"a": "dead", "b": "pending_upload"}
+
+
+def test_an_empty_version_file_of_a_dead_writer_is_passed_over(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path))
+    store.apply(table(spark, job("a")))
+    (tmp_path / "_versions" / f"{2:012d}.json").write_text("")
+    assert states(store.read()) == {"a": "pending_upload"} and store.last_batch() == -1
+    assert store.apply(table(spark, job("a", "failed", 1, reason="x"))) == 3
+    assert states(store.read()) == {"a": "failed"} and states(store.read(1)) == {"a": "pending_upload"}
+    with pytest.raises(json.JSONDecodeError):
+        store.read(2)
+    with pytest.raises(VersionConflict):
+        store._publish(3, {})
+    assert states(store.read()) == {"a": "failed"}
+
+
+def test_no_change_is_a_version_too(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path))
+    assert store.apply(table(spark, job("a")).where("false"), batch=0) == 1
+    assert store.read().count() == 0 and store.last_batch() == 0
+    assert store.lookup(ids(spark, "a")).count() == 0
