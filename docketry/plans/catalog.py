@@ -14,7 +14,7 @@ from docketry.functions import text as X
 from docketry.functions import times as TM
 from docketry.operators import (
     changes, extract, history, intake, jobs as J, metrics, objects as O, outcomes as R,
-    requests as RQ, skew, telemetry as TE,
+    requests as RQ, skew, telemetry as TE, throttle as TH,
 )
 from docketry.plans import pipeline as P
 from docketry.plans.fixtures import AS_OF, Tables
@@ -806,6 +806,13 @@ def outcome_breakdown(t: Tables) -> DataFrame:
     )
 
 
+@query
+def throttled_requests(t: Tables) -> DataFrame:
+    """The request log, played 2500 times as fast, against the limits of its routes; cuts fall inside both."""
+    judged = TH.throttle(t.fast_requests(), S.ROUTE_LIMITS, parts=32)
+    return judged.select("event_id", "route", "throttled")
+
+
 # ---- change sets, redaction, retention ------------------------------------------------
 
 

@@ -299,6 +299,12 @@ class Tables:
             "WHEN 4 THEN 'ServiceUnavailableException' END AS provider_error_code",
         )
 
+    def fast_requests(self) -> DataFrame:
+        return self.read("events").where("event_id % 4 < 2").selectExpr(
+            "event_id", "CASE event_id % 4 WHEN 0 THEN 'create_job' ELSE 'get_job' END AS route",
+            "timestamp_micros(1704067200000000 + (unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) div 2500) AS ts",
+        )
+
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Two snapshots of documents: ``(key, entity, payload, identity)``."""
         d = self.read("documents")

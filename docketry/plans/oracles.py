@@ -816,6 +816,24 @@ SELECT CAST(version AS INTEGER) AS version, job_id,
   CAST(CASE WHEN written = 1 THEN attempts ELSE written END AS BIGINT) AS attempts
 FROM newest"""
 
+# one step of the recursion is one request of each route
+_SQL["throttled_requests"] = """WITH RECURSIVE r AS (
+  SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'create_job' ELSE 'get_job' END AS route, CASE event_id % 4 WHEN 0 THEN 2 ELSE 10 END AS rate,
+    CASE event_id % 4 WHEN 0 THEN 5000000 ELSE 20000000 END AS cap, (epoch_us(ts) - 1704067200000000) // 2500 AS us
+  FROM events WHERE event_id % 4 < 2
+), n AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY route ORDER BY us, event_id) AS rn FROM r
+), b AS (
+  SELECT event_id, route, rn, us, CAST(cap - 1000000 AS BIGINT) AS tokens, false AS throttled FROM n WHERE rn = 1
+  UNION ALL
+  SELECT event_id, route, rn, us, CASE WHEN have >= 1000000 THEN have - 1000000 ELSE have END, have < 1000000
+  FROM (
+    SELECT n.event_id, n.route, n.rn, n.us, CAST(least(n.cap, b.tokens + n.rate * (n.us - b.us)) AS BIGINT) AS have
+    FROM b JOIN n ON n.route = b.route AND n.rn = b.rn + 1
+  )
+)
+SELECT event_id, route, throttled FROM b"""
+
 # closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
 _SQL["redelivered_batches"] = """WITH m AS (
   SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,

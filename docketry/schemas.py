@@ -210,3 +210,6 @@ TELEMETRY = T.StructType(
         T.StructField("dropped_field_count", T.LongType()),
     ]
 )
+
+# fixed values: tokens a second and burst of the two routes
+ROUTE_LIMITS = {"create_job": (2, 5), "get_job": (10, 20)}
