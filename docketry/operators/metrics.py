@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry import schemas as S
+from docketry.session import cut_lineage
 
 
 def period_start(ts: Column, seconds: int) -> Column:
@@ -244,3 +245,102 @@ def state_changes(states: DataFrame, dims: list[str]) -> DataFrame:
     return changed.where(F.col("state") != F.col("previous_state")).orderBy(
         F.col("period_start").desc(), *dims
     )
+
+
+# ---- the report -----------------------------------------------------------------
+
+
+_PERIOD = 300
+_REPORT = ("section", "label", "period_start", "metric", "value")
+
+
+def event_flags() -> dict[str, Column]:
+    """The event counts that alarms watch."""
+    code = F.col("provider_error_code")
+    return {
+        "api_5xx": F.col("event_name").eqNullSafe("request.completed") & (F.col("status_code") >= 500),
+        "processor_errors": F.col("event_name") == "processing.record_failed",
+        "reconciler_errors": F.col("event_name") == "reconciliation.record_failed",
+        "provider_throttles": code.eqNullSafe("ThrottlingException"),
+        "provider_client_errors": code.eqNullSafe("AccessDeniedException"),
+        "provider_server_errors": code.eqNullSafe("ServiceUnavailableException"),
+    }
+
+
+def report_periods(telemetry: DataFrame) -> DataFrame:
+    """All counts, sums and latencies of the report, per component and five minutes, in one pass over the events."""
+    code = F.col("status_code")
+    return per_period(
+        telemetry, "ts", ["component"],
+        {
+            "requests": F.count_if(F.col("event_name") == "request.completed"),
+            "errors_4xx": F.count_if((F.col("event_name") == "request.completed") & code.between(400, 499)),
+            "max_duration_ms": F.max("duration_ms"), "p95_duration_ms": F.percentile_approx("duration_ms", 0.95, 10_000),
+            "input_tokens": F.sum("input_tokens"), "output_tokens": F.sum("output_tokens"),
+            **{name: F.count_if(flag) for name, flag in event_flags().items()},
+        },
+        _PERIOD,
+    )
+
+
+_SECTIONS = {
+    "traffic": ("requests", "errors_4xx", "api_5xx"),
+    "latency": ("p95_duration_ms", "max_duration_ms"),
+    "errors": ("processor_errors", "reconciler_errors", "provider_throttles", "provider_client_errors", "provider_server_errors"),
+    "tokens": ("input_tokens", "output_tokens"),
+}
+
+
+def operations_report(telemetry: DataFrame, deliveries: DataFrame, *, start: Column, end: Column, top: int = 100) -> DataFrame:
+    """Everything the operators look at, as rows ``section, label, period_start, metric, value``.
+
+    Traffic, latency, errors and tokens per component and period; the depth of
+    every queue and the age of its oldest message at ``end``; the last state of
+    every alarm with the number of its periods in alarm; the newest failures. The
+    event log is read once for all series: alarms are evaluated on the periods,
+    which are kept, and only the newest failures look at events again.
+    """
+    periods = cut_lineage(report_periods(telemetry))
+    pairs = F.array(
+        *[
+            F.struct(F.lit(section).alias("section"), F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"))
+            for section, names in _SECTIONS.items() for name in names
+        ]
+    )
+    series = periods.select(F.col("component").alias("label"), "period_start", F.inline(pairs)).where("value is not null")
+    gauges = gauges_at(deliveries, end)
+    queues = gauges.select(
+        F.lit("queues").alias("section"), F.col("queue").alias("label"), end.alias("period_start"),
+        F.inline(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in ("visible", "in_flight", "oldest_age_s")
+        ])),
+    ).where("value is not null")
+    counts = periods.groupBy("period_start").agg(*[F.sum(n).cast("double").alias(n) for n in event_flags()])
+    events = counts.select(
+        "period_start", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in event_flags()]))
+    ).where("value > 0")
+    ages = oldest_age(deliveries, until=end).select(
+        "period_start", F.lit("queue_oldest_age").alias("metric"), F.col("oldest_age_s").cast("double").alias("value"), "queue"
+    )
+    states = evaluate_alarms(events.unionByName(ages, allowMissingColumns=True), start, end, ("queue",))
+    alarms = states.groupBy("alarm", "queue").agg(
+        F.max_by((F.col("state") == "ALARM").cast("double"), "period_start").alias("in_alarm"),
+        F.count_if(F.col("state") == "ALARM").cast("double").alias("alarm_periods"), F.max("period_start").alias("period_start"),
+    ).select(
+        F.lit("alarms").alias("section"), F.concat_ws("/", "alarm", F.when(F.col("queue") != "", F.col("queue"))).alias("label"),
+        "period_start", F.inline(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("in_alarm", "alarm_periods")
+        ])),
+    )
+    failures = (
+        telemetry.where(F.col("event_name") == "processing.record_failed").orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(top)
+    )
+    newest = failures.select(
+        F.lit("failures").alias("section"), F.coalesce("job_id", F.lit("-")).alias("label"), F.col("ts").alias("period_start"),
+        F.lit("event_id").alias("metric"), F.col("event_id").cast("double").alias("value"),
+    )
+    parts = [series, queues, alarms, newest]
+    out = parts[0].select(*_REPORT)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*_REPORT))
+    return out

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketry import schemas as S
 from docketry.functions import text as X
+from docketry.functions import times as TM
 from docketry.functions import variants as V
+from docketry.operators import outcomes as R
 
 
 def safe_fields(fields: Column, allowed: tuple[str, ...] = S.TELEMETRY_FIELDS) -> Column:
@@ -52,6 +54,74 @@ def project_events(raw: DataFrame, service: str, allowed: tuple[str, ...] = S.TE
     )
 
 
+# ---- events of the own jobs ----------------------------------------------------
+
+PROCESSOR, RECONCILER = "processor", "reconciler"
+REJECTED, RETRYABLE = "event_rejected", "retryable_failure"
+
+
+def _event(rows: DataFrame, as_of, service: str, component: str, level: Column, name: Column, fields: dict[str, Column]) -> DataFrame:
+    """Rows of the telemetry table; fields without a value are left out."""
+    texts = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v.cast("string"))])
+    return rows.select(
+        TM.as_timestamp(as_of).alias("ts"), F.lit(service).alias("service"), F.lit(component).alias("component"),
+        level.alias("level"), name.alias("event_name"), F.map_filter(texts, lambda k, v: v.isNotNull()).alias("fields"),
+        F.lit(0).cast("long").alias("dropped_field_count"),
+    )
+
+
+def _record_events(records: DataFrame, as_of, service: str, component: str, stage: str, operation: str, fields: dict[str, Column]) -> DataFrame:
+    """One event per record that was run: completed, or failed with its error."""
+    failed = F.col("failed")
+    parsing = F.col("error_code").endswith("event_parsing_error")
+    level = F.when(failed, F.when(parsing, "warning").otherwise("error")).when(
+        F.col("outcome").isin("terminal_failure_recorded", "dead_recorded"), "warning"
+    ).otherwise("info")
+    outcome = F.when(failed, F.when(parsing, REJECTED).otherwise(RETRYABLE)).otherwise(F.col("outcome"))
+    name = F.when(failed, f"{stage}.record_failed").otherwise(f"{stage}.record_completed")
+    own = {
+        "operation": F.lit(operation), "outcome": outcome, "job_id": F.col("job_id"), "sqs_message_id": F.col("message_id"),
+        "error_code": F.when(failed, F.col("error_code")), "retryable": F.when(failed, F.lit("true")),
+    }
+    done = records.where(failed | F.col("outcome").isNotNull())
+    return _event(done, as_of, service, component, level, name, own | fields)
+
+
+def _batch_events(messages: DataFrame, as_of, service: str, component: str, stage: str, operation: str) -> DataFrame:
+    names = ("outcome", "batch_size", "processed_record_count", "failed_record_count")
+    level = F.when(F.col("failed_record_count") > 0, "warning").otherwise("info")
+    fields = {"operation": F.lit(operation)} | {n: F.col(n) for n in names}
+    return _event(R.batch_summary(messages), as_of, service, component, level, F.lit(f"{stage}.batch_completed"), fields)
+
+
+def upload_events(records: DataFrame, messages: DataFrame, *, as_of, service: str = "intake") -> DataFrame:
+    """Telemetry of ``process_uploads``: an event for each record that was run, and one for each batch."""
+    own = {
+        "processing_attempt_id": F.when(~F.col("failed"), F.col("attempt_id")),
+        "failure_reason": F.when(~F.col("failed"), F.col("failure_reason")),
+    }
+    ran = _record_events(records, as_of, service, PROCESSOR, "processing", "process_document", own)
+    return ran.unionByName(_batch_events(messages, as_of, service, PROCESSOR, "processing", "process_document_batch"))
+
+
+def reconciliation_events(records: DataFrame, messages: DataFrame, *, as_of, service: str = "intake") -> DataFrame:
+    """Telemetry of ``reconcile_dead_letters``."""
+    code = F.when(F.col("rec_pos").isNull(), "dead_letter_event_parsing_error").otherwise("dead_lettered_document_processing_error")
+    ran = records.where("attempted").withColumn("error_code", F.when(F.col("failed"), code))
+    events = _record_events(ran, as_of, service, RECONCILER, "reconciliation", "reconcile_dead_lettered_document", {})
+    return events.unionByName(_batch_events(messages, as_of, service, RECONCILER, "reconciliation", "reconcile_dead_letter_batch"))
+
+
+def observed(events: DataFrame) -> tuple[DataFrame, Observation]:
+    """The events with totals that whoever writes them gets for nothing, without another pass."""
+    totals = Observation("telemetry")
+    named = lambda end: F.col("event_name").endswith(end)
+    return events.observe(
+        totals, F.count(F.lit(1)).alias("events"), F.count_if(named("record_completed")).alias("completed"),
+        F.count_if(named("record_failed")).alias("failed"), F.count_if(named("batch_completed")).alias("batches"),
+    ), totals
+
+
 def union_components(parts: dict[str, DataFrame]) -> DataFrame:
     """One event log from the logs of several components."""
     named = [df.withColumn("component", F.lit(name)) for name, df in parts.items()]

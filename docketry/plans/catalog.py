@@ -691,16 +691,9 @@ def queue_age_alarm(t: Tables) -> DataFrame:
 
 
 def _event_points(t: Tables) -> DataFrame:
-    tele = t.telemetry()
     start = metrics.period_start(F.col("ts"), 300)
-    flags = {
-        "api_5xx": F.col("event_name").eqNullSafe("request.completed") & (F.col("status_code") >= 500),
-        "processor_errors": F.col("event_name") == "processing.record_failed",
-        "provider_throttles": F.col("provider_error_code").eqNullSafe("ThrottlingException"),
-        "provider_client_errors": F.col("provider_error_code").eqNullSafe("AccessDeniedException"),
-        "provider_server_errors": F.col("provider_error_code").eqNullSafe("ServiceUnavailableException"),
-    }
-    sums = tele.groupBy(start.alias("period_start")).agg(
+    flags = metrics.event_flags()
+    sums = t.telemetry().groupBy(start.alias("period_start")).agg(
         *[F.count_if(cond).cast("double").alias(name) for name, cond in flags.items()]
     )
     pairs = F.array(
@@ -717,9 +710,9 @@ def _age_points(deliveries: DataFrame) -> DataFrame:
 
 
 def _points(t: Tables) -> DataFrame:
-    # the backlog of one queue that serves every message in the end
-    served = _deliveries(t).where("queue = 'purchase' AND received_ts IS NOT NULL")
-    return _event_points(t).unionByName(_age_points(served).drop("queue"))
+    # one series for all queues: the oldest message of any, also one that is never received
+    ages = _age_points(_deliveries(t)).groupBy("period_start", "metric").agg(F.max("value").alias("value"))
+    return _event_points(t).unionByName(ages)
 
 
 def _alarm_states(t: Tables) -> DataFrame:
@@ -806,6 +799,32 @@ def outcome_breakdown(t: Tables) -> DataFrame:
     )
 
 
+@query
+def pipeline_telemetry(t: Tables) -> DataFrame:
+    """What the two jobs tell about themselves: events by name, level and outcome."""
+    uploads = _processed(t)
+    dead = P.reconcile_dead_letters(t.messages(two_records=True), t.jobs(), as_of=AS_OF, config=CONFIG)
+    events = TE.upload_events(uploads.records, uploads.messages, as_of=AS_OF).unionByName(
+        TE.reconciliation_events(dead.records, dead.messages, as_of=AS_OF)
+    )
+    field = lambda name: F.coalesce(F.col("fields")[name], F.lit("-")).alias(name)
+    return events.groupBy(
+        "component", "event_name", "level", field("outcome"), field("error_code"), field("failure_reason")
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.count("fields.processing_attempt_id").alias("attempts"),
+        F.coalesce(F.sum(F.col("fields.failed_record_count").cast("long")), F.lit(0)).alias("failed_records"),
+    )
+
+
+@query
+def operations_report(t: Tables) -> DataFrame:
+    """Traffic, latency, errors, tokens, queues, alarms and newest failures of January 2024."""
+    report = metrics.operations_report(
+        t.telemetry(), _deliveries(t), start=TM.as_timestamp(_FIRST), end=TM.as_timestamp(_LAST)
+    )
+    return report.withColumn("period_start", wall("period_start"))
+
+
 @query
 def throttled_requests(t: Tables) -> DataFrame:
     """The request log, played 2500 times as fast, against the limits of its routes; cuts fall inside both."""

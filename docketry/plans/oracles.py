@@ -692,8 +692,7 @@ _ALARMS = f"""{_WAITS}, hit AS (
   FROM (SELECT unnest(['control-plane-5xx', 'processor-errors', 'reconciler-errors', 'provider-throttles',
     'provider-client-errors', 'provider-server-errors']) AS alarm) a, minutes WHERE minute(m) % 5 = 0
 ), late AS (
-  SELECT DISTINCT 'processing-queue-age' AS alarm, w.m FROM waits w JOIN dlv d ON d.queue = w.queue AND d.sent_ts = w.sent_ts
-  WHERE w.queue = 'purchase' AND d.received_ts IS NOT NULL AND w.m + INTERVAL 1 MINUTE - w.sent_ts >= INTERVAL 300 SECOND
+  SELECT DISTINCT 'processing-queue-age' AS alarm, w.m FROM waits w WHERE w.m + INTERVAL 1 MINUTE - w.sent_ts >= INTERVAL 300 SECOND
 ), one AS (
   SELECT 'processing-queue-age' AS alarm, m FROM minutes
 ), st AS (
@@ -834,6 +833,83 @@ _SQL["throttled_requests"] = """WITH RECURSIVE r AS (
 )
 SELECT event_id, route, throttled FROM b"""
 
+_EVENTS_OF = """
+  SELECT 'processor' AS component, CASE WHEN failed THEN 'processing.record_failed' ELSE 'processing.record_completed' END AS event_name,
+    CASE WHEN error_code = 'event_parsing_error' OR outcome = 'terminal_failure_recorded' THEN 'warning' WHEN failed THEN 'error' ELSE 'info' END AS level,
+    CASE WHEN error_code = 'event_parsing_error' THEN 'event_rejected' WHEN failed THEN 'retryable_failure' ELSE outcome END AS outcome,
+    error_code, CASE WHEN failed THEN '-' ELSE failure_reason END AS failure_reason,
+    CASE WHEN NOT failed AND start_outcome = 'claim_acquired' THEN 1 ELSE 0 END AS attempt, 0 AS failed_records
+  FROM ups"""
+_BATCHES_OF = """
+  SELECT '{component}', '{stage}.batch_completed', CASE WHEN bad > 0 THEN 'warning' ELSE 'info' END,
+    CASE WHEN bad > 0 THEN 'completed_with_failures' ELSE 'succeeded' END, '-', '-', 0, bad
+  FROM (SELECT count(DISTINCT message_id) FILTER (failed) AS bad FROM {source} JOIN msg USING (message_id) GROUP BY event_id // 10)"""
+_SQL["pipeline_telemetry"] = f"""WITH {_MSG}, {_ROUTED}, {_CLAIMED}, every AS (
+  SELECT message_id, job_id, start_outcome, failure_reason, retry_reason FROM ran
+  UNION ALL {_REST.format(source='routed')}
+), ups AS (
+  SELECT message_id, CAST(0 AS BIGINT) AS rec_pos, job_id, start_outcome, {_RECORD_COLUMNS} FROM every
+  UNION ALL {_REJECTED}
+), {_DEAD}, deads AS (
+  SELECT message_id, outcome, failed, false AS parsing FROM ({_SQL["reconcile_dead"][_SQL["reconcile_dead"].index("SELECT s.message_id"):_SQL["reconcile_dead"].rindex("UNION ALL")]}) WHERE attempted
+  UNION ALL SELECT message_id, error_class, true, true FROM msg WHERE error_class <> 'ok'
+), ev AS ({_EVENTS_OF}
+  UNION ALL {_BATCHES_OF.format(component='processor', stage='processing', source='ups')}
+  UNION ALL
+  SELECT 'reconciler', CASE WHEN failed THEN 'reconciliation.record_failed' ELSE 'reconciliation.record_completed' END,
+    CASE WHEN parsing OR outcome = 'dead_recorded' THEN 'warning' WHEN failed THEN 'error' ELSE 'info' END,
+    CASE WHEN parsing THEN 'event_rejected' WHEN failed THEN 'retryable_failure' ELSE outcome END,
+    CASE WHEN parsing THEN 'dead_letter_event_parsing_error' WHEN failed THEN 'dead_lettered_document_processing_error' ELSE '-' END, '-', 0, 0 FROM deads
+  UNION ALL {_BATCHES_OF.format(component='reconciler', stage='reconciliation', source='deads')}
+)
+SELECT component, event_name, level, outcome, error_code, failure_reason, count(*) AS n, CAST(sum(attempt) AS BIGINT) AS attempts,
+  CAST(sum(failed_records) AS BIGINT) AS failed_records FROM ev GROUP BY 1, 2, 3, 4, 5, 6"""
+
+_SQL["operations_report"] = f"""WITH {_TELE}, {_DELIVERIES}, {_ALARMS_BY_QUEUE}, p AS (
+  SELECT component AS label, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start,
+    count(*) FILTER (event_name = 'request.completed') AS requests,
+    count(*) FILTER (event_name = 'request.completed' AND status_code BETWEEN 400 AND 499) AS errors_4xx,
+    count(*) FILTER (event_name = 'request.completed' AND status_code >= 500) AS api_5xx,
+    quantile_disc(duration_ms, 0.95) AS p95_duration_ms, max(duration_ms) AS max_duration_ms,
+    count(*) FILTER (event_name = 'processing.record_failed') AS processor_errors,
+    0 AS reconciler_errors,
+    count(*) FILTER (provider_error_code = 'ThrottlingException') AS provider_throttles,
+    count(*) FILTER (provider_error_code = 'AccessDeniedException') AS provider_client_errors,
+    count(*) FILTER (provider_error_code = 'ServiceUnavailableException') AS provider_server_errors,
+    sum(event_id % 1000) AS input_tokens, sum(event_id % 77) AS output_tokens
+  FROM tele GROUP BY 1, 2
+), s AS (
+  SELECT label, period_start, unnest([
+    {{'section': 'traffic', 'metric': 'requests', 'value': CAST(requests AS DOUBLE)}},
+    {{'section': 'traffic', 'metric': 'errors_4xx', 'value': CAST(errors_4xx AS DOUBLE)}},
+    {{'section': 'traffic', 'metric': 'api_5xx', 'value': CAST(api_5xx AS DOUBLE)}},
+    {{'section': 'latency', 'metric': 'p95_duration_ms', 'value': CAST(p95_duration_ms AS DOUBLE)}},
+    {{'section': 'latency', 'metric': 'max_duration_ms', 'value': CAST(max_duration_ms AS DOUBLE)}},
+    {{'section': 'errors', 'metric': 'processor_errors', 'value': CAST(processor_errors AS DOUBLE)}},
+    {{'section': 'errors', 'metric': 'reconciler_errors', 'value': CAST(reconciler_errors AS DOUBLE)}},
+    {{'section': 'errors', 'metric': 'provider_throttles', 'value': CAST(provider_throttles AS DOUBLE)}},
+    {{'section': 'errors', 'metric': 'provider_client_errors', 'value': CAST(provider_client_errors AS DOUBLE)}},
+    {{'section': 'errors', 'metric': 'provider_server_errors', 'value': CAST(provider_server_errors AS DOUBLE)}},
+    {{'section': 'tokens', 'metric': 'input_tokens', 'value': CAST(input_tokens AS DOUBLE)}},
+    {{'section': 'tokens', 'metric': 'output_tokens', 'value': CAST(output_tokens AS DOUBLE)}}]) AS m FROM p
+), g AS (
+  SELECT queue, count(*) FILTER (received_ts IS NULL OR received_ts > now) AS visible,
+    count(*) FILTER (received_ts <= now AND (done_ts IS NULL OR done_ts > now)) AS in_flight,
+    max(epoch_us(now) - epoch_us(sent_ts)) FILTER (received_ts IS NULL OR received_ts > now) / 1000000 AS oldest_age_s
+  FROM (SELECT *, TIMESTAMP '2024-01-31 23:59:00' AS now FROM dlv) WHERE sent_ts <= now GROUP BY queue
+), a AS (
+  SELECT alarm || CASE WHEN queue <> '' THEN '/' || queue ELSE '' END AS label, max(m) AS period_start,
+    CAST(arg_max(state, m) = 'ALARM' AS DOUBLE) AS in_alarm, CAST(count(*) FILTER (state = 'ALARM') AS DOUBLE) AS alarm_periods FROM stq GROUP BY alarm, queue
+)
+SELECT m.section AS section, label, period_start, m.metric AS metric, m.value AS value FROM s
+UNION ALL SELECT 'queues', queue, TIMESTAMP '2024-01-31 23:59:00', 'visible', CAST(visible AS DOUBLE) FROM g
+UNION ALL SELECT 'queues', queue, TIMESTAMP '2024-01-31 23:59:00', 'in_flight', CAST(in_flight AS DOUBLE) FROM g
+UNION ALL SELECT 'queues', queue, TIMESTAMP '2024-01-31 23:59:00', 'oldest_age_s', CAST(oldest_age_s AS DOUBLE) FROM g WHERE oldest_age_s IS NOT NULL
+UNION ALL SELECT 'alarms', label, period_start, 'in_alarm', in_alarm FROM a
+UNION ALL SELECT 'alarms', label, period_start, 'alarm_periods', alarm_periods FROM a
+UNION ALL SELECT 'failures', job_id, ts, 'event_id', CAST(event_id AS DOUBLE) FROM (
+  SELECT * FROM tele WHERE event_name = 'processing.record_failed' ORDER BY ts DESC, event_id DESC LIMIT 100)"""
+
 # closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
 _SQL["redelivered_batches"] = """WITH m AS (
   SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry.config import IntakeConfig
-from docketry.operators import metrics, outcomes as R
+from docketry.operators import metrics, outcomes as R, telemetry
 from docketry.plans import pipeline as P
 from docketry.sources import sinks
 from docketry.sources.job_store import JobStore, VersionConflict
@@ -73,6 +73,8 @@ def start_intake(
 
             def write_rest() -> None:
                 sinks.write_batch(result.records, out, "records", batch_id)
+                events = telemetry.upload_events(result.records, result.messages, as_of=as_of(batch_id), service=config.service)
+                sinks.write_telemetry(events, out, batch_id)
                 sinks.write_failures(result.messages, out, batch_id)
                 sinks.write_routed(_route(batch, result.messages, config, False), out, batch_id)
 
@@ -101,6 +103,10 @@ def start_reconciliation(
 
             def write_rest() -> None:
                 sinks.write_batch(result.records, out, "dead_letter_records", batch_id)
+                events = telemetry.reconciliation_events(
+                    result.records, result.messages, as_of=as_of(batch_id), service=config.service
+                )
+                sinks.write_telemetry(events, out + "/dead_letters", batch_id)
                 sinks.write_routed(_route(batch, result.messages, config, True), out + "/dead_letters", batch_id)
 
             return result.changes, write_rest
@@ -115,9 +121,9 @@ def start_reconciliation(
     )
 
 
-def windowed_requests(telemetry: DataFrame, seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
+def windowed_requests(events: DataFrame, seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
     """Streaming request metrics; the watermark only bounds the window state."""
-    return metrics.request_sums(telemetry.withWatermark("ts", delay), seconds)
+    return metrics.request_sums(events.withWatermark("ts", delay), seconds)
 
 
 def start_alarms(points: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
