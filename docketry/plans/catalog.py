@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry import schemas as S
@@ -18,10 +18,10 @@ from docketry.operators import (
 )
 from docketry.plans import pipeline as P
 from docketry.plans.fixtures import AS_OF, Tables
-from docketry.session import prepare_session, shared_dir
+from docketry.session import cut_lineage, prepare_session, shared_dir
 from docketry.sources import files, retention
 from docketry.sources.job_store import JobStore
-from docketry.streaming import ownership, redelivery, state
+from docketry.streaming import alarms, ownership, redelivery, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -945,6 +945,45 @@ def redelivered_batches(t: Tables) -> DataFrame:
     )
 
 
+@query
+def alarm_stream_states(t: Tables) -> DataFrame:
+    """The alarms of ``alarm_states_by_queue`` from keyed state, over four triggers; an end of the clock closes the month."""
+    root = f"{shared_dir(t.spark)}/alarms-{uuid.uuid4().hex}"
+    state.use_rocksdb(t.spark)
+    points = _event_points(t).unionByName(_age_points(_deliveries(t)), allowMissingColumns=True).withColumnRenamed("queue", "dim")
+    clock = t.spark.range(1).select(
+        TM.plus_seconds(TM.as_timestamp(_LAST), 60).alias("period_start"), F.lit("clock").alias("metric"), F.lit(0.0).alias("value"),
+        F.lit(None).cast("string").alias("dim"),
+    )
+    names = [f.split()[0] for f in alarms.POINTS.split(", ")]
+    length = F.when(F.col("metric") == "queue_oldest_age", 60).when(F.col("metric") == "clock", 0).otherwise(300)
+    closed = F.col("period_start") + F.make_dt_interval(secs=length)
+    points = cut_lineage(points.unionByName(clock).withColumn("closed_at", closed).select(*names))
+    for first, last in ((1, 8), (8, 16), (16, 24), (24, 40)):
+        days = F.datediff("closed_at", F.lit("2024-01-01").cast("date")) + 1
+        points.where((days >= first) & (days < last)).write.mode("append").parquet(f"{root}/in")
+        source = t.spark.readStream.schema(alarms.POINTS).parquet(f"{root}/in")
+        alarms.start_alarm_changes(source, root, f"{root}/checkpoint").awaitTermination()
+    moved = t.spark.read.parquet(f"{root}/alarm_changes").where("state <> 'late'")
+    rules = metrics.alarms_table(t.spark).select("alarm", "metric", "period")
+    series = rules.join(points.select("metric", F.coalesce("dim", F.lit("")).alias("queue")).distinct(), "metric", "left").select(
+        "alarm", F.coalesce("queue", F.lit("")).alias("queue"), "period"
+    )
+    first, last = (F.unix_seconds(TM.as_timestamp(x)) for x in (_FIRST, _LAST))
+    by_time = Window.partitionBy("alarm", "dim").orderBy("period_start")
+    spans = moved.withColumn("until", F.lead("period_start").over(by_time)).where("state = 'ALARM'")
+    on = spans.groupBy("alarm", F.col("dim").alias("queue")).agg(
+        F.sum(F.coalesce(F.unix_seconds("until") - F.unix_seconds("period_start"), F.lit(0))).alias("closed"),
+        F.max(F.when(F.col("until").isNull(), F.unix_seconds("period_start"))).alias("open"),
+    )
+    end = F.floor(last / F.col("period")) * F.col("period") + F.col("period")
+    seconds = F.coalesce("closed", F.lit(0)) + F.coalesce(end - F.col("open"), F.lit(0))
+    return series.join(on, ["alarm", "queue"], "left").select(
+        "alarm", "queue", ((end - first) / F.col("period")).cast("long").alias("periods"),
+        (seconds / F.col("period")).cast("long").alias("in_alarm"),
+    )
+
+
 @query
 def stream_owner_finalize(t: Tables) -> DataFrame:
     """Claims and finalizations over three triggers: owners, takeovers, stale and late rows, ended leases."""

@@ -910,6 +910,8 @@ UNION ALL SELECT 'alarms', label, period_start, 'alarm_periods', alarm_periods F
 UNION ALL SELECT 'failures', job_id, ts, 'event_id', CAST(event_id AS DOUBLE) FROM (
   SELECT * FROM tele WHERE event_name = 'processing.record_failed' ORDER BY ts DESC, event_id DESC LIMIT 100)"""
 
+_SQL["alarm_stream_states"] = _SQL["alarm_states_by_queue"]
+
 # closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
 _SQL["redelivered_batches"] = """WITH m AS (
   SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,

@@ -132,17 +132,21 @@ def start_alarms(points: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     ``points`` holds windowed aggregates in update mode ``(metric,
     period_start, value)``; a later value of a period replaces the earlier one.
     A batch writes the states from its own first period on; points are read
-    from as far before it as the longest alarm looks back.
+    from as far before it as the longest alarm looks back, and only the days
+    of that stretch are opened. ``alarms.start_alarm_changes`` keeps final points
+    in state and reads nothing again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sinks.write_batch(batch, out, "points", batch_id)
+        dated = batch.withColumn("event_date", F.to_date("period_start"))
+        sinks.write_batch(dated, out, "points", batch_id, ["event_date"])
         first = batch.agg(F.min("period_start")).first()[0]
         if first is None:
             return
         since = F.lit(first) - F.make_dt_interval(secs=F.lit(metrics.longest_look_back()))
-        kept = spark.read.parquet(f"{out}/points").where(F.col("period_start") >= since)
+        points_kept = spark.read.parquet(f"{out}/points").where(F.col("event_date") >= F.to_date(since))
+        kept = points_kept.where(F.col("period_start") >= since)
         newest = kept.groupBy("metric", "period_start").agg(
             F.max_by("value", "stream_batch").alias("value")
         )
