@@ -40,6 +40,8 @@ def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 
 
 def all_queries() -> dict[str, Query]:
+    from docketry.plans import services  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 

@@ -979,4 +979,6 @@ FROM held JOIN marks ON marks.part >= held.part AND marks.part < held.over_in AN
 
 
 def all_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from docketry.plans import services
+
+    return _SQL | services.SQL

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry.config import IntakeConfig
-from docketry.operators import metrics, outcomes as R, telemetry
+from docketry.operators import extract, metrics, outcomes as R, telemetry
 from docketry.plans import pipeline as P
 from docketry.sources import sinks
 from docketry.sources.job_store import JobStore, VersionConflict
@@ -55,9 +55,11 @@ def start_intake(
     *,
     as_of: Callable[[int], object],
     config: IntakeConfig = IntakeConfig(),
+    plan: DataFrame | None = None,
+    extractor: extract.Extractor = extract.rule_extractor,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Process a message stream against a job store.
+    """Process a message stream against a job store; ``plan`` and ``extractor`` as in ``process_uploads``.
 
     Outcomes, failures and undelivered messages are written first, into folders
     owned by the batch; publishing the job version is the last step and names
@@ -68,7 +70,7 @@ def start_intake(
     def run(batch: DataFrame, batch_id: int) -> None:
         def compute(jobs: DataFrame):
             result = P.process_uploads(
-                batch, jobs, objects(batch.sparkSession), as_of=as_of(batch_id), config=config
+                batch, jobs, objects(batch.sparkSession), as_of=as_of(batch_id), config=config, plan=plan, extractor=extractor
             )
 
             def write_rest() -> None:
