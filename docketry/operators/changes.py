@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import schemas as S
 from docketry.functions import text as X
+from docketry.session import cut_lineage
 
 
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -66,21 +67,31 @@ def row_text(changes: DataFrame) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(changes.columns)]))
 
 
+#: distinct rows a leaf of the fingerprint's tree holds on average, at most
+LEAF_ROWS = 4096
+
+
 def fingerprint(
-    changes: DataFrame, text: Column | None = None, prefix_chars: int = 4
+    changes: DataFrame, text: Column | None = None, prefix_chars: int | None = None
 ) -> DataFrame:
     """Order-free SHA-256 of a change set, independent of partitioning.
 
     Equal rows are counted before they meet, so any number of copies of one row
-    is one entry. Row digests are combined in a tree by digest prefix: with the
-    default there are 65,536 leaves, then 256, then the root, and no task sees
-    more than its leaf.
+    is one entry. Row digests are combined in a tree by digest prefix. Its leaves
+    have four hex digits, and two more for each 256 times that the distinct rows
+    exceed 65,536 leaves of ``LEAF_ROWS``, so lists stay short however many rows
+    there are; every other level joins at most 256 lines.
     """
     digest = F.sha2(row_text(changes) if text is None else text, 256)
     rows = changes.select(digest.alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    if prefix_chars is None:
+        rows, prefix_chars = cut_lineage(rows), 4
+        distinct = rows.count()
+        while distinct > LEAF_ROWS * 16**prefix_chars:
+            prefix_chars += 2
     level = rows.select(F.col("d").alias("k"), F.concat_ws(":", "d", "n").alias("line"))
     combined = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
-    for width in (prefix_chars, 2):
+    for width in range(prefix_chars, 0, -2):
         level = (
             level.groupBy(F.substring("k", 1, width).alias("k"))
             .agg(combined.alias("line"))

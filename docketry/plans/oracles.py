@@ -912,6 +912,17 @@ UNION ALL SELECT 'failures', job_id, ts, 'event_id', CAST(event_id AS DOUBLE) FR
 
 _SQL["alarm_stream_states"] = _SQL["alarm_states_by_queue"]
 
+_SQL["history_fold_hot"] = _SQL["history_fold"].replace(
+    """  SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+    count(*) OVER (PARTITION BY user_id) AS total FROM events
+""",
+    """  SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+    count(*) OVER (PARTITION BY user_id) AS total
+  FROM (SELECT ts, event_id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id END AS user_id,
+    CASE WHEN user_id % 3 = 0 AND event_type <> 'error' THEN 'click' ELSE event_type END AS event_type FROM events)
+""",
+).replace("SELECT 'u-' || user_id AS job_id, status", "SELECT CASE WHEN user_id = -1 THEN 'hot' ELSE 'u-' || user_id END AS job_id, status")
+
 # closed form: the handler fails k times, three receives 720 s apart, then three 180 s apart
 _SQL["redelivered_batches"] = """WITH m AS (
   SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id // 6 % 8 ELSE 0 END AS k,

@@ -15,7 +15,7 @@ from docketry.plans import pipeline as P
 from docketry.plans.catalog import CONFIG, _processed, _record_view, query, text_or_none, wall
 from docketry.plans.fixtures import AS_OF, Tables
 from docketry.session import shared_dir
-from docketry.sources import files
+from docketry.sources import files, snapshots
 from docketry.sources.job_store import JobStore
 from docketry.streaming import intake as SI
 
@@ -203,6 +203,18 @@ SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN 400 WHEN 1 THEN 404 WHEN 2 T
 FROM events WHERE event_id % 6 < 4"""
 
 
+@query
+def change_set_pruned(t: Tables) -> DataFrame:
+    """The change set of two stored snapshots, from the leaves of their trees that differ."""
+    paths = [_folder(t, n) for n in ("before", "after")]
+    for snapshot, path in zip(t.snapshots(), paths):
+        snapshots.write_snapshot(snapshot, path, leaves=4096, folders=32)
+    return snapshots.changes_between(t.spark, *paths)
+
+
+SQL["change_set_pruned"] = f"WITH {O._CHANGES} SELECT key, entity, action FROM chg WHERE action <> 'no-op'"
+
+
 # ---- rules that few rows reach --------------------------------------------------
 
 

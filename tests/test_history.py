@@ -64,6 +64,31 @@ def test_replay_matches_a_sequential_fold(spark, seconds, hot_end):
     assert replayed(df, **options) == expected(df)
 
 
+@pytest.mark.parametrize("parts,lease", [(1, LEASE), (7, LEASE), (40, LEASE), (40, 9000), (25, 30)])
+@pytest.mark.parametrize("hot_end", [True, False])
+def test_sorted_replay_matches_a_sequential_fold(spark, monkeypatch, parts, lease, hot_end):
+    """One job over most partitions, leases shorter and longer than a partition."""
+    monkeypatch.setattr(H, "FAN_OUT", 3)
+    monkeypatch.setattr("test_history.LEASE", lease)
+    df = deliveries(spark, n=1200, seed=parts + lease, hot_end=hot_end)
+    df = df.unionByName(df.where("false")).unionByName(df.limit(1).withColumn("job_id", F.lit(None).cast("string")))
+    out = H.replay_sorted(df, ["ts", "event_id"], lease_seconds=lease, parts=parts)
+    got = {
+        r[0]: tuple(r[1:])
+        for r in out.select(
+            "job_id", "status", "attempts", F.unix_micros("lease_expires_at"), F.unix_micros("updated_at"),
+            "active", "applied", "deliveries",
+        ).collect()
+    }
+    want = expected(df.where("job_id is not null"))
+    assert got == {k: v for k, v in want.items()}
+
+
+def test_sorted_replay_of_nothing(spark):
+    df = deliveries(spark, n=3).where("false")
+    assert H.replay_sorted(df, ["ts", "event_id"], lease_seconds=10).count() == 0
+
+
 def test_groups_may_span_batches():
     frame = pd.DataFrame({"job_id": list("aabbbc"), "__seg": [None] * 6, "x": range(6)})
     parts = [frame.iloc[0:1], frame.iloc[1:4], frame.iloc[4:4], frame.iloc[4:6]]
