@@ -121,17 +121,18 @@ def fenced_prompt(text: Column) -> Column:
     )
 
 
-# Identifier patterns and their marks, applied in this order.
+# Identifier patterns and their marks, applied in this order. Digits and
+# white space are those of Unicode, which the JVM's short classes leave out.
 REDACTIONS = (
     (r"[\x00-\x1f\x7f]", "?"),
-    (r'\["(?:\\.|[^"\\])*"\]', '["<redacted>"]'),
-    (r"arn:(?:aws|aws-us-gov|aws-cn):[^\s\]\)\"']+", "<arn>"),
+    (r'\["(?:\\[^\n]|[^"\\])*"\]', '["<redacted>"]'),
+    (r"arn:(?:aws|aws-us-gov|aws-cn):[^\p{IsWhite_Space}\x1c-\x1f\]\)\"']+", "<arn>"),
     (
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
         r"(?![A-Za-z0-9._%+-])",
         "<email>",
     ),
-    (r"(?<![0-9])[0-9]{12}(?![0-9])", "<account-id>"),
+    (r"(?<!\p{Nd})\p{Nd}{12}(?!\p{Nd})", "<account-id>"),
     (
         r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-"
         r"[0-9a-f]{12}(?![0-9a-f])",

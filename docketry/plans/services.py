@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions import text as X
 from docketry.functions import times as TM
 from docketry.functions import variants as V
 from docketry.operators import changes, extract, intake, jobs as J, requests as RQ
@@ -288,3 +289,23 @@ SQL["message_verdicts"] = f"""WITH {O._MSG}, {O._ROUTED}, {O._CLAIMED}, {O._SECO
 SELECT m.message_id, m.error_class <> 'ok' OR coalesce(bool_or(f.retry_reason IS NOT NULL), false) AS failed
 FROM msg m LEFT JOIN (SELECT message_id, retry_reason FROM first_every UNION ALL SELECT message_id, retry_reason FROM second_every) f USING (message_id)
 GROUP BY m.message_id, m.error_class"""
+
+
+@query
+def redact_foreign_digits(t: Tables) -> DataFrame:
+    """Account numbers in other digits, of twelve and of thirteen, and a resource name before a wide space."""
+    number = "lpad(CAST(doc_id AS STRING), 12 + CAST(doc_id % 3 = 0 AS INT), '1')"
+    made = t.read("documents").selectExpr(
+        "doc_id",
+        f"concat('id ', CASE WHEN doc_id % 2 = 0 THEN translate({number}, '0123456789', '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669') "
+        f"ELSE translate({number}, '0123456789', '\u0966\u0967\u0968\u0969\u096a\u096b\u096c\u096d\u096e\u096f') END, "
+        "' arn:aws:s3:::', doc_id, '\u2003end') AS text",
+    )
+    return made.select("doc_id", X.redact(F.col("text")).alias("redacted"))
+
+
+SQL["redact_foreign_digits"] = """
+SELECT doc_id, 'id ' || CASE WHEN doc_id % 3 <> 0 THEN '<account-id>'
+  WHEN doc_id % 2 = 0 THEN translate(lpad(CAST(doc_id AS VARCHAR), 13, '1'), '0123456789', '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669')
+  ELSE translate(lpad(CAST(doc_id AS VARCHAR), 13, '1'), '0123456789', '\u0966\u0967\u0968\u0969\u096a\u096b\u096c\u096d\u096e\u096f') END
+  || ' <arn>\u2003end' AS redacted FROM documents"""

@@ -126,3 +126,11 @@ def test_duration_and_lease(spark):
         TM.lease_expired(TM.as_timestamp("2024-01-01 00:04:59"), TM.as_timestamp("2024-01-01 00:05:00")),
     ).first()
     assert tuple(row) == (1234.568, 0.0, True, False)
+
+
+def test_redaction_of_other_digits_and_spaces(spark):
+    digits = "\u0661" * 12
+    assert one(spark, X.redact, f"x {digits} y") == "x <account-id> y"
+    assert one(spark, X.redact, f"{digits}\u0661 1{digits}") == f"{digits}\u0661 1{digits}"
+    assert one(spark, X.redact, "arn:aws:s3:::b\u00a0c arn:aws:s3:::b\u3000c") == "<arn>\u00a0c <arn>\u3000c"
+    assert one(spark, X.redact, 'a["x\\\u2028y"]') == 'a["<redacted>"]'
