@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.config import IntakeConfig
 from docketry.functions import text as X
+from docketry.session import cut_lineage
 
 CONTENT_TYPE = "text/plain"  # fixed value: the one supported content type
 
@@ -58,15 +59,11 @@ def metadata_error(config: IntakeConfig) -> Column:
     )
 
 
-def check_metadata(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
-    """References with ``object_error`` as far as metadata can tell.
-
-    A reference ``(object_key, version_id, etag, object_size)`` without a
-    version means the latest object. Both cases are one equi join on (key,
-    version label), so a key with very many versions is spread over partitions.
-    No body is read.
-    """
-    stored = _addressed(objects).select(
+def _checked(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
+    """References with ``object_error`` and ``__stored``, the version they came to."""
+    stored = _addressed(
+        objects.select("object_key", "version_id", "is_latest", "size_bytes", "content_type", "etag", "load_error")
+    ).select(
         *_KEY,
         F.lit(True).alias("stored_found"),
         F.col("version_id").alias("stored_version_id"),
@@ -78,7 +75,27 @@ def check_metadata(references: DataFrame, objects: DataFrame, config: IntakeConf
     joined = _asked(references).join(stored, _KEY, "left").withColumn(
         "stored_found", F.coalesce("stored_found", F.lit(False))
     )
-    return joined.select(*references.columns, metadata_error(config).alias("object_error"))
+    return joined.select(
+        *references.columns, metadata_error(config).alias("object_error"), F.col("stored_version_id").alias("__stored")
+    )
+
+
+def check_metadata(references: DataFrame, objects: DataFrame, config: IntakeConfig) -> DataFrame:
+    """References with ``object_error`` as far as metadata can tell.
+
+    A reference ``(object_key, version_id, etag, object_size)`` without a
+    version means the latest object. Both cases are one equi join on (key,
+    version label), so a key with very many versions is spread over partitions.
+    No body is read.
+    """
+    return _checked(references, objects, config).drop("__stored")
+
+
+def _wanted(passed: DataFrame, limit: int) -> DataFrame | None:
+    """The objects that passed, for a broadcast, or None when their keys weigh more than ``limit``."""
+    keys = cut_lineage(passed.select("object_key", "__stored").distinct())
+    size = F.octet_length("object_key") + F.coalesce(F.octet_length("__stored"), F.lit(0)) + 64
+    return F.broadcast(keys) if (keys.agg(F.sum(size)).first()[0] or 0) <= limit else None
 
 
 def load_documents(
@@ -86,19 +103,28 @@ def load_documents(
 ) -> DataFrame:
     """References with ``object_error`` and, when usable, ``document_text``.
 
-    Metadata is checked first, and only references that pass meet the bodies,
-    in an inner join: when the caller has counted them as ``few`` they are
-    broadcast and bodies are filtered where they are read; otherwise both sides
-    are shuffled by key. Bodies over the size limit are left at the scan.
+    Metadata is joined once and names the one stored object of each reference;
+    the result is cut there. Bodies are read in a second pass, once for each
+    object and never over the size limit; where the keys that passed fit a
+    broadcast, bodies are filtered by them at the scan, so no other body is
+    shuffled. A caller that has counted the references as ``few`` broadcasts
+    them whole.
     """
-    checked = check_metadata(references, objects, config)
-    passed = _asked(checked.where(F.col("object_error").isNull()).drop("object_error"))
-    bodies = _addressed(objects.where(F.col("size_bytes") <= config.max_size_bytes)).select(
-        *_KEY, "content"
+    checked = cut_lineage(_checked(references, objects, config))
+    passed = checked.where(F.col("object_error").isNull()).drop("object_error")
+    bodies = objects.where(F.col("size_bytes") <= config.max_size_bytes).select(
+        "object_key", F.col("version_id").alias("__stored"), "content"
     )
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    usable = (F.octet_length("content") == F.col("object_size")) & text.isNotNull()
-    loaded = (F.broadcast(passed) if few else passed).join(bodies, _KEY)
+    same = lambda left, right: (left["object_key"] == right["object_key"]) & left["__stored"].eqNullSafe(right["__stored"])
+    if not few:
+        wanted = _wanted(passed, config.broadcast_bytes)
+        bodies = bodies if wanted is None else bodies.join(wanted, same(bodies, wanted), "left_semi")
+    b, p = bodies.alias("b"), passed.alias("p")
+    loaded = (F.broadcast(p) if few else p).join(
+        b, (F.col("p.object_key") == F.col("b.object_key")) & F.col("p.__stored").eqNullSafe(F.col("b.__stored"))
+    ).select(*[F.col(f"p.{c}") for c in references.columns], F.col("b.content").alias("__content"))
+    text = F.try_validate_utf8(F.col("__content").cast("string"))
+    usable = (F.octet_length("__content") == F.col("object_size")) & text.isNotNull()
     good = loaded.withColumn(
         "object_error", F.when(~F.coalesce(usable, F.lit(False)), INVALID)
     ).withColumn("document_text", F.when(F.col("object_error").isNull(), text))

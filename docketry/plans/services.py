@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as X
 from docketry.functions import times as TM
 from docketry.functions import variants as V
-from docketry.operators import changes, extract, intake, jobs as J, requests as RQ
+from docketry.operators import changes, extract, intake, jobs as J, objects as O_, requests as RQ
 from docketry.plans import oracles as O
 from docketry.plans import pipeline as P
 from docketry.plans.catalog import CONFIG, _processed, _record_view, query, text_or_none, wall
@@ -216,6 +216,53 @@ def change_set_pruned(t: Tables) -> DataFrame:
 SQL["change_set_pruned"] = f"WITH {O._CHANGES} SELECT key, entity, action FROM chg WHERE action <> 'no-op'"
 
 
+@query
+def object_versions(t: Tables) -> DataFrame:
+    """References by version and to the latest: two versions of each object, one of them not UTF-8 here and there."""
+    d = t.read("documents")
+    size = F.octet_length("content").cast("long")
+
+    def version(name: str, content, latest) -> DataFrame:
+        return d.select(
+            "doc_id", F.expr("concat('documents/job-', doc_id, '/source.txt')").alias("object_key"), F.lit(name).alias("version_id"),
+            latest.alias("is_latest"), content.alias("content"),
+        ).select("*", size.alias("size_bytes"), F.lit("text/plain").alias("content_type"), F.md5("content").alias("etag"),
+                 F.lit(None).cast("string").alias("load_error"))
+
+    broken = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("fffe")))
+    first = version("v1", F.when(F.col("doc_id") % 19 == 0, broken).otherwise(F.col("text").cast("binary")), F.col("doc_id") % 5 == 0)
+    second = version("v2", F.concat(F.col("text"), F.lit("!")).cast("binary"), F.col("doc_id") % 5 != 0)
+    stored = first.unionByName(second)
+    asked = F.expr("CASE doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'v9' END END")
+    named = d.select("doc_id", F.expr("concat('documents/job-', doc_id, '/source.txt')").alias("object_key"), asked.alias("version_id"))
+    sizes = first.select("doc_id", F.col("size_bytes").alias("s1"), F.col("etag").alias("e1")).join(
+        second.select("doc_id", F.col("size_bytes").alias("s2"), F.col("etag").alias("e2")), "doc_id"
+    )
+    one = (F.col("version_id") == "v1") | (F.col("version_id").isNull() & (F.col("doc_id") % 5 == 0))
+    references = named.join(sizes, "doc_id").select(
+        "doc_id", "object_key", "version_id", F.when(one, F.col("s1")).otherwise(F.col("s2")).alias("object_size"),
+        F.when(one, F.col("e1")).otherwise(F.col("e2")).alias("etag"),
+    )
+    loaded = O_.load_documents(references, stored.drop("doc_id"), CONFIG)
+    return loaded.select(
+        "doc_id", F.coalesce("version_id", F.lit("latest")).alias("asked"), F.coalesce("object_error", F.lit("usable")).alias("object_error"),
+        F.coalesce(F.md5("document_text"), F.lit("-")).alias("text"),
+    )
+
+
+SQL["object_versions"] = """WITH r AS (
+  SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'v9' END END AS asked,
+    strlen(text) AS n FROM documents
+), s AS (
+  SELECT *, coalesce(asked, CASE WHEN doc_id % 5 = 0 THEN 'v1' ELSE 'v2' END) AS stored FROM r
+), e AS (
+  SELECT *, CASE WHEN n + CASE WHEN stored = 'v1' THEN CASE WHEN doc_id % 19 = 0 THEN 2 ELSE 0 END ELSE 1 END > 2048 THEN 'document_validation_failed'
+    WHEN stored = 'v9' THEN 'document_not_found' WHEN stored = 'v1' AND doc_id % 19 = 0 THEN 'document_validation_failed' ELSE 'usable' END AS object_error FROM s
+)
+SELECT doc_id, coalesce(asked, 'latest') AS asked, object_error,
+  CASE WHEN object_error <> 'usable' THEN '-' WHEN stored = 'v1' THEN md5(text) ELSE md5(text || '!') END AS text FROM e"""
+
+
 # ---- rules that few rows reach --------------------------------------------------
 
 

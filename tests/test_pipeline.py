@@ -322,3 +322,22 @@ def test_jobs_do_not_grow_with_the_length_of_messages(spark):
         return found
 
     assert count(60) <= count(2) + 3
+
+
+def test_objects_are_read_twice_and_bodies_for_passed_keys_only(spark, tmp_path):
+    from docketry.operators import objects as O
+
+    stored = objects(spark, *[(f"j{i}", {}) for i in range(50)])
+    stored.write.parquet(str(tmp_path / "objects"))
+    stored = spark.read.parquet(str(tmp_path / "objects"))
+    references = spark.createDataFrame(
+        [("j1", "documents/j1/source.txt", None, len(TEXT), ETAG), ("j2", "documents/j2/source.txt", None, len(TEXT), "other")],
+        "job_id string, object_key string, version_id string, object_size long, etag string",
+    )
+    loaded = O.load_documents(references, stored, CONFIG)
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 1 and "content#" in scans[0] and "LeftSemi" in plan  # metadata is behind the cut
+    assert sorted((r.job_id, r.object_error, r.document_text) for r in loaded.collect()) == [
+        ("j1", None, TEXT), ("j2", "document_validation_failed", None)
+    ]
