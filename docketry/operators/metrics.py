@@ -64,6 +64,55 @@ def latency_p95(
     )
 
 
+# ---- stored latency summaries ---------------------------------------------------
+
+
+_ZERO = -(1 << 30)  # the bucket of values that are not above zero
+
+
+def latency_summary(telemetry: DataFrame, seconds: int = 60, accuracy: float = 0.01) -> DataFrame:
+    """Counts of latencies per period in buckets whose bounds grow by a fixed ratio, to be stored and merged.
+
+    Bucket ``b`` holds the values above ``ratio**(b - 1)`` up to ``ratio**b``,
+    ratio ``(1 + accuracy) / (1 - accuracy)``. A summary has a row per bucket in
+    use, some 1,000 for each factor of 10**9 at one percent, however many values
+    there are. Values that are not above zero share a bucket; nulls and NaN do not
+    count.
+    """
+    ratio = (1 + accuracy) / (1 - accuracy)
+    value = F.col("duration_ms")
+    bucket = F.when(value > 0, F.ceil(F.log(value) / F.log(F.lit(ratio))).cast("int")).otherwise(_ZERO)
+    counted = telemetry.where(value.isNotNull() & ~F.isnan(value))
+    return counted.groupBy("component", period_start(F.col("ts"), seconds).alias("period_start"), bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def roll_up(summary: DataFrame, seconds: int) -> DataFrame:
+    """Summaries of longer periods; merging adds counts, so nothing is lost on the way from minutes to days."""
+    return summary.groupBy("component", period_start(F.col("period_start"), seconds).alias("period_start"), "bucket").agg(
+        F.sum("n").alias("n")
+    )
+
+
+def summary_quantile(summary: DataFrame, quantile: float, accuracy: float = 0.01) -> DataFrame:
+    """The value of rank ``ceil(quantile * n)`` per period, off by at most ``accuracy`` of itself.
+
+    Ranks are exact: the bucket found is the one that holds the value of that
+    rank, and no value of a bucket is farther from its estimate than that.
+    """
+    ratio = (1 + accuracy) / (1 - accuracy)
+    whole = Window.partitionBy("component", "period_start")
+    below = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as buckets
+    ranked = summary.select("*", F.sum("n").over(below).alias("upto"), F.sum("n").over(whole).alias("total"))
+    rank = F.ceil(F.col("total") * F.lit(quantile))
+    found = ranked.where(F.col("upto") >= rank).groupBy("component", "period_start").agg(
+        F.min("bucket").alias("bucket"), F.first("total").alias("n")
+    )
+    estimate = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(2 * F.pow(F.lit(ratio), F.col("bucket")) / (1 + ratio))
+    return found.select("component", "period_start", "n", estimate.alias("value"))
+
+
 def gauges_at(deliveries: DataFrame, as_of: Column) -> DataFrame:
     """Visible, in-flight and oldest age per queue at one moment.
 

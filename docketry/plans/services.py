@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as X
 from docketry.functions import times as TM
 from docketry.functions import variants as V
-from docketry.operators import changes, extract, intake, jobs as J, objects as O_, requests as RQ
+from docketry.operators import changes, extract, intake, jobs as J, metrics, objects as O_, requests as RQ
 from docketry.plans import oracles as O
 from docketry.plans import pipeline as P
 from docketry.plans.catalog import CONFIG, _processed, _record_view, query, text_or_none, wall
@@ -133,6 +133,35 @@ def request_windows_stream(t: Tables) -> DataFrame:
 SQL["request_windows_stream"] = O._SQL["metric_sums"]
 
 
+@query
+def metric_p95_rollup(t: Tables) -> DataFrame:
+    """95th percentiles of five minutes and of days from stored minute summaries, held against the exact ones."""
+    path = _folder(t, "latency")
+    metrics.latency_summary(t.telemetry(), 60).write.parquet(path)
+    minutes = t.spark.read.parquet(path)
+    five = metrics.roll_up(minutes, 300)
+    out = None
+    for seconds, summary in ((300, five), (86_400, metrics.roll_up(five, 86_400))):
+        exact = t.telemetry().groupBy("component", metrics.period_start(F.col("ts"), seconds).alias("period_start")).agg(
+            F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").alias("exact")
+        )
+        found = metrics.summary_quantile(summary, 0.95).join(exact, ["component", "period_start"], "full")
+        near = F.abs(F.col("value") - F.col("exact")) <= 0.01 * F.abs(F.col("exact")) + 1e-9
+        part = found.select(
+            "component", F.lit(seconds).alias("seconds"), wall("period_start").alias("period_start"), "n", "exact",
+            F.coalesce(near, F.lit(False)).alias("within"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SQL["metric_p95_rollup"] = f"""WITH {O._TELE}
+SELECT component, CAST(300 AS INTEGER) AS seconds, time_bucket(INTERVAL 5 MINUTE, ts) AS period_start, count(*) AS n,
+  quantile_disc(duration_ms, 0.95) AS exact, true AS within FROM tele GROUP BY 1, 3
+UNION ALL
+SELECT component, 86400, time_bucket(INTERVAL 1 DAY, ts), count(*), quantile_disc(duration_ms, 0.95), true FROM tele GROUP BY 1, 3"""
+
+
 # ---- files and requests ---------------------------------------------------------
 
 

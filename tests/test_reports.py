@@ -103,3 +103,32 @@ def test_trace_joins_three_identifier_kinds(spark):
     ]
     df = spark.createDataFrame(rows, "event_id int, ts timestamp, event_name string, correlation_id string, job_id string, processing_attempt_id string")
     assert [(r.event_id, r.stage) for r in TE.trace(df, "c1").collect()] == [(1, "request"), (2, "record"), (3, "provider")]
+
+
+def test_latency_summaries_merge_and_hold_their_bound(spark):
+    import datetime as dt
+    import math
+    import random
+
+    from docketry.operators import metrics
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [("c", start + dt.timedelta(seconds=rng.randrange(7200)), rng.choice([0.0, -3.0, 1e-7, 1.0, rng.lognormvariate(3, 2)])) for _ in range(3000)]
+    rows += [("c", start, None), ("c", start, float("nan")), ("one", start, 42.0)]
+    df = spark.createDataFrame(rows, "component string, ts timestamp, duration_ms double")
+    minutes = metrics.latency_summary(df, 60)
+    for quantile in (0.01, 0.5, 0.95, 1.0):
+        for seconds in (300, 3600):
+            direct, rolled = metrics.latency_summary(df, seconds), metrics.roll_up(metrics.roll_up(minutes, 300), seconds)
+            assert sorted(map(str, direct.collect())) == sorted(map(str, rolled.collect()))
+            got = {(r.component, r.period_start): r for r in metrics.summary_quantile(rolled, quantile).collect()}
+            groups = {}
+            for c, ts, v in rows:
+                if v is not None and not math.isnan(v):
+                    at = start + dt.timedelta(seconds=(ts - start).seconds // seconds * seconds)
+                    groups.setdefault((c, at), []).append(v)
+            assert set(got) == set(groups)
+            for key, values in groups.items():
+                exact = sorted(values)[math.ceil(quantile * len(values)) - 1]
+                assert got[key].n == len(values)
+                assert abs(got[key].value - max(exact, 0)) <= 0.01 * max(exact, 0) * (1 + 1e-9)
