@@ -83,6 +83,39 @@ def worker_cache(name: str, build):
     return store[name]
 
 
+class Memo(dict):
+    """Results by text, bounded in bytes.
+
+    ``begin`` is called before the texts of a piece are learnt: it forgets the
+    long texts of the piece before, and everything once the rest weighs more than
+    ``limit``. So between pieces a memo holds ``limit`` bytes at most, whatever
+    the texts are like.
+    """
+
+    LONGEST = 64  # characters of a text that is kept from piece to piece
+    ENTRY = 160  # bytes of an entry beside its characters, about
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.weight, self.passing = limit, 0, []
+
+    def begin(self) -> None:
+        for text in self.passing:
+            del self[text]
+        self.passing.clear()
+        if self.weight > self.limit:
+            self.clear()
+            self.weight = 0
+
+    def learn(self, text: str, result) -> None:
+        """``text`` is not known yet."""
+        self[text] = result
+        if len(text) > self.LONGEST:
+            self.passing.append(text)
+        else:
+            self.weight += self.ENTRY + 4 * len(text)
+
+
 def _give_back_memory(first: bool) -> None:
     """Freed arrays return to the system, since a worker lives on beside its JVM between stages."""
     try:

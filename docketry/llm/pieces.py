@@ -27,14 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docketry.llm.common import narrow, slices, worker_cache
+from docketry.llm.common import Memo, narrow, slices, worker_cache
 from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 SPACE = "▁"
-MEMO_ENTRIES = 300_000
-PAIR_ENTRIES = 2_000_000
+#: bytes that each of the two memos may keep, and entries of the pairs, whose texts are the vocabulary's own
+MEMO_BYTES = 64 << 20
+PAIR_ENTRIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,7 @@ class PieceCoder:
         self.byte_of = {p: b for b, p in enumerate(table.byte_ids)}
         self.characters = {c for p in self.score for c in p}
         self.pairs: dict[tuple[str, int], bool] = {}
-        self.bare: dict[str, bytes] = {}
-        self.marked: dict[str, bytes] = {}
+        self.bare, self.marked = Memo(MEMO_BYTES), Memo(MEMO_BYTES)
         self.newline = self._ids("\n")
 
     def merge(self, text: str) -> list[str]:
@@ -137,12 +137,11 @@ class PieceCoder:
             n -= len(last[n])
         return ids[::-1].tobytes()
 
-    def _learn(self, memo: dict[str, bytes], lead: str, stretches: set[str]) -> None:
-        if len(memo) + len(stretches) > MEMO_ENTRIES:
-            memo.clear()
+    def _learn(self, memo: Memo, lead: str, stretches: set[str]) -> None:
+        memo.begin()
         for s in stretches:
             if s not in memo:
-                memo[s] = self._ids(lead + s)
+                memo.learn(s, self._ids(lead + s))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers (little-endian)."""

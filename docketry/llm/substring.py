@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.llm import golomb
-from docketry.llm.common import Roller, Words, broadcast_if_small, materialize, mix, narrow, slices, width, worker_cache
+from docketry.llm.common import BROADCAST_BYTES, Roller, Words, materialize, mix, narrow, slices, width, worker_cache
 from docketry.llm.exact import owner_of
 from docketry.shipping import ship_with_tasks
 
@@ -329,7 +329,8 @@ def _kept_words(text: bytes, spans: bytes | None) -> tuple[int, list[bytes]]:
 def _with_spans(rows: DataFrame, spec: Windows) -> DataFrame:
     spans = repeated_spans(rows, spec).withColumnRenamed("sha", "span_sha")
     sha = F.unhex(F.sha2(F.col("text"), 256))
-    return rows.join(broadcast_if_small(spans, 128), sha == F.col("span_sha"), "left").drop("span_sha")
+    weight = spans.agg(F.sum(F.octet_length("spans") + 96)).first()[0] or 0  # spans have no bound of their own
+    return rows.join(F.broadcast(spans) if weight <= BROADCAST_BYTES else spans, sha == F.col("span_sha"), "left").drop("span_sha")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

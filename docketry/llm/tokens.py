@@ -12,12 +12,13 @@ import re
 import zlib
 from array import array
 
-from docketry.llm.common import worker_cache
+from docketry.llm.common import Memo, worker_cache
 from docketry.shipping import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-MEMO_ENTRIES = 400_000
+#: bytes that each of the two memos may keep
+MEMO_BYTES = 64 << 20
 
 
 def _library(content: bytes):
@@ -114,34 +115,31 @@ class WordBpeCounter:
         self.library = _library(content)
         self.marks = [t["content"][:2] for t in json.loads(content)["added_tokens"]]
         self.proven = frozenset(proven)
-        self.memo: dict[str, int] = {}
-        self.merged: dict[str, int] = {}
+        self.memo = Memo(MEMO_BYTES)
+        self.merged = Memo(MEMO_BYTES)
 
     def _merge(self, texts: list[str]) -> None:
-        if len(self.merged) + len(texts) > MEMO_ENTRIES:
-            self.merged.clear()
         encoded = self.library.encode_batch(texts, add_special_tokens=False)
-        self.merged.update(zip(texts, [len(e.ids) for e in encoded]))
+        for text, e in zip(texts, encoded):
+            self.merged.learn(text, len(e.ids))
 
     def _learn(self, stretches: set[str]) -> None:
-        if len(self.memo) + len(stretches) > MEMO_ENTRIES:
-            self.memo.clear()
+        self.memo.begin()
+        self.merged.begin()
         parts = {}
         for s in stretches:
             if s in self.memo:
                 continue
             if s in self.proven:
-                self.memo[s] = 1
+                self.memo.learn(s, 1)
             elif s.isascii() and not any(m in s for m in self.marks):
                 parts[s] = self._pretokens.findall(s.lower())
             else:
                 parts[s] = [s]
         rest = {p for pieces in parts.values() for p in pieces if p not in self.proven}
-        if len(self.merged) + len(rest) > MEMO_ENTRIES:
-            self.merged.clear()
         self._merge([p for p in rest if p not in self.merged])
         for s, pieces in parts.items():
-            self.memo[s] = sum(1 if p in self.proven else self.merged[p] for p in pieces)
+            self.memo.learn(s, sum(1 if p in self.proven else self.merged[p] for p in pieces))
 
     def count(self, texts: list[str]) -> list[int]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]

@@ -44,7 +44,7 @@ def test_byte_ids_agree(texts):
 
 
 def test_small_memo(texts, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 50)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 5000)
     content = open(WORDS, "rb").read()
     library, counter = Tokenizer.from_file(WORDS), tokens.WordBpeCounter(content, tokens.proven_whole_tokens(content))
     assert [counter.count([t])[0] for t in texts] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
@@ -72,3 +72,16 @@ def test_edges(spark):
         ("1", 0, 0, False), ("1", 0, 0, False), ("2", 3, 2, True), ("None", 0, 0, False)
     ]
     assert counting.count_tokens(docs.where("false"), WORDS).count() == 0
+
+
+def test_memos_are_bounded_in_bytes(monkeypatch):
+    """Texts without blanks leave nothing behind, many short ones no more than the bound."""
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 20_000)
+    content = open(WORDS, "rb").read()
+    counter = tokens.WordBpeCounter(content, tokens.proven_whole_tokens(content))
+    for k in range(30):
+        counter.count([f"x{k}y" * 5000, "é" * 4000 + str(k)] + [f"w{k}q{i}" for i in range(20)])
+    counter.count([""])
+    for memo in (counter.memo, counter.merged):
+        assert max(map(len, memo), default=0) <= memo.LONGEST
+        assert sum(memo.ENTRY + 4 * len(s) for s in memo) <= 20_000 + 25 * 400

@@ -80,3 +80,14 @@ def test_suspects_by_chance_fall_away(spark, monkeypatch):
     monkeypatch.setattr(exact, "SPARE_BITS", -20)
     monkeypatch.setattr(exact, "_digest", exact._digest)
     assert exact.mark_duplicates(docs).where("group_size > 1").count() == 0
+
+
+def test_codes_do_not_pay_for_where_values_lie():
+    """A message of every owner: near the entropy of its gaps, whatever the owner's range."""
+    rng, bits, owners = np.random.default_rng(1), 43, 200
+    values = np.unique(rng.integers(0, 1 << bits, 1_000_000).astype(np.uint64))
+    owner = exact.owner_of(values, owners, bits)
+    parts = [values[owner == k] for k in range(owners)]
+    coded = [golomb.encode(p) for p in parts]
+    assert all((golomb.decode(c, len(p)) == p).all() for c, p in zip(coded, parts))
+    assert 8 * sum(map(len, coded)) / len(values) < 26

@@ -30,7 +30,7 @@ def test_ids_agree(spark, monkeypatch):
     texts = [d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()] + HARD + [noise(i) for i in range(500)]
     want = library.encode(texts)
     for entries in (300_000, 40):
-        monkeypatch.setattr(pieces, "MEMO_ENTRIES", entries)
+        monkeypatch.setattr(pieces, "MEMO_BYTES", 100 * entries)
         coder = pieces.PieceCoder(pieces.load_pieces(MODEL))
         got = [np.frombuffer(i, "<u4").tolist() for k in range(0, len(texts), 50) for i in coder.encode(texts[k : k + 50])]
         for text, g, w in zip(texts, got, want):
