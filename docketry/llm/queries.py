@@ -42,6 +42,53 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.withColumnRenamed("id", "doc_id")
 
 
+def _quality_sql() -> str:
+    """Counts per text over lists of words; each length of n-gram has its windows."""
+    rules = quality.QualityRules()
+    words = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    parts = [f"""d AS MATERIALIZED (
+        SELECT doc_id, coalesce(text, '') AS t, {words} AS ws FROM documents
+    )""", """l AS (
+        SELECT doc_id, count(*) AS n_dup_lines, sum(length(line)) AS dup_line_chars FROM (
+            SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS k
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
+        ) WHERE k > 1 GROUP BY doc_id
+    )"""]
+    joins, measures = [], []
+    for n in sorted(rules.ngram_chars):
+        parts.append(f"""g{n} AS (
+            SELECT doc_id, ws, s, count(*) OVER (PARTITION BY doc_id, g) AS n, row_number() OVER (PARTITION BY doc_id, g ORDER BY s) AS k
+            FROM (SELECT doc_id, ws, s, array_to_string(ws[s : s + {n - 1}], ' ') AS g
+                  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS s FROM d))
+        )""")
+        parts.append(f"""c{n} AS (
+            SELECT doc_id, sum(length(w)) AS chars FROM (
+                SELECT DISTINCT doc_id, p, ws[p] AS w FROM (SELECT doc_id, ws, unnest(range(s, s + {n})) AS p FROM g{n} WHERE k > 1)
+            ) GROUP BY doc_id
+        )""")
+        joins.append(f"LEFT JOIN c{n} USING (doc_id)")
+        measures.append(f"CAST(coalesce(c{n}.chars, 0) AS BIGINT) AS ngram_chars_{n}")
+    base = rules.base_window
+    parts.append(f"""r AS (
+        SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+        FROM (SELECT doc_id, unnest(range(s, s + {base})) AS p FROM g{base} WHERE n > 1) GROUP BY doc_id
+    )""")
+    parts.append(f"""m AS (
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+            CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars, CAST(length(t) AS BIGINT) AS text_chars, {", ".join(measures)}
+        FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) {" ".join(joins)}
+    )""")
+    failed = f"(n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.base_percent} * n_words)"
+    limits = "".join(f" AND ngram_chars_{n} <= CAST({limit} AS DOUBLE) * word_chars" for n, limit in rules.ngram_chars.items())
+    return f"""WITH {", ".join(parts)}
+        SELECT *, {failed} AS base_failed, NOT {failed} AND dup_line_chars <= CAST({rules.line_chars} AS DOUBLE) * text_chars{limits} AS kept FROM m"""
+
+
+_SQL["op8_quality_rules"] = _quality_sql()
+
+
 @query
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact.mark_duplicates(table(spark, sf_dir, "documents"))
