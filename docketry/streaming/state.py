@@ -80,7 +80,9 @@ def run_state_machine(deliveries: DataFrame, *, lease_seconds: int) -> DataFrame
 
 
 def use_rocksdb(spark) -> None:
+    """Keyed state in RocksDB; a batch stores what it changed, not a copy of each store."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
