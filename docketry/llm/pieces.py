@@ -34,7 +34,7 @@ ship_with_tasks(__name__)
 
 SPACE = "▁"
 #: bytes that each of the two memos may keep, and entries of the pairs, whose texts are the vocabulary's own
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 PAIR_ENTRIES = 1_000_000
 
 

@@ -18,7 +18,7 @@ from docketry.shipping import ship_with_tasks
 ship_with_tasks(__name__)
 
 #: bytes that each of the two memos may keep
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 
 
 def _library(content: bytes):
