@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,6 +50,7 @@ from docketry.shipping import ship_with_tasks
 ship_with_tasks(__name__)
 
 PIECE_BYTES = 8 << 20
+CHUNK = 2048  # texts encoded at once
 # a space beside other white space, or at an end
 _ODD_SPACE = re.compile(r"\s | \s|^\s|\s$|^$")
 
@@ -116,14 +118,17 @@ class Aligner:
         piece = self.model.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[array], list[array]]:
         """Ids of either tokenizer over space + text; none for texts whose bytes they do not give."""
-        of_first = [self.coder.encode_ordinary(" " + t) for t in texts]
-        of_second = self.model.encode(texts, num_threads=1)
-        for k, t in enumerate(texts):
-            raw = b" " + t.encode()
-            if b"".join(map(self.first.__getitem__, of_first[k])) != raw or b"".join(map(self.second.__getitem__, of_second[k])) != raw:
-                of_first[k], of_second[k] = [], []
+        of_first, of_second = [], []
+        for k in range(0, len(texts), CHUNK):  # ids as objects for one chunk only
+            chunk = texts[k : k + CHUNK]
+            for t, second in zip(chunk, self.model.encode(chunk, num_threads=1)):
+                raw, first = b" " + t.encode(), self.coder.encode_ordinary(" " + t)
+                if b"".join(map(self.first.__getitem__, first)) != raw or b"".join(map(self.second.__getitem__, second)) != raw:
+                    first = second = ()
+                of_first.append(array("I", first))
+                of_second.append(array("I", second))
         return of_first, of_second
 
 
