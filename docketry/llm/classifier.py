@@ -216,11 +216,12 @@ def train(
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, score``. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    training, shared = model.training, docs.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Model(training, shared.value)
         for batch in slices(batches, 1):
-            found = scores(batch.column(1).cast(pa.string()), shared.value)
+            found = scores(batch.column(1).cast(pa.string()), held)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "score"])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "id long, score double")
