@@ -232,7 +232,7 @@ def write_archives(
         .withColumn("bucket", _bucket(low, step))
         .join(F.broadcast(numbers), "bucket")  # a fixed number of rows
         .select("shard", "id", "url", "html", "sha", "n", "best")
-        .repartition(number, "shard")
+        .repartitionByRange(number, "shard")  # by hash, several shards would meet in one task
         .sortWithinPartitions("shard", "id", "sha", "url")
     )
     manifest = f"manifest-{uuid.uuid4().hex}"
