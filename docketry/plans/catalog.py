@@ -488,10 +488,12 @@ def process_captured_responses(t: Tables) -> DataFrame:
     attempts = events.select(
         attempt.alias("attempt_id"), F.regexp_extract("job_id", r"([0-9]+)\z", 1).cast("long").alias("doc_id")
     )
+    path = f"{shared_dir(t.spark)}/captured-{uuid.uuid4().hex}"
     captured = attempts.where("doc_id % 17 <> 5").join(t.responses().drop("attempt_id"), "doc_id")
+    captured.select("attempt_id", "response_json", "error_code").write.parquet(path)
     run = P.process_uploads(
         t.messages(), t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG,
-        extractor=extract.captured_extractor(captured.select("attempt_id", "response_json", "error_code")),
+        extractor=extract.captured_extractor(files.captured_responses(t.spark, path)),
     )
     return _record_view(run.records)
 

@@ -16,7 +16,7 @@ from docketry.plans import pipeline as P
 from docketry.plans.catalog import CONFIG, _processed, _record_view, query, text_or_none, wall
 from docketry.plans.fixtures import AS_OF, Tables
 from docketry.session import shared_dir
-from docketry.sources import files, snapshots
+from docketry.sources import files, queue_source as queue_files, snapshots
 from docketry.sources.job_store import JobStore
 from docketry.streaming import intake as SI
 
@@ -77,6 +77,34 @@ UNION ALL SELECT 'undelivered', message_id, CASE WHEN event_id % 4 + 1 >= 3 THEN
 UNION ALL SELECT 'job', job_id, status, CAST(attempts AS VARCHAR) FROM ({_JOB_TABLE[_JOB_TABLE.index("SELECT j.job_id"):]})"""
 
 
+@query
+def queue_source(t: Tables) -> DataFrame:
+    """The queue files, and some damaged ones, through the data source, in partitions of 256 KB."""
+    root = _folder(t, "queue-source")
+    _queue_files(t, f"{root}/queue")
+    damaged = t.read("documents").where("doc_id < 10").select(
+        F.col("doc_id").alias("b"), F.concat(F.lit('{"Records":['), F.to_json(F.struct("text")), F.lit(",")).alias("value")
+    )
+    damaged.repartition("b").write.partitionBy("b").text(f"{root}/queue/damaged")
+    t.spark.dataSource.register(queue_files.QueueSource)
+    read = t.spark.read.format("docketry_queue").option("partitionBytes", str(256 << 10)).load(f"{root}/queue")
+    named = read.select(
+        F.coalesce("message_id", F.regexp_extract("batch_id", "b=([0-9]+)/[^/]*$", 1)).alias("id"), wall("sent_ts").alias("sent_ts"),
+        F.col("receive_count").cast("long").alias("receive_count"), text_or_none("batch_error").alias("batch_error"),
+        F.coalesce(F.md5("body"), F.lit("-")).alias("body"),
+    )
+    bodies = t.messages().select(F.col("message_id").alias("id"), F.md5("body").alias("sent_body"))
+    return named.join(bodies, "id", "left").select(
+        "id", F.when(F.col("batch_error") == "-", F.col("sent_ts")).alias("sent_ts"), "receive_count", "batch_error",
+        (F.col("body") == F.coalesce("sent_body", F.lit("-"))).alias("same_body"),
+    )
+
+
+SQL["queue_source"] = """
+SELECT 'm-' || event_id AS id, date_trunc('millisecond', ts) AS sent_ts, event_id % 4 + 1 AS receive_count, '-' AS batch_error, true AS same_body FROM events
+UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 1, 'malformed_queue_event', true FROM documents WHERE doc_id < 10"""
+
+
 @query
 def reconciliation_stream(t: Tables) -> DataFrame:
     """Dead letters through their stream: its records, and the jobs it marked in the store."""
