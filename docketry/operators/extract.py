@@ -46,6 +46,17 @@ def rule_result(text: Column, correlation_id: Column, attempt_id: Column) -> Col
     )
 
 
+def bounded(extractor: Extractor, tasks: int) -> Extractor:
+    """The extractor in at most ``tasks`` tasks at a time, for a provider that takes so many calls at once.
+
+    Rows are dealt by job id; a number of partitions that is asked for is neither
+    merged nor split when the plan adapts.
+    """
+    if tasks < 1:
+        raise ValueError("at least one task")
+    return lambda rows: extractor(rows.repartition(tasks, "job_id"))
+
+
 def rule_extractor(rows: DataFrame) -> DataFrame:
     """Deterministic extractor; a ``planned_outcome`` column, when present, can
     replace success by any other provider outcome."""

@@ -320,6 +320,19 @@ SELECT doc_id, coalesce(asked, 'latest') AS asked, object_error,
   CASE WHEN object_error <> 'usable' THEN '-' WHEN stored = 'v1' THEN md5(text) ELSE md5(text || '!') END AS text FROM e"""
 
 
+@query
+def process_bounded(t: Tables) -> DataFrame:
+    """The batch with an extractor that runs in five tasks at most."""
+    run = P.process_uploads(
+        t.messages(), t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG, plan=t.provider_plan(),
+        extractor=extract.bounded(extract.rule_extractor, 5),
+    )
+    return _record_view(run.records)
+
+
+SQL["process_bounded"] = O._SQL["process_batch_outcomes"]
+
+
 # ---- rules that few rows reach --------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import variants as V
@@ -192,3 +193,13 @@ def test_no_success_without_a_valid_result(spark):
     assert [r.provider_outcome for r in rows] == [c[2] for c in cases]
     assert [r.result_json is not None for r in rows] == [c[2] == "success" for c in cases]
     assert json.loads(rows[0].result_json)["summary"] == "s"
+
+
+def test_a_bounded_extractor_runs_in_so_many_tasks(spark):
+    rows = spark.range(500).selectExpr("concat('j', id) AS job_id").repartition(11)
+    seen = lambda df: df.withColumn("task", F.spark_partition_id())
+    assert seen(rows).select("task").distinct().count() == 11
+    out = extract.bounded(seen, 5)(rows)
+    assert out.select("task").distinct().count() == 5 and out.count() == 500
+    with pytest.raises(ValueError):
+        extract.bounded(seen, 0)
