@@ -1023,13 +1023,9 @@ def stream_owner_finalize(t: Tables) -> DataFrame:
 def binary_file_source(t: Tables) -> DataFrame:
     """Documents written as text objects and read back with the size filter."""
     root = f"{shared_dir(t.spark)}/objects-{uuid.uuid4().hex}"
-    t.read("documents").select(
-        F.concat(F.lit("job-"), F.col("doc_id")).alias("job_id"), F.col("text").alias("value")
-    ).repartition("job_id").write.partitionBy("job_id").text(root)
-    found = files.text_objects(
-        t.spark, root, max_size_bytes=CONFIG.max_size_bytes,
-        file_glob="*.txt", owner_pattern=r"job_id=([^/]+)/[^/]+\z",
-    )
+    rows = t.read("documents").select(F.concat(F.lit("job-"), F.col("doc_id")).alias("owner"), F.col("text").alias("value"))
+    folders = files.write_text_objects(rows, root)
+    found = files.text_objects(t.spark, folders, max_size_bytes=CONFIG.max_size_bytes)
     return found.select(
         "object_key", "size_bytes", text_or_none("etag").alias("etag"),
         F.col("content").isNotNull().alias("has_body"),

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import schemas as S
 from docketry.functions import text as X
 from docketry.functions import variants as V
+from docketry.shipping import ship_with_tasks
+
+ship_with_tasks(__name__)
+
+# text objects are dealt to this many folders, each listed by a task of its own
+OBJECT_FOLDERS = 256
 
 
 def _reader(spark: SparkSession, streaming: bool, max_files: int | None = None):
@@ -59,9 +69,52 @@ def messages(spark: SparkSession, path: str, *, streaming: bool = False, max_fil
     return _reader(spark, streaming, max_files).schema(S.MESSAGE).parquet(path)
 
 
+def _text_writer(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        held, stream, made = None, None, 0
+        for batch in batches:
+            for folder, owner, line in zip(*(column.to_pylist() for column in batch.columns)):
+                if owner != held:
+                    if stream is not None:
+                        stream.close()
+                    path = f"{base}/{folder:03d}/documents/{owner}"
+                    system.create_dir(path)
+                    held, stream, made = owner, system.open_output_stream(f"{path}/source.txt"), made + 1
+                stream.write((line or b"") + b"\n")
+        if stream is not None:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["made"])
+
+    return write
+
+
+def write_text_objects(rows: DataFrame, root: str, folders: int = OBJECT_FOLDERS) -> list[str]:
+    """Rows ``(owner, value)`` to one text object each owner, ``<root>/<folder>/documents/<owner>/source.txt``.
+
+    Every value is a line of its object, as Spark's text writer puts it, and rows
+    without an owner share the object of Hive's default partition. The tasks write
+    their objects themselves; nothing is committed file by file on the driver.
+    Returns the folders, as ``text_objects`` takes them.
+    """
+    spark = rows.sparkSession
+    owner = F.coalesce("owner", F.lit("__HIVE_DEFAULT_PARTITION__"))
+    dealt = rows.select(
+        F.pmod(F.xxhash64(owner), F.lit(folders)).cast("int").alias("folder"), owner.alias("owner"), F.col("value").cast("binary").alias("value")
+    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt.repartition(parts, "owner").sortWithinPartitions("owner")
+    placed.mapInArrow(_text_writer(root), "made long").agg(F.sum("made")).collect()
+    system, base = fs.FileSystem.from_uri(root)
+    if system.get_file_info(base).type == fs.FileType.NotFound:
+        system.create_dir(base)
+    found = system.get_file_info(fs.FileSelector(base))
+    return sorted(f"{root}/{f.base_name}" for f in found if f.type == fs.FileType.Directory) or [root]
+
+
 def text_objects(
     spark: SparkSession,
-    root: str,
+    root: str | Sequence[str],
     *,
     max_size_bytes: int | None = None,
     file_glob: str = "source.txt",
@@ -70,7 +123,8 @@ def text_objects(
     """Objects ``<root>/documents/<id>/source.txt`` as stored objects.
 
     ``owner_pattern`` finds the owner id in a file path; files of other names
-    or places keep a null key.
+    or places keep a null key. Of many objects give the folders above them as a
+    list: each is listed whole by one task.
 
     The length limit is a filter on file metadata: bodies over it are not read,
     their rows stay with a null body.
@@ -79,7 +133,7 @@ def text_objects(
         spark.read.format("binaryFile")
         .option("pathGlobFilter", file_glob)
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(root if isinstance(root, str) else list(root))
     )
     owner = F.regexp_extract("path", owner_pattern, 1)
     named = files.withColumn("object_key", X.build_object_key(owner))

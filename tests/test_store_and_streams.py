@@ -160,6 +160,19 @@ def test_text_objects_skip_large_bodies(spark, tmp_path):
     assert got == [("documents/j1/source.txt", 5, bytearray(b"hello")), ("documents/j2/source.txt", 50, None)]
 
 
+def test_text_objects_written_and_listed_by_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(f"j{n}", "x" * n) for n in range(150)] + [("j1", "again"), ("j2", None), (None, "lost")], "owner string, value string")
+    folders = files.write_text_objects(rows, str(tmp_path / "objects"), folders=40)
+    assert 32 < len(folders) <= 40  # above Spark's threshold, so folders and not objects are the listing's tasks
+    found = files.text_objects(spark, folders, max_size_bytes=30)
+    got = {r.object_key: (r.size_bytes, r.content and bytes(r.content)) for r in found.collect()}
+    sizes = {f"documents/j{n}/source.txt": n + 1 for n in range(150)} | {"documents/__HIVE_DEFAULT_PARTITION__/source.txt": 5}
+    sizes |= {"documents/j1/source.txt": 8, "documents/j2/source.txt": 4}
+    assert {k: v[0] for k, v in got.items()} == sizes
+    assert got["documents/j7/source.txt"][1] == b"x" * 7 + b"\n" and got["documents/j30/source.txt"][1] is None
+    assert got["documents/j2/source.txt"][1] in (b"xx\n\n", b"\nxx\n")
+
+
 def test_access_log(spark, tmp_path):
     (tmp_path / "log").write_text(json.dumps({"requestId": "r", "requestTimeEpoch": "1706745600000", "status": "404",
                                               "responseLength": "-", "integrationLatency": "12"}) + "\n{bad\n")
