@@ -1025,7 +1025,7 @@ def binary_file_source(t: Tables) -> DataFrame:
     root = f"{shared_dir(t.spark)}/objects-{uuid.uuid4().hex}"
     rows = t.read("documents").select(F.concat(F.lit("job-"), F.col("doc_id")).alias("owner"), F.col("text").alias("value"))
     folders = files.write_text_objects(rows, root)
-    found = files.text_objects(t.spark, folders, max_size_bytes=CONFIG.max_size_bytes)
+    found = files.text_objects(t.spark, folders, max_size_bytes=CONFIG.max_size_bytes, owner_pattern=files.OWNER_FOLDER)
     return found.select(
         "object_key", "size_bytes", text_or_none("etag").alias("etag"),
         F.col("content").isNotNull().alias("has_body"),

@@ -18,6 +18,8 @@ ship_with_tasks(__name__)
 
 # text objects are dealt to this many folders, each listed by a task of its own
 OBJECT_FOLDERS = 256
+# Spark hides folders whose names begin with _ or ., so the owner does not stand alone
+OWNER_FOLDER = r"owner=([^/]+)/source\.txt\z"
 
 
 def _reader(spark: SparkSession, streaming: bool, max_files: int | None = None):
@@ -78,7 +80,7 @@ def _text_writer(root: str):
                 if owner != held:
                     if stream is not None:
                         stream.close()
-                    path = f"{base}/{folder:03d}/documents/{owner}"
+                    path = f"{base}/{folder:03d}/owner={owner}"
                     system.create_dir(path)
                     held, stream, made = owner, system.open_output_stream(f"{path}/source.txt"), made + 1
                 stream.write((line or b"") + b"\n")
@@ -90,12 +92,12 @@ def _text_writer(root: str):
 
 
 def write_text_objects(rows: DataFrame, root: str, folders: int = OBJECT_FOLDERS) -> list[str]:
-    """Rows ``(owner, value)`` to one text object each owner, ``<root>/<folder>/documents/<owner>/source.txt``.
+    """Rows ``(owner, value)`` to one text object each owner, ``<root>/<folder>/owner=<owner>/source.txt``.
 
     Every value is a line of its object, as Spark's text writer puts it, and rows
     without an owner share the object of Hive's default partition. The tasks write
     their objects themselves; nothing is committed file by file on the driver.
-    Returns the folders, as ``text_objects`` takes them.
+    Returns the folders, as ``text_objects`` takes them with ``OWNER_FOLDER``.
     """
     spark = rows.sparkSession
     owner = F.coalesce("owner", F.lit("__HIVE_DEFAULT_PARTITION__"))

@@ -106,3 +106,14 @@ def test_sequencers_of_any_length(spark):
     rows = [("k", "m1", 0, "F" * 65), ("k", "m2", 0, "1" + "0" * 65), ("z", "m3", 0, "00b"), ("z", "m4", 0, "A"), ("n", "m5", 0, None)]
     df = spark.createDataFrame(rows, "object_key string, message_id string, rec_pos int, sequencer string")
     assert sorted(r.message_id for r in intake.latest_by_sequencer(df).collect()) == ["m2", "m3", "m5"]
+
+
+def test_second_documents_spread_the_events_without_one(spark):
+    """The join to second documents has a key that differs among the events that have none."""
+    from docketry.plans.fixtures import Tables
+
+    messages = Tables(spark, "/root/testdata/sf0.001").messages(two_records=True)
+    plan = messages._jdf.queryExecution().optimizedPlan().toString()
+    left = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(left) == 1 and "spread" in left[0]
+    assert messages.where("body LIKE '%},{%'").count() > 0

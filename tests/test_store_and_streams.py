@@ -164,7 +164,7 @@ def test_text_objects_written_and_listed_by_folders(spark, tmp_path):
     rows = spark.createDataFrame([(f"j{n}", "x" * n) for n in range(150)] + [("j1", "again"), ("j2", None), (None, "lost")], "owner string, value string")
     folders = files.write_text_objects(rows, str(tmp_path / "objects"), folders=40)
     assert 32 < len(folders) <= 40  # above Spark's threshold, so folders and not objects are the listing's tasks
-    found = files.text_objects(spark, folders, max_size_bytes=30)
+    found = files.text_objects(spark, folders, max_size_bytes=30, owner_pattern=files.OWNER_FOLDER)
     got = {r.object_key: (r.size_bytes, r.content and bytes(r.content)) for r in found.collect()}
     sizes = {f"documents/j{n}/source.txt": n + 1 for n in range(150)} | {"documents/__HIVE_DEFAULT_PARTITION__/source.txt": 5}
     sizes |= {"documents/j1/source.txt": 8, "documents/j2/source.txt": 4}
