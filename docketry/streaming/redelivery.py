@@ -4,7 +4,7 @@ A message that is sent is delivered at once and hidden for the wait of its level
 Handled in time and well, it is acknowledged and forgotten. Otherwise its timer
 delivers it again; after the receives of its level it moves to the next level
 (work queue, then dead-letter queue), and behind the last one to quarantine. State
-is one small row per message that is not settled.
+is a few numbers per message that is not settled, held in hash buckets of messages.
 
 The stream reads two kinds of rows, ``sent`` and ``handled``, and ticks that move
 the clock when nothing else arrives. Event time is ``clock``, when a row reached
@@ -28,6 +28,7 @@ from docketry.plans import pipeline as P
 from docketry.shipping import ship_with_tasks
 from docketry.sources import sinks
 from docketry.sources.job_store import JobStore
+from docketry.streaming.buckets import BUCKETS, run_in_buckets
 from docketry.streaming.state import use_rocksdb
 
 ship_with_tasks(__name__)
@@ -125,18 +126,18 @@ class DelayQueue(StatefulProcessor):
         pass
 
 
-def delay_queue(events: DataFrame, config: IntakeConfig = IntakeConfig()) -> DataFrame:
+def delay_queue(events: DataFrame, config: IntakeConfig = IntakeConfig(), *, buckets: int = BUCKETS) -> DataFrame:
     """A stream of ``EVENTS`` to a stream of outcomes ``message_id, kind, level, receive_count, at``.
 
     Rows without a message id can not be answered and are left out. Needs the
-    RocksDB state store.
+    RocksDB state store. ``buckets`` stays as it is over the life of a checkpoint.
     """
+    # ticks have no time of their own
+    us = F.when(F.col("kind").isin("sent", "handled"), F.unix_micros("ts")).otherwise(0)
     known = events.withWatermark("clock", "0 seconds").where("message_id is not null").select(
-        "message_id", "kind", "level", "receive_count", "ok", F.unix_micros("ts").alias("us"), "clock"
-    )
-    out = known.groupBy("message_id").transformWithState(
-        statefulProcessor=DelayQueue(levels(config)), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime"
+        "message_id", "kind", "level", "receive_count", "ok", us.alias("us"), "clock"
     )
+    out = run_in_buckets(known, DelayQueue(levels(config)), key="message_id", state=_STATE, outcomes=OUTCOMES, buckets=buckets)
     return out.select("message_id", "kind", "level", "receive_count", F.timestamp_micros("us").alias("at"))
 
 
