@@ -23,6 +23,7 @@ from docketry import schemas as S
 from docketry.operators import jobs as J, outcomes as R
 from docketry.shipping import ship_with_tasks
 from docketry.sources import sinks
+from docketry.streaming.buckets import BUCKETS, run_in_buckets
 
 ship_with_tasks(__name__)
 
@@ -104,18 +105,17 @@ class OwnedJob(StatefulProcessor):
         pass
 
 
-def owned_jobs(events: DataFrame, *, lease_seconds: int) -> DataFrame:
+def owned_jobs(events: DataFrame, *, lease_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """A stream of ``job_id, attempt_id, kind, ts, arrived`` to the outcome of every event, with its ``side``.
 
     Unknown kinds and rows without job or attempt have the side ``malformed``
-    upstream (``malformed_events``) and are left out here. Needs RocksDB.
+    upstream (``malformed_events``) and are left out here. Needs RocksDB. ``buckets``
+    stays as it is over the life of a checkpoint.
     """
     known = events.withWatermark("arrived", "0 seconds").where(_well_formed()).select(
         "job_id", "attempt_id", "kind", F.unix_micros("ts").alias("us"), "arrived"
     )
-    out = known.groupBy("job_id").transformWithState(
-        statefulProcessor=OwnedJob(lease_seconds), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime"
-    )
+    out = run_in_buckets(known, OwnedJob(lease_seconds), key="job_id", state=_STATE, outcomes=OUTCOMES, buckets=buckets)
     side = F.lit("applied")
     for outcome, name in _SIDES.items():
         side = F.when(F.col("outcome") == outcome, name).otherwise(side)
