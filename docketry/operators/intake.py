@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,112 +22,87 @@ MALFORMED_BATCH = "malformed_queue_event"
 _EVENT_NAME = r"^ObjectCreated:.+$"
 
 
-# Texts of a notification in one pass. It turns any scalar into text, so each
-# value is used only where the VARIANT says that the field is a JSON string.
-_TEXTS = (
-    "Records array<struct<eventName string, s3 struct<bucket struct<name string>, "
-    "object struct<key string, size string, eTag string, sequencer string, versionId string>>>>"
-)
-
-
-def _raw_record(record: Column, texts: Column) -> Column:
-    """Fields of one notification record as they are; null when absent or mistyped.
-
-    A text below ``s3.bucket`` or ``s3.object`` exists only when those are
-    objects, so only ``s3.object`` itself needs a test of its own.
-    """
-    obj = texts["s3"]["object"]
-
-    def text(name: str, path: str, quick: Column) -> Column:
-        at = V.get(record, path)
-        exact = F.coalesce(quick, F.try_variant_get(at, "$", "string"))
-        return F.when(V.kind(at) == "STRING", exact).alias(name)
-
-    at_size = V.get(record, "$.s3.object.size")
-    size = F.when(
-        V.kind(at_size) == "BIGINT",
-        F.coalesce(obj["size"].try_cast("bigint"), F.try_variant_get(at_size, "$", "bigint")),
-    )
-    return F.struct(
-        text("event_name", "$.eventName", texts["eventName"]),
-        V.is_object(record, "$.s3.object").alias("has_object"),
-        text("bucket_name", "$.s3.bucket.name", texts["s3"]["bucket"]["name"]),
-        text("encoded_key", "$.s3.object.key", obj["key"]),
-        size.alias("object_size"),
-        text("etag", "$.s3.object.eTag", obj["eTag"]),
-        V.present(record, "$.s3.object.eTag").alias("etag_given"),
-        text("sequencer", "$.s3.object.sequencer", obj["sequencer"]),
-        V.present(record, "$.s3.object.sequencer").alias("sequencer_given"),
-        text("version_id", "$.s3.object.versionId", obj["versionId"]),
-        V.present(record, "$.s3.object.versionId").alias("version_id_given"),
-    )
+# A notification record in one cast. Leaves stay VARIANT, so that a text is told from a number or a
+# JSON null; what is not an object where one belongs is null.
+_LEAVES = ", ".join(f"{n}: variant" for n in ("key", "size", "eTag", "sequencer", "versionId"))
+_RECORDS = f"array<struct<eventName: variant, s3: struct<bucket: struct<name: variant>, object: struct<{_LEAVES}>>>>"
 
+Fields = Callable[[str], Column]  # the fields of one record by name
 
 _REQUIRED = ("event_name", "bucket_name", "encoded_key")
 _OPTIONAL = ("etag", "sequencer", "version_id")
 
 
-def _strip_record(raw: Column) -> Column:
-    names = (*_REQUIRED, *_OPTIONAL)
-    rest = ("has_object", "object_size", *[f"{n}_given" for n in _OPTIONAL])
-    return F.struct(
-        *[X.strip(raw[n]).alias(n) for n in names], *[raw[n].alias(n) for n in rest]
-    )
+def _raw_fields(record: Column) -> dict[str, Column]:
+    """Fields of one notification record as they are; null when absent or mistyped."""
+    s3 = record["s3"]
+    obj = s3["object"]
+    texts = {
+        "event_name": record["eventName"], "bucket_name": s3["bucket"]["name"], "encoded_key": obj["key"],
+        "etag": obj["eTag"], "sequencer": obj["sequencer"], "version_id": obj["versionId"],
+    }
+    found = {n: F.when(V.kind(at) == "STRING", F.try_variant_get(at, "$", "string")) for n, at in texts.items()}
+    given = {f"{n}_given": F.coalesce(V.kind(texts[n]) != "VOID", F.lit(False)) for n in _OPTIONAL}
+    size = F.when(V.kind(obj["size"]) == "BIGINT", F.try_variant_get(obj["size"], "$", "bigint"))
+    return {**found, **given, "has_object": obj.isNotNull(), "object_size": size}
 
 
-def _clean_record(stripped: Column) -> Column:
-    """Blank texts become null; ``bad_optional`` marks given but unusable ones."""
+def _stripped_fields(raw: Fields) -> dict[str, Column]:
+    rest = ("has_object", "object_size", *[f"{n}_given" for n in _OPTIONAL])
+    return {n: X.strip(raw(n)) for n in (*_REQUIRED, *_OPTIONAL)} | {n: raw(n) for n in rest}
 
-    def text(name: str) -> Column:
-        return F.when(stripped[name] != "", stripped[name])
 
+def _clean_fields(stripped: Fields) -> dict[str, Column]:
+    """Blank texts become null; ``bad_optional`` marks given but unusable ones; the key is decoded."""
     bad = F.lit(False)
     for n in _OPTIONAL:
-        bad = bad | (stripped[f"{n}_given"] & F.coalesce(stripped[n] == "", F.lit(True)))
-    size = F.when(stripped["object_size"] >= 0, stripped["object_size"])
-    return F.struct(
-        *[text(n).alias(n) for n in (*_REQUIRED, *_OPTIONAL)],
-        stripped["has_object"].alias("has_object"),
-        size.alias("object_size"),
-        bad.alias("bad_optional"),
-    )
+        bad = bad | (stripped(f"{n}_given") & F.coalesce(stripped(n) == "", F.lit(True)))
+    texts = {n: F.when(stripped(n) != "", stripped(n)) for n in (*_REQUIRED, *_OPTIONAL)}
+    size = F.when(stripped("object_size") >= 0, stripped("object_size"))
+    decoded = F.when(stripped("encoded_key") != "", X.form_decode(stripped("encoded_key")))
+    return {**texts, "has_object": stripped("has_object"), "object_size": size, "bad_optional": bad, "object_key": decoded}
 
 
-def _event(raw: Column, expected_bucket: str) -> Column:
-    """Typed event of a cleaned record with its first error, null when valid."""
+def _owned_fields(clean: Fields) -> dict[str, Column]:
+    names = (*_REQUIRED, *_OPTIONAL, "has_object", "object_size", "bad_optional", "object_key")
+    return {n: clean(n) for n in names} | {"job_id": X.job_id_from_key(clean("object_key"))}
 
-    def build(key: Column) -> Column:
-        job_id = key["job_id"]
-        error = (
-            F.when(raw["event_name"].isNull(), MALFORMED_NOTIFICATION)
-            .when(~raw["event_name"].startswith("ObjectCreated:"), UNSUPPORTED_EVENT)
-            .when(~raw["has_object"] | raw["bucket_name"].isNull(), MALFORMED_NOTIFICATION)
-            .when(raw["bucket_name"] != F.lit(expected_bucket), UNEXPECTED_BUCKET)
-            .when(raw["encoded_key"].isNull(), MALFORMED_NOTIFICATION)
-            .when(job_id.isNull(), INVALID_KEY)
-            .when(
-                raw["object_size"].isNull()
-                | raw["bad_optional"]
-                | ~raw["event_name"].rlike(_EVENT_NAME),
-                MALFORMED_NOTIFICATION,
-            )
-        )
-        return F.struct(
-            raw["event_name"].alias("event_name"),
-            raw["bucket_name"].alias("bucket_name"),
-            key["text"].alias("object_key"),
-            job_id.alias("job_id"),
-            raw["object_size"].alias("object_size"),
-            raw["etag"].alias("etag"),
-            raw["sequencer"].alias("sequencer"),
-            raw["version_id"].alias("version_id"),
-            error.alias("error_class"),
+
+def _event_fields(raw: Fields, expected_bucket: str) -> dict[str, Column]:
+    """Typed event of a cleaned record with its first error, null when valid."""
+    error = (
+        F.when(raw("event_name").isNull(), MALFORMED_NOTIFICATION)
+        .when(~raw("event_name").startswith("ObjectCreated:"), UNSUPPORTED_EVENT)
+        .when(~raw("has_object") | raw("bucket_name").isNull(), MALFORMED_NOTIFICATION)
+        .when(raw("bucket_name") != F.lit(expected_bucket), UNEXPECTED_BUCKET)
+        .when(raw("encoded_key").isNull(), MALFORMED_NOTIFICATION)
+        .when(raw("job_id").isNull(), INVALID_KEY)
+        .when(
+            raw("object_size").isNull()
+            | raw("bad_optional")
+            | ~raw("event_name").rlike(_EVENT_NAME),
+            MALFORMED_NOTIFICATION,
         )
+    )
+    names = ("event_name", "bucket_name", "object_key", "job_id", "object_size", *_OPTIONAL)
+    return {n: raw(n) for n in names} | {"error_class": error}
+
 
-    def owner(text: Column) -> Column:
-        return F.struct(text.alias("text"), X.job_id_from_key(text).alias("job_id"))
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    return V.let(V.let(X.form_decode(raw["encoded_key"]), owner), build)
+
+def _first(fields: dict[str, Column]) -> list[Column]:
+    return [c.alias(f"__1_{n}") for n, c in fields.items()]
+
+
+def _each(records: Column, step: Callable[[Fields], dict[str, Column]]) -> Column:
+    return F.transform(records, lambda r: _struct(step(lambda n: r[n])))
+
+
+def _steps(expected_bucket: str) -> list[Callable[[Fields], dict[str, Column]]]:
+    """What is done to the raw fields of a record, one step after the other."""
+    return [_stripped_fields, _clean_fields, _owned_fields, lambda fields: _event_fields(fields, expected_bucket)]
 
 
 def parse_messages(messages: DataFrame, config: IntakeConfig) -> DataFrame:
@@ -133,28 +110,35 @@ def parse_messages(messages: DataFrame, config: IntakeConfig) -> DataFrame:
 
     All records of a message are parsed before any is used: the first bad
     record rejects the message and ``events`` is null. The verdict is reached
-    inside the row, so this step is one projection without a shuffle.
+    inside the row, so this step needs no shuffle. The first record goes through
+    the steps as plain columns, which Spark compiles; the others as an array,
+    whose functions it interprets. An array function in a projection also keeps
+    that projection out of the compiled stage, whose one method would otherwise
+    grow too long for the JVM to compile.
     """
     bucket = config.expected_bucket.strip()
-    parsed = (
-        messages.withColumn("message_id", X.non_blank(F.col("message_id")))
-        .withColumn("__body", V.parse_strict(F.col("body")))
-        .withColumn("__records", V.as_array(F.col("__body"), "$.Records"))
-        .withColumn("__texts", F.from_json("body", _TEXTS)["Records"])
-        .withColumn("__raw", F.zip_with("__records", F.coalesce("__texts", F.array()), _raw_record))
-        .withColumn("__clean", F.transform(F.transform("__raw", _strip_record), _clean_record))
-        .withColumn("__events", F.transform("__clean", lambda r: _event(r, bucket)))
+    parsed = messages.withColumn("message_id", X.non_blank(F.col("message_id"))).withColumn(
+        "__body", V.parse_strict(F.col("body"))
+    ).withColumn("__records", F.try_variant_get("__body", "$.Records", _RECORDS))
+    keep = [*messages.columns, "__whole", "__n"]
+    first = _raw_fields(F.get("__records", F.lit(0)))
+    rest = F.transform(F.slice("__records", F.lit(2), F.size("__records")), lambda r: _struct(_raw_fields(r)))
+    parsed = parsed.select(
+        *messages.columns, F.col("__body").isNotNull().alias("__whole"), F.size("__records").alias("__n"),
+        *_first(first), F.when(F.size("__records") > 1, rest).alias("__others"),
     )
-    bad = F.filter("__events", lambda e: e["error_class"].isNotNull())
+    for step in _steps(bucket):
+        first = step(lambda n: F.col(f"__1_{n}"))
+        parsed = parsed.select(*keep, *_first(first), _each(F.col("__others"), step).alias("__others"))
+    event = F.struct(*[F.col(f"__1_{n}").alias(n) for n in first])
+    bad = F.filter("__others", lambda e: e["error_class"].isNotNull())
     error = (
-        F.when(F.col("message_id").isNull() | F.col("__body").isNull(), MALFORMED_MESSAGE)
-        .when(F.col("__records").isNull() | (F.size("__records") == 0), MALFORMED_NOTIFICATION)
-        .otherwise(F.get(bad, F.lit(0))["error_class"])
-    )
-    verdict = F.struct(
-        error.alias("error_class"),
-        F.when(error.isNull(), F.col("__events")).alias("events"),
+        F.when(F.col("message_id").isNull() | ~F.col("__whole"), MALFORMED_MESSAGE)
+        .when(F.coalesce(F.col("__n") <= 0, F.lit(True)), MALFORMED_NOTIFICATION)
+        .otherwise(F.coalesce(F.col("__1_error_class"), F.get(bad, F.lit(0))["error_class"]))
     )
+    events = F.when(F.col("__n") == 1, F.array(event)).otherwise(F.concat(F.array(event), F.col("__others")))
+    verdict = F.struct(error.alias("error_class"), F.when(error.isNull(), events).alias("events"))
     # generated columns: later filters on the verdict stay above the parse
     # instead of being pushed below it as a second copy of every check
     return parsed.select(*messages.columns, F.inline(F.array(verdict)))

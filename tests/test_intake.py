@@ -117,3 +117,20 @@ def test_second_documents_spread_the_events_without_one(spark):
     left = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert len(left) == 1 and "spread" in left[0]
     assert messages.where("body LIKE '%},{%'").count() > 0
+
+
+def test_every_place_of_a_message_judges_a_record_alike(spark):
+    """The first record goes through plain columns, the others through array functions."""
+    single = [r for _, b, _ in CASES if b and b.startswith('{"Records": [') and b.endswith("}") for r in json.loads(b)["Records"]]
+    rows = [(i, place, body(*([record()] * place), r)) for i, r in enumerate(single) for place in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "i int, place int, body string").selectExpr("*", "'m' AS message_id")
+    parsed = intake.parse_messages(df, IntakeConfig())
+    got = {(r.i, r.place): (r.error_class, r.last) for r in parsed.select("i", "place", "error_class", F.get("events", F.col("place")).alias("last")).collect()}
+    assert len(got) == 3 * len(single) > 90
+    assert all(got[i, place] == got[i, 0] for i, place in got)
+
+
+def test_a_body_is_parsed_once(spark):
+    df = spark.createDataFrame([("m", body(record()))], "message_id string, body string")
+    plan = intake.parse_messages(df, IntakeConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan.lower() and "jsontostructs" not in plan.lower()
