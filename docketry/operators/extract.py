@@ -94,13 +94,19 @@ def captured_extractor(captured: DataFrame) -> Extractor:
 
     ``captured`` is what ``validate_responses`` takes; of repeated attempts the
     smallest response counts. An attempt without a response has no outcome,
-    which the pipeline takes as unexpected.
+    which the pipeline takes as unexpected. Only the responses of the attempts
+    that are made are grouped and validated.
     """
-    one = captured.groupBy("attempt_id").agg(F.min(F.struct("response_json", "error_code")).alias("r"))
-    verdicts = validate_responses(one.select("attempt_id", "r.*")).select(
-        "attempt_id", F.col("verdict").alias("provider_outcome"), "result_json"
-    )
-    return lambda rows: rows.join(verdicts, "attempt_id", "left")
+
+    def answer(rows: DataFrame) -> DataFrame:
+        asked = captured.join(rows.select("attempt_id").distinct(), "attempt_id", "left_semi")
+        one = asked.groupBy("attempt_id").agg(F.min(F.struct("response_json", "error_code")).alias("r"))
+        verdicts = validate_responses(one.select("attempt_id", "r.*")).select(
+            "attempt_id", F.col("verdict").alias("provider_outcome"), "result_json"
+        )
+        return rows.join(verdicts, "attempt_id", "left")
+
+    return answer
 
 
 # ---- captured responses -----------------------------------------------------

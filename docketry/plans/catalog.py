@@ -483,7 +483,8 @@ def process_batch_outcomes(t: Tables) -> DataFrame:
 @query
 def process_captured_responses(t: Tables) -> DataFrame:
     """Captured responses answer the attempts; every 17th attempt has none."""
-    events = intake.flatten_events(P.parse_once(t.messages(), CONFIG))
+    parsed = P.parse_once(t.messages(), CONFIG)
+    events = intake.flatten_events(parsed)
     attempt = X.opaque_id("attempt", F.col("job_id"), F.col("message_id"), F.col("receive_count").cast("string"))
     attempts = events.select(
         attempt.alias("attempt_id"), F.regexp_extract("job_id", r"([0-9]+)\z", 1).cast("long").alias("doc_id")
@@ -491,8 +492,8 @@ def process_captured_responses(t: Tables) -> DataFrame:
     path = f"{shared_dir(t.spark)}/captured-{uuid.uuid4().hex}"
     captured = attempts.where("doc_id % 17 <> 5").join(t.responses().drop("attempt_id"), "doc_id")
     captured.select("attempt_id", "response_json", "error_code").write.parquet(path)
-    run = P.process_uploads(
-        t.messages(), t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG,
+    run = P.process_parsed(
+        parsed, t.jobs(), t.objects(), as_of=AS_OF, config=CONFIG,
         extractor=extract.captured_extractor(files.captured_responses(t.spark, path)),
     )
     return _record_view(run.records)

@@ -291,7 +291,22 @@ def process_uploads(
     A message without an id fails its whole batch: messages before it keep
     their effects but are delivered again, it and the rest are not handled.
     """
-    parsed = parse_once(messages, config)
+    return process_parsed(
+        parse_once(messages, config), jobs, objects, as_of=as_of, config=config, plan=plan, extractor=extractor
+    )
+
+
+def process_parsed(
+    parsed: DataFrame,
+    jobs: DataFrame,
+    objects: DataFrame,
+    *,
+    as_of,
+    config: IntakeConfig = IntakeConfig(),
+    plan: DataFrame | None = None,
+    extractor: extract.Extractor = extract.rule_extractor,
+) -> UploadResult:
+    """``process_uploads`` for a caller that has the messages from ``parse_once`` already."""
     longest, n_events, key_bytes, without_id = parsed.agg(
         F.max(F.size("events")), F.sum(F.greatest(F.size("events"), F.lit(0))), F.sum(_key_bytes()),
         F.count_if(F.col("message_id").isNull()),

@@ -203,3 +203,27 @@ def test_a_bounded_extractor_runs_in_so_many_tasks(spark):
     assert out.select("task").distinct().count() == 5 and out.count() == 500
     with pytest.raises(ValueError):
         extract.bounded(seen, 0)
+
+
+def test_only_the_responses_of_attempts_made_are_validated(spark):
+    """Captured responses of other attempts are left before they are grouped."""
+    captured = spark.createDataFrame(
+        [("a", None, "ThrottlingException"), ("a", "{}", None), ("b", "{}", None), ("z", "{}", None)],
+        "attempt_id string, response_json string, error_code string",
+    )
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", 4)], "attempt_id string, i int")
+    answered = extract.captured_extractor(captured)(rows)
+    assert {(r.i, r.provider_outcome) for r in answered.collect()} == {
+        (1, "throttled"), (2, "invalid_response"), (3, "invalid_response"), (4, None)
+    }
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_captured_responses_parse_the_messages_once(spark, monkeypatch):
+    from docketry.plans import catalog, pipeline
+
+    calls, parse = [], pipeline.parse_once
+    monkeypatch.setattr(pipeline, "parse_once", lambda *a: calls.append(a) or parse(*a))
+    assert catalog.all_queries()["process_captured_responses"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
