@@ -30,13 +30,18 @@ def _folder(t: Tables, name: str) -> str:
 # ---- streams ------------------------------------------------------------------
 
 
+# messages of a queue file: a file is one JSON document, read and parsed whole by one task
+FILE_MESSAGES = 20_000
+
+
 def _queue_files(t: Tables, path: str) -> None:
-    """The messages as queue batches, one JSON document a file."""
+    """The messages as queue batches, one JSON document a file; their number grows with the events."""
     attributes = F.struct(
         F.unix_millis("sent_ts").cast("string").alias("SentTimestamp"), F.col("receive_count").cast("string").alias("ApproximateReceiveCount")
     )
     one = F.struct(F.col("message_id").alias("messageId"), "body", attributes.alias("attributes"))
-    batches = t.messages().groupBy((F.col("event_id") % 40).alias("b")).agg(F.sort_array(F.collect_list(one)).alias("Records"))
+    n = max(40, -(-t.read("events").count() // FILE_MESSAGES))
+    batches = t.messages().groupBy((F.col("event_id") % n).alias("b")).agg(F.sort_array(F.collect_list(one)).alias("Records"))
     batches.select("b", F.to_json(F.struct("Records")).alias("value")).repartition("b").write.partitionBy("b").text(path)
 
 

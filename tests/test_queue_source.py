@@ -112,3 +112,18 @@ def test_stream_admits_by_bytes_and_goes_on_after_a_restart(spark, tmp_path):
     assert sum(map(len, taken)) == len(every)
     with pytest.raises(ValueError):
         Q.QueueStreamReader({"path": "file:///x", "maxbytespertrigger": "1"})
+
+
+def test_queue_files_grow_in_number(spark, tmp_path, monkeypatch):
+    """More events give more files, not longer ones, and every message is in one of them."""
+    from docketry.plans import services
+    from docketry.plans.fixtures import Tables
+    from docketry.sources import files
+
+    monkeypatch.setattr(services, "FILE_MESSAGES", 10)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    services._queue_files(t, str(tmp_path / "queue"))
+    read = files.queue_batches(spark, str(tmp_path / "queue"))
+    sizes = [r["count"] for r in read.groupBy("batch_id").count().collect()]
+    assert max(sizes) <= 11 and sum(sizes) == t.read("events").count()
+    assert read.select("message_id", "body").exceptAll(t.messages().select("message_id", "body")).isEmpty()
