@@ -1,7 +1,9 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from docketry import schemas as S
@@ -173,6 +175,49 @@ def test_text_objects_written_and_listed_by_folders(spark, tmp_path):
     assert got["documents/j2/source.txt"][1] in (b"xx\n\n", b"\nxx\n")
 
 
+def test_text_objects_take_one_file_each_and_tasks_by_folders(spark, tmp_path):
+    rows = spark.range(1500).selectExpr("concat('j', id) AS owner", "repeat('é', int(id)) AS value")
+    folders = files.write_text_objects(rows, str(tmp_path / "objects"), folders=40)
+    assert sum(p.is_file() for p in (tmp_path / "objects").rglob("*")) == 1500
+    assert sum(p.is_dir() for p in (tmp_path / "objects").rglob("*")) == len(folders)  # a folder an object took a block of its own
+    found = files.text_objects(spark, folders, max_size_bytes=2048, owner_pattern=files.OWNER_FOLDER)
+    # Spark's file index held every path on the driver, and a task took a few objects only
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and not found.inputFiles()
+    got = {r.object_key: r for r in found.collect()}
+    body = lambda n: "é".encode() * n + b"\n"
+    assert {k: r.size_bytes for k, r in got.items()} == {f"documents/j{n}/source.txt": 2 * n + 1 for n in range(1500)}
+    assert all((r.content and bytes(r.content)) == (body(n) if n <= 1023 else None) for n in range(1500) for r in [got[f"documents/j{n}/source.txt"]])
+    assert got["documents/j9/source.txt"].etag == hashlib.md5(body(9)).hexdigest() and got["documents/j1024/source.txt"].etag is None
+
+
+def test_text_objects_of_odd_owners(spark, tmp_path):
+    rows = spark.createDataFrame([(x, "v") for x in ("a/b", "b", "_c", ".d", "", "e f", "g.txt", "%2F", None)], "owner string, value string")
+    folders = files.write_text_objects(rows, str(tmp_path / "objects"))
+    got = [r.object_key for r in files.text_objects(spark, folders, owner_pattern=files.OWNER_FOLDER).collect()]
+    named = [f"documents/{x}/source.txt" for x in ("%2F", ".d", "__HIVE_DEFAULT_PARTITION__", "_c", "b", "g.txt")]
+    assert sorted(k for k in got if k) == named and got.count(None) == 3  # nested, empty, spaced
+
+
+def test_text_objects_of_a_list_as_of_its_root(spark, tmp_path):
+    bodies = {"documents/a/source.txt": "a" * 5, "documents/b/source.txt": "b" * 50, "documents/empty/source.txt": "", "documents/c/other.txt": "c",
+              "documents/_d/source.txt": "d", "documents/.e/source.txt": "e", "documents/_f=g/source.txt": "f", "documents/h/_source.txt": "h",
+              "deep/documents/i j/source.txt": "i", "source.txt": "s", "source.txt._COPYING_": "t"}
+    for name, text in bodies.items():
+        (tmp_path / "o" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "o" / name).write_text(text)
+    root = str(tmp_path / "o")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for glob in ("source.txt", "*.txt", "{other,sourc?}.[s-u]xt", "*"):
+        for limit in (None, 10):
+            one = files.text_objects(spark, root, max_size_bytes=limit, file_glob=glob)
+            for many in ([root], [f"file://{root}", f"file://{root}"], [f"{root}/doc*", f"{root}/deep", f"{root}/source.txt"]):
+                listed = files.text_objects(spark, many, max_size_bytes=limit, file_glob=glob)
+                assert listed.dtypes == one.dtypes
+                assert rows(listed) == rows(one), (glob, limit, many)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        files.text_objects(spark, [root, f"{root}/none"])
+
+
 def test_access_log(spark, tmp_path):
     (tmp_path / "log").write_text(json.dumps({"requestId": "r", "requestTimeEpoch": "1706745600000", "status": "404",
                                               "responseLength": "-", "integrationLatency": "12"}) + "\n{bad\n")
